@@ -43,7 +43,11 @@ def exact_dedup(docs: DataFrame, normalised: Column | None = None, keep: str = "
     """
     rows = settle(runs(docs, F.col("text") if normalised is None else normalised, keep))
     pick = F.max if keep == "largest" else F.min
-    groups = rows.groupBy("text_sha256").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.min(F.when(F.col("doc_id").isNull(), F.col("salt"))).alias("null_salt"))
-    joined = rows.join(groups, "text_sha256")
+    null_salt = F.min(F.when(F.col("doc_id").isNull(), F.col("salt")))
+    parts = rows.groupBy("text_sha256", "salt").agg(pick("doc_id").alias("part_id"), F.count("*").alias("n"), null_salt.alias("part_null"))
+    groups = parts.groupBy("text_sha256").agg(pick("part_id").alias("keep_id"), F.sum("n").alias("group_size"), F.min("part_null").alias("null_salt"))
+    # a group goes back to its rows by way of its runs, so that a large group's rows stay spread over the salts
+    labelled = parts.select("text_sha256", "salt").join(groups, "text_sha256")
+    joined = rows.join(labelled, ["text_sha256", "salt"])
     best = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull() & (F.col("salt") == F.col("null_salt")))
     return joined.select("doc_id", "keep_id", "group_size", (best & (F.col("rank") == 1)).alias("kept"), "text_sha256")
