@@ -39,63 +39,76 @@ NUMBER, UNIT, NAME, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
 CLEAN = f"[{NUMBER}-{JOINT}]"
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased words; a slot is a mark followed by its value."""
+SEPARATOR = rf"[^\p{{L}}\p{{N}}{NUMBER}-{JOINT}]+"
+
+
+def marked(text: Column) -> Column:
+    """Text in which a mark stands before the value of each slot."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), CLEAN, "")
     digits = F.regexp_replace(text, r"(?<=\d)[.,:](?=\d)", JOINT)
     digits = F.regexp_replace(digits, rf"(?<![\p{{L}}\p{{N}}])(\d[\d{JOINT}]*)[ \u00a0]?({UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
     digits = F.regexp_replace(digits, rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{JOINT}])(\d[\d{JOINT}]*)(?![\p{{L}}\p{{N}}{JOINT}])", f"{NUMBER}$1")
     text = F.when(text.rlike(r"\d"), digits).otherwise(text)
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
-    text = F.when(text.rlike(r"[\p{L}\p{N},;:)] \p{Lu}\p{Ll}"), named).otherwise(text)
-    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{NUMBER}-{JOINT}]+"), lambda x: x != "")
+    return F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
 
 
-def is_slot(word: Column) -> Column:
-    return (word >= NUMBER) & (word < JOINT)
+def inner(words: Column) -> Column:
+    """Without the empty words that a separator at either end makes."""
+    words = F.when(F.get(words, F.lit(0)) == "", F.slice(words, F.lit(2), F.size(words) - 1)).otherwise(words)
+    return F.when(F.get(words, F.size(words) - 1) == "", F.slice(words, F.lit(1), F.size(words) - 1)).otherwise(words)
 
 
-def template(words: Column) -> Column:
-    return F.transform(words, lambda x: F.when(is_slot(x), F.substring(x, 1, 1)).otherwise(x))
+def with_words(rows: DataFrame, text: str) -> DataFrame:
+    """rows with words (lower-cased; a slot is a mark and its value) and shape (the same with marks alone)."""
+    rows = rows.withColumn("marked", F.lower(marked(F.col(text)))).drop(text)
+    rows = rows.withColumn("words", F.split("marked", SEPARATOR))
+    bare = F.regexp_replace("marked", rf"([{NUMBER}-{NAME}])[\p{{L}}\p{{N}}{JOINT}]+", "$1")
+    rows = rows.withColumn("shape", F.when(F.col("marked").rlike(f"[{NUMBER}-{NAME}]"), F.split(bare, SEPARATOR)).otherwise(F.col("words")))
+    return rows.withColumn("words", inner(F.col("words"))).withColumn("shape", inner(F.col("shape"))).drop("marked")
 
 
-def windows(words: Column, shape: Column, window: int, whole: bool) -> Column:
-    """The hash of each window of template words; null where it has too few words of its own."""
-    starts = F.sequence(F.lit(1), F.size(shape) - (window - 1))
-    if whole:
-        starts = F.when(F.size(shape) >= window, starts).otherwise(F.sequence(F.lit(1), F.lit(1)))
-    else:
-        starts = F.when(F.size(shape) >= window, starts).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(shape, i, window)))
+def is_slot(word: Column) -> Column:
+    return (word >= NUMBER) & (word < JOINT)
+
+
+def places(shape: Column, window: int) -> Column:
+    """The places (from 1) at which a window of template words starts."""
+    return F.when(F.size(shape) >= window, F.sequence(F.lit(1), F.size(shape) - (window - 1))).otherwise(F.array().cast("array<int>"))
 
 
 def item_windows(items: DataFrame, window: int, literal: int) -> DataFrame:
-    """item_id, words, place (from 1), hash, length, n_windows."""
-    plain = items.select(F.col("item_id"), words_of(F.col("text").cast("string")).alias("words")).distinct()
-    shaped = plain.withColumn("shape", template("words"))
-    placed = shaped.select("item_id", "words", "shape", F.posexplode(windows(F.col("words"), F.col("shape"), window, True)).alias("place", "hash"))
-    part = F.slice("shape", F.col("place") + 1, window)
-    own = F.size(F.filter(part, lambda x: ~is_slot(x)))
-    kept = placed.filter(own >= literal).select("item_id", F.slice("words", F.col("place") + 1, window).alias("item_part"), (F.col("place") + 1).alias("place"), "hash", F.size(part).alias("length"))
+    """item_id, item_part, place, hash, length, n_windows; an item shorter than a window is one window."""
+    plain = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    shaped = with_words(plain, "text")
+    at = F.when(F.size("shape") < window, F.array(F.lit(1))).otherwise(places(F.col("shape"), window))
+    placed = shaped.select("item_id", "words", "shape", F.explode(at).alias("place")).withColumn("part", F.slice("shape", F.col("place"), window))
+    own = F.size(F.filter("part", lambda x: ~is_slot(x)))
+    kept = placed.filter(own >= literal).select("item_id", F.slice("words", F.col("place"), window).alias("item_part"), "place", F.col("part").alias("item_shape"), F.xxhash64("part").alias("hash"), F.size("part").alias("length"))
     totals = kept.groupBy(F.col("item_id").alias("of")).agg(F.count_distinct("place").alias("n_windows"))
     return kept.join(totals, F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int, small: bool) -> DataFrame:
-    """doc_id, rid, at, doc_part and the columns of item_windows for each pair of equal windows."""
-    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), words_of(F.col("text")).alias("words"))
+    """doc_id, rid, at, doc_part and the columns of item_windows for each pair of equal windows.
+
+    Only places are exploded: the words ride along unmoved inside one stage, and
+    are cut to the window where a hash has matched.
+    """
+    rows = with_words(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text"), "text")
     lengths = [window, *sorted(r["length"] for r in items.filter(F.col("length") < window).select("length").distinct().collect())]
     out = None
     for length in lengths:
         asked = items.filter(F.col("length") == length)
-        hashes = windows(F.col("words"), template("words"), length, False)
+        spread = rows.select("doc_id", "rid", "words", "shape", F.explode(places(F.col("shape"), length)).alias("at"))
+        hashed = spread.withColumn("hash", F.xxhash64(F.slice("shape", F.col("at"), length)))
         if small:
-            spread = rows.select("doc_id", "rid", "words", F.posexplode(hashes).alias("at", "hash"))
-            met = spread.join(F.broadcast(asked), "hash").withColumn("doc_part", F.slice("words", F.col("at") + 1, length))
+            met = hashed.join(F.broadcast(asked), "hash")
         else:
-            spread = rows.select("rid", F.posexplode(hashes).alias("at", "hash")).distinct()
-            met = spread.join(asked, "hash").join(rows.dropDuplicates(["rid"]), "rid").withColumn("doc_part", F.slice("words", F.col("at") + 1, length))
-        met = met.select("doc_id", "rid", (F.col("at") + 1).alias("at"), "doc_part", "item_id", "item_part", "place", "n_windows")
+            met = hashed.select("rid", "at", "hash").distinct().join(asked, "hash").join(rows.dropDuplicates(["rid"]), "rid")
+        # equal hashes, so compare the windows; as an equality this would become a part of the join's key
+        own = F.slice("shape", F.col("at"), length)
+        met = met.filter((own >= F.col("item_shape")) & (own <= F.col("item_shape")))
+        met = met.select("doc_id", "rid", "at", F.slice("words", F.col("at"), length).alias("doc_part"), "item_id", "item_part", "place", "n_windows")
         out = met if out is None else out.unionByName(met)
     return out
 
@@ -106,8 +119,6 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
     asked = item_windows(items, window, literal)
     small = asked.select("hash").limit(most + 1).count() <= most
     met = matches(docs, asked, window, small)
-    # windows were joined by hash of their template; the templates themselves must agree
-    met = met.filter(template(F.col("doc_part")) == template(F.col("item_part")))
     slots = F.filter(F.arrays_zip(F.col("item_part").alias("i"), F.col("doc_part").alias("d")), lambda x: is_slot(x["i"]))
     pairs = F.transform(slots, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))
     grouped = met.select("doc_id", "rid", "item_id", (F.col("at") - F.col("place")).alias("offset"), "place", "n_windows", pairs.alias("pairs")).groupBy("doc_id", "rid", "item_id", "offset")

@@ -245,12 +245,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     rows = plain.withColumn("rid", F.xxhash64("doc_id", "text"))
     keys = prefixes(rows, window, prefix)
     often = keys.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key", (F.col("times") > group).alias("hot"))
+    often = settle(often)  # a plain table, so that a frequent prefix's side of the join can be split
     wanted = keys.select("rid", "key").join(often, "key").groupBy("rid").agg(F.collect_set(F.struct("key", "hot")).alias("wanted"))
     wanted = settle(wanted)
     found = settle(suffixes(rows.join(wanted, "rid"), window, prefix))
     cold = repeats_in_groups(found.filter("not hot"), window)
     hot = found.filter("hot").select("rid", "key", "start")
     again = hot.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    again = settle(again)
     full = hot.join(again, "key").select("rid", F.col("start").alias("first"), (F.col("start") + window).cast("int").alias("end"))
     spans = cold.unionByName(full).groupBy("rid").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     empty = F.array().cast("array<struct<first: int, end: int>>")
