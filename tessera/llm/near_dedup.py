@@ -37,6 +37,7 @@ MISS = 1e-8
 SKETCH_BITS = 512
 BLOCK = 256
 PIVOTS = 3
+SMALL = 6
 
 
 def banding(threshold: float, samples: int = SAMPLES, miss: float = MISS) -> tuple[int, int]:
@@ -48,10 +49,16 @@ def banding(threshold: float, samples: int = SAMPLES, miss: float = MISS) -> tup
 
 
 def most_different(threshold: float, samples: int, bits: int) -> int:
-    """The ones in the XOR of two sketches that a pair at the threshold stays below, by seven standard deviations."""
-    differ = samples * (1 - threshold)
-    elements = 2 * (differ + 7 * np.sqrt(differ * threshold))
-    return int(np.ceil(bits / 2 * (1 - (1 - 2 / bits) ** elements) + 7 * np.sqrt(bits) / 4))
+    """The ones in the XOR of two sketches that a pair at the threshold stays below but once in 50 million times.
+
+    Two sources of chance: how many samples differ, and how many of the
+    differing elements (two a sample) fall on the same bits.
+    """
+    elements = 2 * samples * (1 - threshold)
+    ones = bits / 2 * (1 - np.exp(-2 * elements / bits))
+    sampled = 2 * np.sqrt(samples * (1 - threshold) * threshold) * np.exp(-2 * elements / bits)
+    folded = np.sqrt(bits / 4 * (1 - np.exp(-4 * elements / bits)))
+    return int(np.ceil(ones + 5.5 * np.hypot(sampled, folded)))
 
 
 def shingles(raw: np.ndarray, rows: np.ndarray, n: int, table: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,27 +155,38 @@ def sketch_words(sketch, bits: int):
 
 
 def between_components(open_buckets: DataFrame, most: int) -> DataFrame:
-    """Pairs of different components in buckets (bucket, id, component, sketch), blocks of a bucket against each other."""
+    """Pairs of different components in buckets (bucket, band, id, component, sketch, bands), each pair once.
+
+    A bucket's blocks meet each other; a pair counts in the first band that it shares.
+    """
     sizes = open_buckets.groupBy("bucket").agg(F.count("*").alias("size"))
     blocked = open_buckets.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    lists = settle(blocked.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "sketch")).alias("members")))
+    lists = settle(blocked.groupBy("bucket", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("id", "component", "sketch", "bands")).alias("members")))
     other = lists.select("bucket", F.col("block").alias("other"), F.col("members").alias("others"))
     meet = lists.join(other, "bucket").filter("block <= other")
 
     def run(batches):
         def read(column, i):
             part = column[i].values
-            return part.field("id").to_numpy(), part.field("component").to_numpy(), np.vstack([np.frombuffer(x, np.uint8) for x in part.field("sketch").to_pylist()]).view(np.uint64)
+            sketch = np.vstack([np.frombuffer(x, np.uint8) for x in part.field("sketch").to_pylist()]).view(np.uint64)
+            return part.field("id").to_numpy(), part.field("component").to_numpy(), sketch, np.array(part.field("bands").to_pylist(), np.int64)
 
         for batch in batches:
+            out = [np.zeros((0, 2), np.int64)]
             for i in range(batch.num_rows):
-                a, ca, sa = read(batch.column(0), i)
-                b, cb, sb = read(batch.column(1), i)
+                a, ca, sa, ba = read(batch.column(0), i)
+                b, cb, sb, bb = read(batch.column(1), i)
                 ones = sum(np.bitwise_count(sa[:, None, j] ^ sb[None, :, j]).astype(np.int32) for j in range(sa.shape[1]))
-                x, y = np.nonzero((ones <= most) & (ca[:, None] != cb[None, :]) & (a[:, None] > b[None, :] if batch.column(2)[i].as_py() else np.ones((1, 1), bool)))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a[x], b[y])), "b": pa.array(np.minimum(a[x], b[y]))})
+                able = (ones <= most) & (ca[:, None] != cb[None, :])
+                if batch.column(2)[i].as_py():
+                    able &= a[:, None] > b[None, :]
+                x, y = np.nonzero(able)
+                first = (ba[x] == bb[y]).argmax(axis=1) == batch.column(3)[i].as_py()
+                out.append(np.stack([np.maximum(a[x], b[y]), np.minimum(a[x], b[y])], axis=1)[first])
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
-    return meet.select("members", "others", F.expr("block = other")).mapInArrow(run, "a long, b long").distinct()
+    return meet.select("members", "others", F.expr("block = other"), "band").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands: int, rows_per_band: int, bits: int) -> DataFrame:
@@ -176,11 +194,11 @@ def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands:
     most = most_different(threshold, bands * rows_per_band, bits)
     members = signed.filter("doc_id is not null and digest is not null")
     classes = members.groupBy("digest").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
-    per_band = classes.select("id", F.posexplode("s.bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
+    per_band = classes.select("id", F.posexplode("s.bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = per_band.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     buckets = settle(per_band.join(shared, "bucket"))
     asked = buckets.select("id").distinct()
-    sketches = settle(classes.join(asked, "id", "left_semi").select("id", "s.sketch", sketch_words(F.col("s.sketch"), bits).alias("words")))
+    sketches = settle(classes.join(asked, "id", "left_semi").select("id", "s.sketch", "s.bands", sketch_words(F.col("s.sketch"), bits).alias("words")))
     wanted = sketches.select(F.col("id").alias("doc_id"))
     sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), n).withColumn("of", F.xxhash64("grams"))
     sets = settle(sets.groupBy("id", "of").agg(F.first("grams").alias("grams")).drop("of"))
@@ -198,16 +216,16 @@ def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands:
             edges = settle(labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
         elif turn > 1:
             break
-        named = buckets.select("bucket", "id").join(labels, "id")
+        named = buckets.select("bucket", "band", "id").join(labels, "id")
         open_ = named.groupBy("bucket").agg(F.count_distinct("component").alias("parts"), F.count("*").alias("size")).filter("parts > 1")
-        buckets = settle(named.join(open_.select("bucket", "size"), "bucket").select("bucket", "id", "size"))
-        if buckets.filter(F.col("size") > BLOCK).isEmpty():
+        buckets = settle(named.join(open_.select("bucket", "size"), "bucket").select("bucket", "band", "id", "size"))
+        if buckets.filter(F.col("size") > SMALL).isEmpty():
             break
-        named = buckets.filter(F.col("size") > BLOCK).join(labels, "id")
+        named = buckets.filter(F.col("size") > SMALL).join(labels, "id")
         chosen = named.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(100 * turn + j))) for j in range(PIVOTS)])).alias("pivots"))
         met = named.join(chosen, "bucket").select("id", "component", F.explode("pivots").alias("pivot")).filter("component <> pivot.component")
         pairs = met.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct()
-    rest = between_components(buckets.select("bucket", "id").join(labels, "id").join(sketches.select("id", "sketch"), "id").select("bucket", "id", "component", "sketch"), most)
+    rest = between_components(buckets.select("bucket", "band", "id").join(labels, "id").join(sketches.select("id", "sketch", "bands"), "id").select("bucket", "band", "id", "component", "sketch", "bands"), most)
     last = settle(confirmed(rest, sets, threshold))
     edges = edges.unionByName(last)
     return stars(edges)
