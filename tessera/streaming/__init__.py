@@ -1,0 +1 @@
+"""No streaming operator exists in the dialect; queries can be planned over streaming DataFrames registered with a session."""
