@@ -9,10 +9,10 @@ threshold is missed with a probability of at most MISS.
 
 No bucket is expanded into all its pairs.  Documents of equal sets are one
 class from the start.  Members are compared with a few pivots of their bucket;
-classes that become linked need no further comparison.  Buckets that still hold
-several components are compared in blocks of BLOCK sketches, where only pairs of
-different components that pass the sketch are confirmed; there no pair of
-different components is left out, so no link between components is lost.
+classes that become linked need no further comparison.  What buckets that still hold several
+components connect is compared in blocks, where pairs of different components
+that share a band and pass the sketch are confirmed; there no such pair is left
+out, so no link between components is lost.
 
 Defined results: a null or empty text has an empty set, is a component of its
 own and is kept; so is a row with a null doc_id, whose component_id is null.
@@ -35,9 +35,10 @@ from tessera.llm.textops import buffers, chunks, gram_hashes, lower_table, mix,
 SAMPLES = 256
 MISS = 1e-8
 SKETCH_BITS = 512
-BLOCK = 256
+BLOCK_GRAMS = 200_000
+TURNS = 2
 PIVOTS = 3
-SMALL = 6
+SMALL = 16
 
 
 def banding(threshold: float, samples: int = SAMPLES, miss: float = MISS) -> tuple[int, int]:
@@ -154,39 +155,75 @@ def sketch_words(sketch, bits: int):
     return F.array(*[F.conv(F.hex(F.substring(sketch, 1 + 4 * i, 4)), 16, 10).cast("long") for i in range(bits // 32)])
 
 
-def between_components(open_buckets: DataFrame, most: int) -> DataFrame:
-    """Pairs of different components in buckets (bucket, band, id, component, sketch, bands), each pair once.
+def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, threshold: float) -> DataFrame:
+    """The links (a, b) that are left between components, from buckets (bucket, id) that hold several.
 
-    A bucket's blocks meet each other; a pair counts in the first band that it shares.
+    Documents that such buckets connect form a cluster, and each goes once, with
+    its set, to a block of its cluster of about BLOCK_GRAMS shingles.  Two blocks
+    at a time are compared: pairs of different components that share a band and
+    pass the sketch are confirmed on full sets, unless links found before have
+    joined them already; only links that join components are returned.
     """
-    sizes = open_buckets.groupBy("bucket").agg(F.count("*").alias("size"))
-    blocked = open_buckets.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    lists = settle(blocked.groupBy("bucket", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("id", "component", "sketch", "bands")).alias("members")))
-    other = lists.select("bucket", F.col("block").alias("other"), F.col("members").alias("others"))
-    meet = lists.join(other, "bucket").filter("block <= other")
+    least = open_buckets.groupBy("bucket").agg(F.min("id").alias("b"))
+    clusters = stars(open_buckets.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    rows = clusters.withColumnRenamed("component", "cluster").join(labels, "id").join(sketches.select("id", "sketch", "bands"), "id").join(sets, "id")
+    rows = settle(rows)
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS).alias("blocks"))
+    blocked = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.greatest("blocks", F.lit(1))).cast("int"))
+    member = F.struct("id", "component", "sketch", "bands", "grams")
+    lists = blocked.groupBy("cluster", "block", "blocks").agg(F.collect_list(member).alias("members"))
+    alone = lists.select("members", F.expr("slice(members, 1, 0)").alias("others"))
+    large = lists.filter("blocks > 1")
+    other = large.select("cluster", F.col("block").alias("other"), F.col("members").alias("others"))
+    across = large.join(other, "cluster").filter("block < other").select("members", "others")
+    part = round(threshold * 100)
 
     def run(batches):
-        def read(column, i):
-            part = column[i].values
+        def read(part):
             sketch = np.vstack([np.frombuffer(x, np.uint8) for x in part.field("sketch").to_pylist()]).view(np.uint64)
-            return part.field("id").to_numpy(), part.field("component").to_numpy(), sketch, np.array(part.field("bands").to_pylist(), np.int64)
+            grams = part.field("grams")
+            at, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)  # sorted as unsigned
+            return part.field("id").to_numpy(), part.field("component").to_numpy(), sketch, np.array(part.field("bands").to_pylist(), np.int64), [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
         for batch in batches:
-            out = [np.zeros((0, 2), np.int64)]
+            links = []
             for i in range(batch.num_rows):
-                a, ca, sa, ba = read(batch.column(0), i)
-                b, cb, sb, bb = read(batch.column(1), i)
-                ones = sum(np.bitwise_count(sa[:, None, j] ^ sb[None, :, j]).astype(np.int32) for j in range(sa.shape[1]))
-                able = (ones <= most) & (ca[:, None] != cb[None, :])
-                if batch.column(2)[i].as_py():
-                    able &= a[:, None] > b[None, :]
-                x, y = np.nonzero(able)
-                first = (ba[x] == bb[y]).argmax(axis=1) == batch.column(3)[i].as_py()
-                out.append(np.stack([np.maximum(a[x], b[y]), np.minimum(a[x], b[y])], axis=1)[first])
-            pairs = np.concatenate(out)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
-
-    return meet.select("members", "others", F.expr("block = other"), "band").mapInArrow(run, "a long, b long").distinct()
+                a, ca, sa, ba, ga = read(batch.column(0)[i].values)
+                same = len(batch.column(1)[i]) == 0
+                b, cb, sb, bb, gb = (a, ca, sa, ba, ga) if same else read(batch.column(1)[i].values)
+                root = {int(c): int(c) for c in (*ca, *cb)}
+
+                def find(c):
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                for low in range(0, len(a), 256):
+                    high = low + 256
+                    ones = sum(np.bitwise_count(sa[low:high, None, j] ^ sb[None, :, j]).astype(np.int16) for j in range(sa.shape[1]))
+                    able = (ones <= most) & (ca[low:high, None] != cb[None, :])
+                    if same:
+                        able &= a[low:high, None] > b[None, :]
+                    x, y = np.nonzero(able)
+                    order = np.argsort(ones[x, y], kind="stable")
+                    x, y = x[order] + low, y[order]
+                    for at in range(0, len(x), 20_000):
+                        meet = (ba[x[at : at + 20_000]] == bb[y[at : at + 20_000]]).any(axis=1)
+                        for p, q in zip(x[at : at + 20_000][meet].tolist(), y[at : at + 20_000][meet].tolist(), strict=True):
+                            one, two = find(int(ca[p])), find(int(cb[q]))
+                            if one == two:
+                                continue
+                            few, many = sorted((ga[p], gb[q]), key=len)
+                            if 100 * len(few) < part * len(many):
+                                continue
+                            common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                            if 100 * common >= part * (len(few) + len(many) - common):
+                                root[max(one, two)] = min(one, two)
+                                links.append((int(a[p]), int(b[q])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return alone.unionByName(across).mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands: int, rows_per_band: int, bits: int) -> DataFrame:
@@ -203,32 +240,25 @@ def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands:
     sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), n).withColumn("of", F.xxhash64("grams"))
     sets = settle(sets.groupBy("id", "of").agg(F.first("grams").alias("grams")).drop("of"))
 
-    labels = sketches.select("id", F.col("id").alias("component"))
-    edges = None
-    # first each class with its smallest pivot alone: that resolves most buckets
+    # first each class with its smallest pivot alone, which resolves most buckets; then with some of each open bucket
     least = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"))
     pairs = buckets.join(least, "bucket").groupBy("id").agg(F.min("pivot").alias("pivot")).filter("pivot < id").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    for turn in range(8):
+    edges = None
+    for turn in range(TURNS):
         new = settle(confirmed(likely(pairs, sketches, most), sets, threshold))
-        edges = new if edges is None else edges.unionByName(new)
-        if turn == 0 or not new.isEmpty():
-            labels = settle(sketches.select("id").join(stars(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-            edges = settle(labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-        elif turn > 1:
-            break
-        named = buckets.select("bucket", "band", "id").join(labels, "id")
-        open_ = named.groupBy("bucket").agg(F.count_distinct("component").alias("parts"), F.count("*").alias("size")).filter("parts > 1")
-        buckets = settle(named.join(open_.select("bucket", "size"), "bucket").select("bucket", "band", "id", "size"))
-        if buckets.filter(F.col("size") > SMALL).isEmpty():
+        labels = settle(sketches.select("id").join(stars(new if edges is None else edges.unionByName(new)), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+        edges = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        named = buckets.join(labels, "id")
+        open_ = named.groupBy("bucket").agg(F.count_distinct("component").alias("parts"), F.count("*").alias("size")).filter("parts > 1").select("bucket", "size")
+        if turn == TURNS - 1:
             break
-        named = buckets.filter(F.col("size") > SMALL).join(labels, "id")
-        chosen = named.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(100 * turn + j))) for j in range(PIVOTS)])).alias("pivots"))
-        met = named.join(chosen, "bucket").select("id", "component", F.explode("pivots").alias("pivot")).filter("component <> pivot.component")
+        # the small ones are left to the blocks
+        large = named.join(open_.filter(F.col("size") > SMALL), "bucket")
+        chosen = large.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(j))) for j in range(PIVOTS)])).alias("pivots"))
+        met = large.join(chosen, "bucket").select("id", "component", F.explode("pivots").alias("pivot")).filter("component <> pivot.component")
         pairs = met.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct()
-    rest = between_components(buckets.select("bucket", "band", "id").join(labels, "id").join(sketches.select("id", "sketch", "bands"), "id").select("bucket", "band", "id", "component", "sketch", "bands"), most)
-    last = settle(confirmed(rest, sets, threshold))
-    edges = edges.unionByName(last)
-    return stars(edges)
+    rest = within_clusters(named.join(open_, "bucket").select("bucket", "id"), labels, sketches, sets, most, threshold)
+    return stars(edges.unionByName(rest))
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8, n: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
