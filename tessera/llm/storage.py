@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and cuts its lineage there."""
+    """Writes df to the shared folder and cuts its lineage there.
+
+    What earlier rounds have shuffled is then out of use; collecting the driver's
+    garbage lets Spark remove those files now rather than at some later time.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
