@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
-SEGMENT_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+SEGMENT_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -44,11 +44,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if pa.types.is_null(column.type):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    _, offsets, data = column.buffers()
-    starts = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    kind = np.int64 if large else np.int32
+    _, offsets, data = column.buffers()  # no copy of the texts
+    starts = np.frombuffer(offsets, kind, len(column) + 1, column.offset * kind().itemsize).astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[starts[0] : starts[-1]], starts - starts[0]
 

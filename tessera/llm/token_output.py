@@ -32,10 +32,11 @@ from tessera.llm.textops import ragged
 
 BLOCK_IDS = 1 << 20
 END_ID = 0
-TEXTS_CHARS = 1 << 20
+TEXTS_CHARS = 1 << 19
 #: Fixed value: how the vocabulary's byte-level tokenizer cuts texts before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHED = 500_000
+CACHED = 120_000
+ROWS = 256
 
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, coded binary"
 
@@ -109,7 +110,7 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
             counts = np.concatenate(lengths)
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([counts.tolist()], pa.list_(pa.int64())), "coded": pa.array([encode(ids, encoder.alphabet)], pa.binary())})
 
-        for batch in batches:
+        for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, whole.num_rows, ROWS)):
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             a = 0
