@@ -16,6 +16,8 @@ of its own.  Other columns are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import zlib
 
@@ -41,6 +43,16 @@ ROWS = 256
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, coded binary"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a task, and what they hold counts for the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def byte_bpe_50k() -> str:
     import public_tokenizers
 
@@ -130,6 +142,9 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
                 a = b
         if names:
             yield block()
+        del encoder
+        held.clear()
+        give_back()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = plain.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -170,6 +185,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 if with_ids:
                     out["ids"] = pa.array([ids[b - k : b].astype(np.int32) for b, k in zip(ends, lengths, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
     written = spark.read.parquet(path)
     rows = written.mapInArrow(run, "shard int, block int, inside long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
