@@ -57,14 +57,15 @@ def parents(messages: DataFrame) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """links with root_turn and depth: each round doubles how far a place sees."""
-    state = settle(links.select("*", F.coalesce("parent_turn", "turn").alias("root_turn"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
-        far = state.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"))
-        state_next = settle(state.join(far, ["conv_id", "root_turn"], "left").select(*links.columns, F.coalesce("next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-        if state_next.agg(F.sum("depth")).first() == state.agg(F.sum("depth")).first():
-            return state_next
-        state = state_next
+    """links with root_turn and depth: each round doubles how far the places that are not at their root yet can see."""
+    start = links.select("*", F.coalesce("parent_turn", "turn").alias("root_turn"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    state = settle(start.withColumn("there", F.col("parent_turn").isNull()))
+    while not (far := state.filter("not there")).isEmpty():
+        seen = state.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("there").alias("ends"))
+        ahead = far.drop("there").join(seen, ["conv_id", "root_turn"])
+        moved = ahead.select(*links.columns, F.col("next").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("there"))
+        state = settle(state.filter("there").unionByName(moved))
+    return state.drop("there")
 
 
 def threads(messages: DataFrame) -> DataFrame:
