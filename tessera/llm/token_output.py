@@ -20,6 +20,8 @@ import ctypes
 import gc
 import uuid
 import zlib
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,10 @@ END_ID = 0
 TEXTS_CHARS = 1 << 19
 #: Fixed value: how the vocabulary's byte-level tokenizer cuts texts before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHED = 120_000
+SPACE = "\u0120"  # fixed value: how the byte-level vocabulary writes a space
+JOINED = 200
+CACHED = 200_000
+CACHED_CHARS = 1 << 24
 ROWS = 256
 
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, coded binary"
@@ -72,38 +77,63 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = self.tokenizer.get_vocab_size()
+        self.opens = np.zeros(self.alphabet, bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
         self.cut = regex.compile(PIECES).findall
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Empties the cache: pieces by number, and the ids and their count by a piece's number."""
+        self.index: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.chars = 0
 
-    def learn(self, pieces: list[str]) -> None:
+    def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that are encoded one by one, and how many each has."""
         coded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
-        self.lengths = np.concatenate([self.lengths, np.array([len(x) for x in coded], np.int64)])
-        self.ids = np.concatenate([self.ids, np.array([i for x in coded for i in x], np.int64)])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        return np.array([i for x in coded for i in x], np.int32), np.array([len(x) for x in coded], np.int32)
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of one space and letters, many at a time: a token that opens with a space begins a piece."""
+        texts = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = np.array([i for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in x.ids], np.int32)
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) != len(words):  # the tokenizer's letters are not quite ours
+            return self.each(words)
+        return ids, np.diff(np.append(begin, len(ids))).astype(np.int32)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes pieces, which the index has numbered from the end of what is known."""
+        worded = np.array([p[0] == " " and p[1:].isalpha() for p in pieces], bool)
+        ids_a, counts_a = self.joined([p for p, w in zip(pieces, worded, strict=True) if w])
+        ids_b, counts_b = self.each([p for p, w in zip(pieces, worded, strict=True) if not w])
+        counts, starts = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int64)
+        counts[worded], counts[~worded] = counts_a, counts_b
+        starts[worded], starts[~worded] = np.cumsum(counts_a) - counts_a, len(ids_a) + np.cumsum(counts_b) - counts_b
+        self.ids = np.concatenate([self.ids, np.concatenate([ids_a, ids_b])[ragged(starts, counts)]])
+        self.lengths = np.concatenate([self.lengths, counts])
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        self.chars += sum(map(len, pieces))
 
     def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and how many each has."""
         if any(s in t for t in texts for s in self.specials):
             coded = [[*x.ids, end] for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for x in coded for i in x], np.int64), np.array([len(x) for x in coded], np.int64)
-        cut = [self.cut(t) for t in texts]
-        pieces = [p for x in cut for p in x]
-        if len(self.index) > CACHED:
+            return np.array([i for x in coded for i in x], np.int32), np.array([len(x) for x in coded], np.int64)
+        if len(self.index) > CACHED or self.chars > CACHED_CHARS:
             self.forget()
-        if new := sorted(set(pieces).difference(self.index)):
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        cut = [self.cut(t) for t in texts]
+        pieces = np.array([len(x) for x in cut], np.int64)
+        known = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int32, int(pieces.sum()))
+        del cut
+        if new := len(self.index) - known:
+            self.learn([*islice(reversed(self.index), new)][::-1])
         lengths = self.lengths[at]
-        sums = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-        bounds = np.concatenate(([0], np.cumsum(np.array([len(x) for x in cut], np.int64))))
-        counts = np.diff(sums[bounds]) + 1
+        sums = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        counts = np.diff(sums[np.concatenate(([0], np.cumsum(pieces)))]) + 1
         ends = np.cumsum(counts)
-        out = np.full(int(ends[-1]) if len(ends) else 0, end, np.int64)
+        out = np.full(int(ends[-1]) if len(ends) else 0, end, np.int32)
         inside = np.ones(len(out), bool)
         inside[ends - 1] = False
         out[inside] = self.ids[ragged(self.starts[at], lengths)] if len(at) else 0
