@@ -4,7 +4,7 @@ A block of ids is cut into lanes of consecutive ids that are coded side by
 side, each by a range coder of its own, with one model for all: at each step
 the model predicts every lane's next id, the ids are coded, and the model
 learns from them.  Three predictions are mixed: order 0 (frequencies of all
-ids, refreshed every few steps), order 1 (the id last seen after the previous
+ids, refreshed after 1, 2, 4 and up to 32 steps), order 1 (the id last seen after the previous
 one) and order 2 (the same for the two previous ones, in a hashed table), with
 weights from how often predictions of the same confidence have come true.
 
@@ -25,7 +25,7 @@ TOTAL_BITS = 28
 ORDER0_BITS = 20
 LANES = 4096
 STEPS = 256
-REFRESH = 8
+REFRESH = 32
 SLOTS_BITS = 18
 LEVELS = 8
 WORD = np.uint64(0xFFFFFFFF)
@@ -38,6 +38,7 @@ class Model:
         self.alphabet = alphabet
         self.counts = np.ones(alphabet, np.int64)
         self.seen: list[np.ndarray] = []
+        self.wait = 1
         self.after1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
         self.after2, self.sure2 = np.zeros(1 << SLOTS_BITS, np.int64), np.zeros(1 << SLOTS_BITS, np.int64)
         self.hits1 = np.ones(LEVELS, np.int64)
@@ -55,6 +56,13 @@ class Model:
         self.edges = np.zeros(self.alphabet + 1, np.int64)
         np.cumsum(self.counts, out=self.edges[1:])
         self.edges = (self.edges << ORDER0_BITS) // total
+        self.holders = None
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold these places."""
+        if self.holders is None:
+            self.holders = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.edges))
+        return self.holders[np.clip(place, 0, len(self.holders) - 1)]
 
     def predict(self, last: np.ndarray, before: np.ndarray):
         """Order-1 and order-2 guesses, their shares of the total, and the scale of order 0."""
@@ -78,7 +86,8 @@ class Model:
             table[key] = np.where(new, x, said)
             sure[key] = np.where(right, np.minimum(level + 1, LEVELS - 1), np.where(new, 1, level >> 1))
         self.seen.append(x)
-        if len(self.seen) == REFRESH:
+        if len(self.seen) == self.wait:
+            self.wait = min(2 * self.wait, REFRESH)
             self.refresh()
 
 
@@ -170,11 +179,12 @@ def decode(block: bytes) -> np.ndarray:
             end1 = start1 + (model.edges[one + 1] - edge1) * scale + share1 + share2 * (one == two)
             start2 = edge2 * scale + share1 * (two > one)
             end2 = start2 + (model.edges[two + 1] - edge2) * scale + share2 + share1 * (one == two)
-            rest = value - share1 * (value >= end1) - share2 * (value >= end2)
-            x = np.searchsorted(model.edges, rest // scale, "right") - 1
-            x = np.where((share1 > 0) & (value >= start1) & (value < end1), one, x)
-            x = np.where((share2 > 0) & (value >= start2) & (value < end2), two, x)
-            x = np.clip(x, 0, alphabet - 1)
+            is1 = (share1 > 0) & (value >= start1) & (value < end1)
+            is2 = (share2 > 0) & (value >= start2) & (value < end2)
+            x = np.where(is2, two, one)
+            other = np.flatnonzero(~(is1 | is2))
+            rest = (value - share1 * (value >= end1) - share2 * (value >= end2))[other]
+            x[other] = np.clip(model.at(rest // scale[other]), 0, alphabet - 1)
             edge = model.edges[x]
             start = edge * scale + share1 * (x > one) + share2 * (x > two)
             width = (model.edges[x + 1] - edge) * scale + share1 * (x == one) + share2 * (x == two)
