@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import stars
-from tessera.llm.storage import settle
+from tessera.llm.storage import give_back, settle, small_batches
 from tessera.llm.textops import buffers, chunks, gram_hashes, lower_table, mix, space_table, word_hashes, words
 
 SAMPLES = 256
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_per_band: int, bits: in
                         keys[i] = key[j].view(np.int64)
                         sketches[i] = sketch[j].tobytes()
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(low, high - low), "n_shingles": pa.array(counts), "digest": pa.array(digests, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
@@ -130,6 +131,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             for low, high, raw, rows in chunks(data, offsets):
                 grams, starts = shingles(raw, rows, n, table, lower)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(grams.view(np.int64)))], names=["id", "grams"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, grams array<long>")
 
@@ -222,6 +224,7 @@ def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFr
                                 root[max(one, two)] = min(one, two)
                                 links.append((int(a[p]), int(b[q])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        give_back()
 
     return alone.unionByName(across).mapInArrow(run, "a long, b long")
 
@@ -263,6 +266,7 @@ def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands:
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8, n: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     bands, rows_per_band = banding(threshold)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(signatures(plain, n, bands, rows_per_band, bits))

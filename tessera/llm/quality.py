@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import give_back, small_batches
 from tessera.llm.textops import alnum_table, buffers, chunks, gram_hashes, lower_table, word_hashes, words
 
 BITS = 16
@@ -57,6 +58,7 @@ def counted(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(buckets(raw, rows, letters, lower)[0], minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+        give_back()
 
     counts = np.zeros(1 << BITS, np.int64)
     sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -87,18 +89,20 @@ def gumbel(doc_id: Column, seed: int) -> Column:
 
 def scored(docs: DataFrame, ratios: np.ndarray, seed: int = 11) -> DataFrame:
     """docs with log_weight, n_grams and key (log_weight plus noise)."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    text = docs.columns.index("text")
     schema = docs.schema.simpleString()
 
     def run(batches):
         letters, lower = alnum_table(), lower_table()
         for batch in batches:
-            data, offsets = buffers(batch.column(2))
+            data, offsets = buffers(batch.column(0).field(text))
             for low, high, raw, rows in chunks(data, offsets):
                 at, row = buckets(raw, rows, letters, lower)
                 weight = np.bincount(row, ratios[at], high - low).astype(np.float64)  # without words numpy gives integers
                 many = np.bincount(row, minlength=high - low)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(weight), pa.array(many)], names=["row", "id", "log_weight", "n_grams"])
+        give_back()
 
     made = own.mapInArrow(run, f"row {schema}, id long, log_weight double, n_grams long")
     return made.withColumn("key", F.col("log_weight") + gumbel(F.col("id"), seed))
@@ -134,6 +138,7 @@ def level_of_top(keys: DataFrame, k: int) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, missed: float = MISSED, bound: int = LABELLED, seed: int = 11) -> DataFrame:
     """row (all columns of docs), id, log_weight, n_grams, key and kept, for every row of docs."""
+    small_batches(docs.sparkSession)
     chosen = sampled_labels(labels, bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most `bound` rows of two numbers: a proven bound for the broadcast

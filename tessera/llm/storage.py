@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where none is set, as in tests."""
     context = spark.sparkContext
@@ -18,6 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow pass texts on in batches of at most BATCH_BYTES (or of one longer row): what executors and workers hold of them then doesn't depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a task, and what they hold counts for the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and cuts its lineage there.
 

@@ -16,8 +16,6 @@ of its own.  Other columns are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import uuid
 import zlib
 from collections import defaultdict
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.range_coder import decode, encode
-from tessera.llm.storage import shared_folder
+from tessera.llm.storage import give_back, shared_folder, small_batches
 from tessera.llm.textops import ragged
 
 BLOCK_IDS = 1 << 20
@@ -48,16 +46,6 @@ ROWS = 256
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, coded binary"
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: workers live on after a task, and what they hold counts for the executor."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not the GNU C library
-        pass
-
-
 def byte_bpe_50k() -> str:
     import public_tokenizers
 
@@ -226,5 +214,6 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 def round_trip(docs: DataFrame, tokenizer: str | None = None, **settings) -> DataFrame:
     """Writes docs' ids to the shared folder and reads them back."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     return read_ids(spark, write_ids(docs, path, tokenizer or byte_bpe_50k(), **settings))
