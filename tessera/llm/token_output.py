@@ -16,9 +16,11 @@ of its own.  Other columns are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 from itertools import chain, count, islice
 
 import numpy as np
@@ -52,6 +54,18 @@ def byte_bpe_50k() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str):
+    """A file's tokenizer, once in a process: the library doesn't return all memory of one that is dropped.
+
+    It works on one thread, as a task has one core.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Encodes texts by the tokenizers library, each distinct piece of text once.
 
@@ -60,9 +74,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = loaded(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = self.tokenizer.get_vocab_size()
         self.opens = np.zeros(self.alphabet, bool)
