@@ -416,6 +416,28 @@ def test_quality(spark, odd, none):
     assert all(r["kept"] for r in resample(docs, labels.limit(0)).select("kept").collect())
 
 
+def test_quality_held_out(spark):
+    """Half of the labels hidden: good rows that no model has seen stay, whatever their length, and bad ones go."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["id"]: (r["kept"], r["n"]) for r in resample(docs, labels.filter("doc_id % 2 = 0")).selectExpr("id", "kept", "size(split(row.text, ' ')) AS n").collect()}
+    hidden = labels.filter("doc_id % 2 = 1")
+    good = [kept[r["doc_id"]] for r in hidden.filter("quality = 1 and toxic = 0").collect()]
+    bad = [kept[r["doc_id"]][0] for r in hidden.filter("quality = 0").collect()]
+    assert np.mean([k for k, _ in good]) > 0.985 and np.mean(bad) < 0.2
+    for low, high in ((0, 100), (100, 300), (300, 1000), (1000, 1 << 30)):
+        share = [k for k, n in good if low <= n < high]
+        assert len(share) > 20 and np.mean(share) > 0.95, (low, high, np.mean(share))
+
+
+def test_quality_few_labels(spark):
+    docs = spark.createDataFrame([(i, f"some text {i} ... of words") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert all(r["kept"] and r["log_weight"] == 0 for r in resample(docs, labels).collect())
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = ({r["id"]: r["key"] for r in resample(docs, labels, most=most).filter("kept").collect()} for most in (0, 1_000_000))
+    assert one == pytest.approx(two)
+
+
 def test_top_k(spark, docs):
     keys = scored(docs, np.zeros(1 << 16)).select("key")
     values = sorted((r["key"] for r in keys.collect()), reverse=True)
