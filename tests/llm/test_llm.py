@@ -282,6 +282,18 @@ def test_templates(spark):
     assert got[0, 0]["n_changed"] == 3 and got[0, 0]["coverage"] == 1 and got[2, 0]["n_changed"] == 0
 
 
+DENSE = ["Tom drove 12 km in 2 hours, 30 km in 5 hours and 45 km in 9 hours.", "Compute 12 + 30 - 7 + 45 - 9 + 22.", "Compute 7 + 8.", "Yes"]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_dense_items(spark, most):
+    """Items of numbers and units, and short ones: found word for word, and not with other numbers."""
+    texts = [f"Before it. {x} After it." for x in DENSE] + ["Compute 13 + 31 - 8 + 46 - 10 + 23.", "Compute 7 + 9.", "Eyes"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([*enumerate(DENSE), (9, "?!")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items, most=most).collect()} == {(i, i) for i in range(len(DENSE))}
+
+
 # 7 -------------------------------------------------------------------------
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
