@@ -294,6 +294,22 @@ def test_dense_items(spark, most):
     assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items, most=most).collect()} == {(i, i) for i in range(len(DENSE))}
 
 
+NAMED = "Last summer Anna and Peter took the night train from Paris to Rome and met Carla in Milan."
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_names_anywhere(spark, most):
+    """A word is read alike wherever it stands and however it is written."""
+    city, opens = "What is the capital city of France?", "Mary has a dog and a cat at home. Mary likes the dog more than the cat."
+    texts = [(f"Question: {city}", 0), (f"So {city}", 0), ("question: what is the capital city of Spain", 0), (city.lower(), 0), (city.upper(), 0)]
+    texts += [(NAMED.replace(" Paris", "\nParis").replace(" Rome", "\n Rome"), 1), (NAMED.lower(), 1), (NAMED.upper(), 1), ("Well, " + NAMED.replace("Paris", "Berlin").replace("Anna", "Olga"), 1)]
+    texts += [(opens.replace("Mary", "Alice"), 2), (opens.lower(), 2), (opens.replace("Mary likes", "Clearly she likes"), None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate([city, NAMED, opens])), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(docs, items, most=most).collect()}
+    assert {x for x in got if texts[x[0]][1] is not None} == {(i, k) for i, (_, k) in enumerate(texts) if k is not None}
+
+
 # 7 -------------------------------------------------------------------------
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
