@@ -1,16 +1,25 @@
 """An adaptive context-mixing range coder for token ids, over many lanes at once.
 
 A block of ids is cut into lanes of consecutive ids that are coded side by
-side, each by a range coder of its own, with one model for all: at each step
-the model predicts every lane's next id, the ids are coded, and the model
-learns from them.  Three predictions are mixed: order 0 (frequencies of all
-ids, refreshed after 1, 2, 4 and up to 32 steps), order 1 (the id last seen after the previous
-one) and order 2 (the same for the two previous ones, in a hashed table), with
-weights from how often predictions of the same confidence have come true.
+side, each by a range coder of its own, with one model for all.  The model
+counts which ids have followed the two ids before (order 2), the one id before
+(order 1) and which occur at all (order 0), and learns at the ends of segments,
+which grow with the block.  The three distributions share the code space:
+order 2 has a share that depends on how often contexts of the same confidence
+(how many observations, how many different ones) have held the id that came,
+order 1 the same share of what is left, and order 0 the rest.  Lower orders
+count only ids that the higher ones did not hold, so that they describe what
+is left to them.
 
 All arithmetic is on integers, so that the decoder repeats the encoder's steps
 exactly.  Blocks share nothing: model and coder start anew in each, and each
-has a checksum of its ids.
+names the ids that it uses and has a checksum of all its ids.
+
+A block is: MAGIC; the number of ids, their CRC-32, the size of the alphabet,
+the length of the next field and the number of words (32-bit little-endian); a
+bitmap of the ids in use (zlib); a bitmap of the last 4 words a lane that are
+not 0; the words but for those that are 0 there: the lanes' first two, then one
+for each time that a lane moves on, in the order of steps and lanes.
 """
 
 from __future__ import annotations
@@ -20,75 +29,134 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TCM1"
+MAGIC = b"TCM2"
+HEAD = 24
 TOTAL_BITS = 28
 ORDER0_BITS = 20
 LANES = 4096
 STEPS = 256
-REFRESH = 32
-SLOTS_BITS = 18
-LEVELS = 8
+TAIL = 4
+SLOT_BITS = 18
+RATIO = 2
+WEIGHT0 = 4
+KINDS = 5
 WORD = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
-LIMIT = (1 << TOTAL_BITS) - (1 << (TOTAL_BITS - 4))
+SPACE = 1 << TOTAL_BITS
+LIMIT = SPACE - (SPACE >> 4)
+#: The first level of a number of observations: two classes for each doubling.
+CLASS = KINDS * np.concatenate([[0], 1 + np.floor(2 * np.log2(np.arange(1, 4096)) + 1e-9).astype(np.int64)])
+#: Before anything is learned: how many of 64 ids are held by contexts of each kind, from few different ids to all different.
+PRIOR = np.tile(np.array([60, 54, 47, 37, 32], np.int64), int(CLASS[-1]) // KINDS + 1)
+
+
+def differs(keys: np.ndarray) -> np.ndarray:
+    """Which of sorted keys are not the same as the one before."""
+    out = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=out[1:])
+    return out
+
+
+class Order:
+    """What has followed each context: sorted observations (context and id in one number), and the share of the code space by confidence."""
+
+    def __init__(self, contexts: int, bits: int, kind: type):
+        self.bits, self.mask, self.kind = kind(bits), kind((1 << bits) - 1), kind
+        self.keys, self.fresh = np.zeros(0, kind), np.zeros(0, bool)
+        self.sizes, self.kinds = np.zeros(contexts, np.int32), np.zeros(contexts, np.int32)
+        self.level, self.first = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
+        self.held, self.asked = np.zeros(len(PRIOR), np.int64), np.zeros(len(PRIOR), np.int64)
+        self.settle()
+
+    def learn(self, keys: np.ndarray, levels: np.ndarray, hit: np.ndarray) -> None:
+        """Takes in a segment: observations, and which contexts were asked and held the id."""
+        more = np.bincount(keys >> self.bits, minlength=len(self.sizes)).astype(np.int32)
+        self.sizes += more
+        new = np.sort(keys[~hit])
+        self.kinds += np.bincount(new[differs(new)] >> self.bits, minlength=len(self.sizes)).astype(np.int32)
+        rows = np.flatnonzero(more)
+        size, kinds = self.sizes[rows], self.kinds[rows]
+        self.level[rows] = CLASS[np.minimum(size, len(CLASS) - 1)] + sum((kinds << j) > size for j in (3, 2, 1)) + (kinds >= size)
+        self.keys = np.sort(np.concatenate([self.keys, keys]))
+        self.asked += np.bincount(levels, minlength=len(PRIOR))
+        self.held += np.bincount(levels[hit], minlength=len(PRIOR))
+        self.settle()
+
+    def settle(self) -> None:
+        self.fresh = differs(self.keys)
+        self.starts = np.append(np.flatnonzero(self.fresh), len(self.keys))
+        self.run = None
+        self.first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        share = LIMIT * (64 * self.held + 4 * PRIOR) // (64 * self.asked + 256)
+        share[:KINDS] = 0
+        self.share = share
+
+    def weigh(self, context: np.ndarray, space) -> tuple[np.ndarray, ...]:
+        """Of each context: its level, first observation, number of observations, and the code space of one."""
+        level, size = self.level[context], self.sizes[context]
+        unit = (self.share[level] * space >> TOTAL_BITS) // np.maximum(size, 1)
+        return level, self.first[context], size, unit
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys have been observed, and their first observations and how many there are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if self.kind is np.uint32:  # sorted, so that neighbours are looked up together
+            both = np.sort(keys.astype(np.uint64) << HALF | np.arange(len(keys), dtype=np.uint64))
+            order, asked = (both & WORD).astype(np.int64), (both >> HALF).astype(np.uint32)
+        else:
+            order = np.argsort(keys)
+            asked = keys[order]
+        distinct = self.keys[self.starts[:-1]]
+        found = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
+        hit, at = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
+        hit[order] = distinct[found] == asked
+        at[order] = found
+        start = self.starts[at]
+        return hit, start, self.starts[at + 1] - start
+
+    def at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at these observations, the first of their observations and how many there are."""
+        if self.run is None:
+            self.run = np.cumsum(self.fresh, dtype=np.int32)
+        run = self.run[place].astype(np.int64)
+        start = self.starts[run - 1]
+        return self.keys[place] & self.mask, start, self.starts[run] - start
 
 
 class Model:
-    def __init__(self, alphabet: int):
-        self.alphabet = alphabet
-        self.counts = np.ones(alphabet, np.int64)
-        self.seen: list[np.ndarray] = []
-        self.wait = 1
-        self.after1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
-        self.after2, self.sure2 = np.zeros(1 << SLOTS_BITS, np.int64), np.zeros(1 << SLOTS_BITS, np.int64)
-        self.hits1 = np.ones(LEVELS, np.int64)
-        self.hits2 = np.ones(LEVELS, np.int64)
-        self.all1 = np.full(LEVELS, 4, np.int64)
-        self.all2 = np.full(LEVELS, 4, np.int64)
-        self.refresh()
-
-    def refresh(self) -> None:
-        if self.seen:
-            self.counts += 24 * np.bincount(np.concatenate(self.seen), minlength=self.alphabet)
-            self.seen = []
-        while (total := int(self.counts.sum())) > 1 << ORDER0_BITS:
-            self.counts = (self.counts + 1) >> 1
+    def __init__(self, alphabet: int, n: int):
+        bits = max(1, (alphabet - 1).bit_length())
+        width = 32 if bits <= 16 else 64
+        slot_bits = min(SLOT_BITS, max(8, n.bit_length() - 2), width - bits)
+        self.alphabet, self.bits, self.kind = alphabet, bits, np.uint32 if width == 32 else np.uint64
+        self.shift = np.uint64(64 - slot_bits)
+        self.two, self.one = Order(1 << slot_bits, bits, self.kind), Order(alphabet, bits, self.kind)
+        self.counts = np.zeros(alphabet, np.int64)
+        self.learn_rest(np.zeros(0, np.int64))
+
+    def slot(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        x = (before * 0x2545F491 + last).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x >> self.shift).view(np.int64)
+
+    def key(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return (context << self.bits | ids).astype(self.kind)
+
+    def learn_rest(self, ids: np.ndarray) -> None:
+        self.counts += np.bincount(ids, minlength=self.alphabet)
+        weights = 1 + WEIGHT0 * self.counts
+        while (total := int(weights.sum())) > 1 << ORDER0_BITS:
+            weights = (weights + 1) >> 1
         self.edges = np.zeros(self.alphabet + 1, np.int64)
-        np.cumsum(self.counts, out=self.edges[1:])
+        np.cumsum(weights, out=self.edges[1:])
         self.edges = (self.edges << ORDER0_BITS) // total
-        self.holders = None
-
-    def at(self, place: np.ndarray) -> np.ndarray:
-        """The ids whose order-0 intervals hold these places."""
-        if self.holders is None:
-            self.holders = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.edges))
-        return self.holders[np.clip(place, 0, len(self.holders) - 1)]
-
-    def predict(self, last: np.ndarray, before: np.ndarray):
-        """Order-1 and order-2 guesses, their shares of the total, and the scale of order 0."""
-        slot = ((before * 0x2545F491 + last) * 0x9E3779B1 >> 7) & ((1 << SLOTS_BITS) - 1)
-        one, two = self.after1[last], self.after2[slot]
-        level1, level2 = self.sure1[last], self.sure2[slot]
-        odds1, odds2 = (self.hits1 << 16) // self.all1, (self.hits2 << 16) // self.all2
-        odds1[0] = odds2[0] = 0
-        share2 = (LIMIT * odds2 >> 16)[level2]
-        share1 = (LIMIT - share2) * odds1[level1] >> 16
-        scale = ((1 << TOTAL_BITS) - share1 - share2) >> ORDER0_BITS
-        return slot, one, two, level1, level2, share1, share2, scale
-
-    def learn(self, x: np.ndarray, last: np.ndarray, guess) -> None:
-        slot, one, two, level1, level2, *_ = guess
-        for key, table, sure, said, level, hits, every in ((last, self.after1, self.sure1, one, level1, self.hits1, self.all1), (slot, self.after2, self.sure2, two, level2, self.hits2, self.all2)):
-            right = said == x
-            hits += np.bincount(level[right], minlength=LEVELS)
-            every += np.bincount(level, minlength=LEVELS)
-            new = ~right & (level <= 1)
-            table[key] = np.where(new, x, said)
-            sure[key] = np.where(right, np.minimum(level + 1, LEVELS - 1), np.where(new, 1, level >> 1))
-        self.seen.append(x)
-        if len(self.seen) == self.wait:
-            self.wait = min(2 * self.wait, REFRESH)
-            self.refresh()
+
+    def learn(self, ids, last, slot, levels2, hit2, levels1, hit1) -> None:
+        """Takes in a segment; levels1 and hit1 are of the ids that order 2 did not hold."""
+        self.two.learn(self.key(slot, ids), levels2, hit2)
+        left = np.flatnonzero(~hit2)
+        self.one.learn(self.key(last[left], ids[left]), levels1, hit1)
+        self.learn_rest(ids[left[~hit1]])
 
 
 def shape(n: int) -> tuple[int, int, int]:
@@ -98,13 +166,49 @@ def shape(n: int) -> tuple[int, int, int]:
     return lanes, steps, n - lanes * (steps - 1)
 
 
+def lane_starts(lanes: int, steps: int, tail: int) -> np.ndarray:
+    return np.minimum(np.arange(lanes), tail) * steps + np.maximum(np.arange(lanes) - tail, 0) * (steps - 1)
+
+
+def segments(steps: int):
+    """(first step, end step) of the segments: each RATIO - 1 times as long as all before it."""
+    low = 0
+    while low < steps:
+        high = min(steps, max(low + 1, int(low * RATIO)))
+        yield low, high
+        low = high
+
+
 def narrowed(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which lanes have a settled upper half; cuts intervals that are small but not settled."""
     settled = (low ^ (low + size)) <= WORD
     small = size <= WORD
     cut = small & ~settled
     size[cut] = (~low[cut] + np.uint64(1)) & WORD
-    return settled | small
+    return np.flatnonzero(settled | small)
+
+
+def intervals(ids: np.ndarray, last: np.ndarray, before: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The start and width of each id's part of the code space; the model learns from all of them."""
+    slot = model.slot(last, before)
+    level2, first, size, unit = model.two.weigh(slot, SPACE)
+    hit2, at, many = model.two.find(model.key(slot, ids))
+    hit2 &= unit > 0
+    start, width = (at - first) * unit, many * unit
+    left = np.flatnonzero(~hit2)
+    used = (size * unit)[left]
+    x, a = ids[left], last[left]
+    level1, first, size, unit = model.one.weigh(a, SPACE - used)
+    hit1, at, many = model.one.find(model.key(a, x))
+    hit1 &= unit > 0
+    one_start, one_width = used + (at - first) * unit, many * unit
+    used += size * unit
+    low = used + (model.edges[x] * (SPACE - used) >> ORDER0_BITS)
+    high = used + (model.edges[x + 1] * (SPACE - used) >> ORDER0_BITS)
+    start[left] = np.where(hit1, one_start, low)
+    width[left] = np.where(hit1, one_width, high - low)
+    model.learn(ids, last, slot, level2, hit2, level1, hit1)
+    return start, width
 
 
 def encode(ids: np.ndarray, alphabet: int) -> bytes:
@@ -112,93 +216,131 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     ids = np.ascontiguousarray(ids, np.int64)
     n = len(ids)
     check = zlib.crc32(ids.astype("<u4").tobytes())
+    present = np.bincount(ids, minlength=alphabet) > 0
+    used = zlib.compress(np.packbits(present).tobytes())
     if not n:
-        return MAGIC + struct.pack("<III", 0, check, alphabet)
+        return MAGIC + struct.pack("<IIIII", n, check, alphabet, len(used), 0) + used
     lanes, steps, tail = shape(n)
-    starts = np.minimum(np.arange(lanes), tail) * steps + np.maximum(np.arange(lanes) - tail, 0) * (steps - 1)
-    model = Model(alphabet)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out, filled = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    starts = lane_starts(lanes, steps, tail)
+    ids = (np.cumsum(present) - 1)[ids]
+    grid = np.zeros((steps + 2, lanes), np.int64)  # two steps of nothing before the first
     for step in range(steps):
         m = lanes if step < steps - 1 else tail
-        x = ids[starts[:m] + step]
-        a, b = last[:m], before[:m]
-        guess = model.predict(a, b)
-        _, one, two, _, _, share1, share2, scale = guess
-        edge = model.edges[x]
-        start = edge * scale + share1 * (x > one) + share2 * (x > two)
-        width = (model.edges[x + 1] - edge) * scale + share1 * (x == one) + share2 * (x == two)
-        unit = size[:m] >> np.uint64(TOTAL_BITS)
-        low[:m] += unit * start.astype(np.uint64)
-        part = unit * width.astype(np.uint64)
-        ready = np.flatnonzero(narrowed(low[:m], part))
-        size[:m] = part
-        out[ready, filled[ready]] = low[ready] >> HALF
-        filled[ready] += 1
-        low[ready] <<= HALF
-        size[ready] <<= HALF
-        model.learn(x, a, guess)
-        before[:m], last[:m] = a.copy(), x
-    every = np.arange(lanes)
-    out[every, filled] = low >> HALF
-    out[every, filled + 1] = low & WORD
-    filled += 2
-    kept = out[np.arange(steps + 2)[None, :] < filled[:, None]]
-    return MAGIC + struct.pack("<III", n, check, alphabet) + filled.astype("<u4").tobytes() + kept.astype("<u4").tobytes()
+        grid[step + 2, :m] = ids[starts[:m] + step]
+    model = Model(int(present.sum()), n)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    moved, out = [], []
+    for a, b in segments(steps):
+        end = (b - a) * lanes if b < steps else (b - a - 1) * lanes + tail
+        start, width = intervals(grid[a + 2 : b + 2].ravel()[:end], grid[a + 1 : b + 1].ravel()[:end], grid[a:b].ravel()[:end], model)
+        start, width = start.astype(np.uint64), width.astype(np.uint64)
+        for at in range(0, end, lanes):
+            m = min(lanes, end - at)
+            unit = size[:m] >> np.uint64(TOTAL_BITS)
+            low[:m] += unit * start[at : at + m]
+            size[:m] = unit * width[at : at + m]
+            ready = narrowed(low[:m], size[:m])
+            moved.append(ready)
+            out.append(low[ready] >> HALF)
+            low[ready] <<= HALF
+            size[ready] <<= HALF
+    lane, word = np.concatenate(moved), np.concatenate(out)
+    # a lane's words: those it moved out, the one that ends it, and none more; each is read two moves ahead
+    counts = np.bincount(lane, minlength=lanes)
+    begin = np.cumsum(counts + 2) - counts - 2
+    order = np.argsort(lane.astype(np.int16), kind="stable")
+    place = np.empty(len(lane), np.int64)
+    place[order] = np.arange(len(lane)) + 2 * lane[order]
+    words = np.zeros(len(lane) + 2 * lanes, np.uint32)
+    words[place] = word
+    words[begin + counts] = (low + WORD) >> HALF
+    stream = np.concatenate([words[begin], words[begin + 1], words[place + 2]])
+    full = np.ones(len(stream), bool)
+    full[-TAIL * lanes :] = stream[-TAIL * lanes :] != 0
+    head = MAGIC + struct.pack("<IIIII", n, check, alphabet, len(used), len(stream))
+    return head + used + np.packbits(full[-TAIL * lanes :]).tobytes() + stream[full].astype("<u4").tobytes()
 
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of a block; raises ValueError if it is damaged."""
-    if block[:4] != MAGIC or len(block) < 16:
+    if block[:4] != MAGIC or len(block) < HEAD:
         raise ValueError("not a block of coded ids")
-    n, check, alphabet = struct.unpack("<III", block[4:16])
+    n, check, alphabet, length, count = struct.unpack("<IIIII", block[4:HEAD])
+    at = HEAD + length
+    if len(block) < at:
+        raise ValueError("a block of coded ids is cut off")
+    try:
+        names = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(block[HEAD:at]), np.uint8), count=alphabet))
+    except (zlib.error, ValueError) as e:
+        raise ValueError("a block of coded ids doesn't match its checksum") from e
     ids = np.zeros(n, np.int64)
     if n:
         lanes, steps, tail = shape(n)
-        filled = np.frombuffer(block, "<u4", lanes, 16).astype(np.int64)
-        if len(block) != 16 + 4 * lanes + 4 * int(filled.sum()):
+        given, full = np.zeros(count, np.uint64), np.ones(count, bool)
+        marked = min(TAIL * lanes, count)
+        mask = np.frombuffer(block[at : at + (marked + 7) // 8], np.uint8)
+        if len(mask) != (marked + 7) // 8:
+            raise ValueError("a block of coded ids is cut off")
+        full[count - marked :] = np.unpackbits(mask, count=marked)
+        at += len(mask)
+        if len(block) != at + 4 * int(full.sum()):
             raise ValueError("a block of coded ids is cut off")
-        given = np.concatenate([np.frombuffer(block, "<u4", int(filled.sum()), 16 + 4 * lanes).astype(np.uint64), np.zeros(2, np.uint64)])
-        at = np.cumsum(filled) - filled
-        starts = np.minimum(np.arange(lanes), tail) * steps + np.maximum(np.arange(lanes) - tail, 0) * (steps - 1)
-        model = Model(alphabet)
+        if count < 2 * lanes or not len(names):
+            raise ValueError("a block of coded ids doesn't match its checksum")
+        given[full] = np.frombuffer(block, "<u4", offset=at)
+        starts = lane_starts(lanes, steps, tail)
+        model = Model(len(names), n)
+        two, one = model.two, model.one
         low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        code = (given[at] << HALF) | given[at + 1]
-        at += 2
+        code, read = (given[:lanes] << HALF) | given[lanes : 2 * lanes], 2 * lanes
         last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        for step in range(steps):
-            m = lanes if step < steps - 1 else tail
-            a, b = last[:m], before[:m]
-            guess = model.predict(a, b)
-            _, one, two, _, _, share1, share2, scale = guess
-            unit = size[:m] >> np.uint64(TOTAL_BITS)
-            value = ((code[:m] - low[:m]) // np.maximum(unit, np.uint64(1))).astype(np.int64)
-            edge1, edge2 = model.edges[one], model.edges[two]
-            start1 = edge1 * scale + share2 * (one > two)
-            end1 = start1 + (model.edges[one + 1] - edge1) * scale + share1 + share2 * (one == two)
-            start2 = edge2 * scale + share1 * (two > one)
-            end2 = start2 + (model.edges[two + 1] - edge2) * scale + share2 + share1 * (one == two)
-            is1 = (share1 > 0) & (value >= start1) & (value < end1)
-            is2 = (share2 > 0) & (value >= start2) & (value < end2)
-            x = np.where(is2, two, one)
-            other = np.flatnonzero(~(is1 | is2))
-            rest = (value - share1 * (value >= end1) - share2 * (value >= end2))[other]
-            x[other] = np.clip(model.at(rest // scale[other]), 0, alphabet - 1)
-            edge = model.edges[x]
-            start = edge * scale + share1 * (x > one) + share2 * (x > two)
-            width = (model.edges[x + 1] - edge) * scale + share1 * (x == one) + share2 * (x == two)
-            low[:m] += unit * start.astype(np.uint64)
-            part = unit * width.astype(np.uint64)
-            ready = np.flatnonzero(narrowed(low[:m], part))
-            size[:m] = part
-            code[ready] = (code[ready] << HALF) | given[np.minimum(at[ready], len(given) - 1)]
-            at[ready] += 1
-            low[ready] <<= HALF
-            size[ready] <<= HALF
-            ids[starts[:m] + step] = x
-            model.learn(x, a, guess)
-            before[:m], last[:m] = a.copy(), x
+        for first, end in segments(steps):
+            seen = []
+            for step in range(first, end):
+                m = lanes if step < steps - 1 else tail
+                a = last[:m]
+                slot = model.slot(a, before[:m])
+                level2, begin, many, unit2 = two.weigh(slot, SPACE)
+                coder = size[:m] >> np.uint64(TOTAL_BITS)
+                value = np.minimum((code[:m] - low[:m]) // np.maximum(coder, np.uint64(1)), np.uint64(SPACE - 1)).astype(np.int64)
+                space2 = many * unit2
+                hit2 = value < space2
+                x, start, width = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m, np.int64)
+                at = np.flatnonzero(hit2)
+                x[at], here, times = two.at(begin[at] + value[at] // unit2[at])
+                start[at], width[at] = (here - begin[at]) * unit2[at], times * unit2[at]
+                left = np.flatnonzero(~hit2)
+                used = space2[left]
+                level1, begin, many, unit1 = one.weigh(a[left], SPACE - used)
+                rest, space1 = value[left] - used, many * unit1
+                hit1 = rest < space1
+                at = np.flatnonzero(hit1)
+                to = left[at]
+                x[to], here, times = one.at(begin[at] + rest[at] // unit1[at])
+                start[to], width[to] = used[at] + (here - begin[at]) * unit1[at], times * unit1[at]
+                at = np.flatnonzero(~hit1)
+                to, base = left[at], (used + space1)[at]
+                space0 = SPACE - base
+                edge = (((rest - space1)[at] + 1 << ORDER0_BITS) - 1) // space0
+                found = np.searchsorted(model.edges, edge, "right") - 1
+                x[to] = found
+                start[to] = base + (model.edges[found] * space0 >> ORDER0_BITS)
+                width[to] = base + (model.edges[found + 1] * space0 >> ORDER0_BITS) - start[to]
+                low[:m] += coder * start.astype(np.uint64)
+                size[:m] = coder * width.astype(np.uint64)
+                ready = narrowed(low[:m], size[:m])
+                if read + len(ready) > count:
+                    raise ValueError("a block of coded ids doesn't match its checksum")
+                code[ready] = (code[ready] << HALF) | given[read : read + len(ready)]
+                read += len(ready)
+                low[ready] <<= HALF
+                size[ready] <<= HALF
+                ids[starts[:m] + step] = x
+                seen.append((x, a.copy(), slot, level2, hit2, level1, hit1))
+                before[:m] = a
+                last[:m] = x
+            model.learn(*map(np.concatenate, zip(*seen, strict=True)))
+        ids = names[ids]
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("a block of coded ids doesn't match its checksum")
     return ids

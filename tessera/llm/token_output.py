@@ -16,12 +16,11 @@ of its own.  Other columns are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
-from collections import defaultdict
 from functools import lru_cache
-from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +31,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm.range_coder import decode, encode
 from tessera.llm.storage import give_back, shared_folder, small_batches
-from tessera.llm.textops import ragged
+from tessera.llm.textops import buffers, chunks, ragged
 
 BLOCK_IDS = 1 << 20
 END_ID = 0
-TEXTS_CHARS = 1 << 19
-#: Fixed value: how the vocabulary's byte-level tokenizer cuts texts before merging.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-SPACE = "\u0120"  # fixed value: how the byte-level vocabulary writes a space
-JOINED = 200
-CACHED = 200_000
-CACHED_CHARS = 1 << 24
-ROWS = 256
+TEXTS_BYTES = 1 << 19
+#: Classes of characters by which the byte-level tokenizer cuts texts before merging, and the endings that it cuts off.
+LETTERS, NUMBERS, SPACES = r"\p{L}+", r"\p{N}+", r"\p{White_Space}+"
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: The parts of a tokenizer file under which pieces may be encoded one by one.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+JOINED = 400
+OTHER, LETTER, NUMBER, SPACE, BLANK = 0, 1, 2, 3, 4
+TABLE_BITS = 20
+CACHED = 400_000
+CACHED_BYTES = 1 << 24
+SHORT = 15
 
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, coded binary"
 
@@ -66,27 +69,126 @@ def loaded(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder in a worker, so that tasks share what it has learned."""
+    return Encoder(path)
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """The class of each code point; BLANK is the space itself."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    table = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, LETTERS), (NUMBER, NUMBERS), (SPACE, SPACES)):
+        for m in regex.finditer(pattern, every):
+            a, b = m.span()
+            table[ord(every[a]) : ord(every[b - 1]) + 1] = kind
+    table[0xD800:0xE000] = OTHER
+    table[0x20] = BLANK
+    return table
+
+
+def byte_classes(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The class of each byte's character, and which bytes continue one (None if no byte does)."""
+    kinds = classes[:256][data]
+    high = np.flatnonzero(data >= 0x80)
+    if not len(high):
+        return kinds, None
+    inner = (data & 0xC0) == 0x80
+    lead = high[data[high] >= 0xC0]
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+    first = padded[lead]
+    more = [padded[lead + i] & 0x3F for i in (1, 2, 3)]
+    two = (first & 0x1F) << 6 | more[0]
+    three = (first & 0x0F) << 12 | more[0] << 6 | more[1]
+    four = (first & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+    code = np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))
+    kind = classes[np.minimum(code, 0x10FFFF)]
+    kinds[high] = OTHER
+    kinds[lead] = kind
+    for i, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        longer = first >= least
+        at = lead[longer] + i
+        inside = at < len(data)
+        kinds[at[inside]] = kind[longer][inside]
+    return kinds, inner
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where pieces start in UTF-8 texts that lie one after the other.
+
+    Runs of letters, of numbers and of all else are pieces, each with a space
+    right before it; white space before that is a piece of its own, and so are
+    the endings after an apostrophe that opens a run.
+    """
+    n = len(data)
+    kinds, inner = byte_classes(data, classes)
+    blank = kinds == BLANK
+    white = kinds >= SPACE
+    kinds[blank] = SPACE
+    start = np.ones(n + 1, bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=start[1:-1])
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    start |= edge
+    # the last character of white space that something follows: a space goes with that, any other is a piece
+    last = np.zeros(n, bool)
+    last[:-1] = white[:-1] & start[1:n] & ~edge[1:n]
+    taken = np.zeros(n + 1, bool)
+    taken[1:] = last & blank
+    if inner is not None:
+        for i in np.flatnonzero(last & inner):
+            last[i] = False
+            while inner[i]:
+                i -= 1
+            last[i] = True
+    marks = np.flatnonzero(data == 0x27)
+    marks = marks[start[marks] & ~taken[marks]]
+    start[:-1] |= last
+    start &= ~taken
+    for at in marks.tolist():
+        end = int(offsets[np.searchsorted(offsets, at, "right")])
+        after = data[at + 1 : min(at + 3, end)].tobytes()
+        for ending in ENDINGS:
+            if after.startswith(ending):
+                start[at + 1] = False
+                to = at + 1 + len(ending)
+                if to < end and kinds[to] == LETTER:
+                    start[to] = True
+                break
+    return np.flatnonzero(start[:-1])
+
+
 class Encoder:
     """Encodes texts by the tokenizers library, each distinct piece of text once.
 
-    Merging never crosses the pieces that the byte-level tokenizer cuts first, so
-    the ids of a text are those of its pieces.
+    Merging never crosses the pieces that a byte-level tokenizer cuts first, so
+    the ids of a text are those of its pieces.  Pieces of up to SHORT bytes are
+    looked up as two numbers that hold all their bytes and their length; longer
+    ones by their bytes.  With a tokenizer file of another kind, and for texts
+    that hold one of its special tokens or a zero byte, the library encodes
+    whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = loaded(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = self.tokenizer.get_vocab_size()
-        self.opens = np.zeros(self.alphabet, bool)
-        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
-        self.cut = regex.compile(PIECES).findall
+        parts = json.loads(self.tokenizer.to_str())
+        cutter = parts["pre_tokenizer"] or {}
+        self.by_piece = parts["normalizer"] is None and parts["post_processor"] is None and parts["truncation"] is None and parts["padding"] is None and all(cutter.get(k) == v for k, v in BYTE_LEVEL.items()) and not parts["model"].get("dropout")
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1] if self.by_piece else -1
+        self.classes = character_classes()
         self.forget()
 
     def forget(self) -> None:
-        """Empties the cache: pieces by number, and the ids and their count by a piece's number."""
-        self.index: dict[str, int] = defaultdict(count().__next__)
-        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.chars = 0
+        """Empties the cache: the table of short pieces, the long ones, and the ids and their count by a piece's number."""
+        self.low, self.high = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.uint64)
+        self.number = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.ids, self.lengths, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.bytes = 0
 
     def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces that are encoded one by one, and how many each has."""
@@ -94,85 +196,163 @@ class Encoder:
         return np.array([i for x in coded for i in x], np.int32), np.array([len(x) for x in coded], np.int32)
 
     def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces of one space and letters, many at a time: a token that opens with a space begins a piece."""
-        texts = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-        ids = np.array([i for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in x.ids], np.int32)
-        begin = np.flatnonzero(self.opens[ids])
-        if len(begin) != len(words):  # the tokenizer's letters are not quite ours
+        """The same for pieces that are no white space, many at a time: a line feed between two pieces is a piece of its own."""
+        texts = ["\n".join([*words[i : i + JOINED], ""]) for i in range(0, len(words), JOINED)]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.array(x.ids, np.int32) for x in coded]) if coded else np.zeros(0, np.int32)
+        ends = np.flatnonzero(flat == self.feed)
+        if len(ends) != len(words):  # the library cuts otherwise than we do
             return self.each(words)
-        return ids, np.diff(np.append(begin, len(ids))).astype(np.int32)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces, which the index has numbered from the end of what is known."""
-        worded = np.array([p[0] == " " and p[1:].isalpha() for p in pieces], bool)
-        ids_a, counts_a = self.joined([p for p, w in zip(pieces, worded, strict=True) if w])
-        ids_b, counts_b = self.each([p for p, w in zip(pieces, worded, strict=True) if not w])
-        counts, starts = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int64)
+        return flat[flat != self.feed], np.diff(ends, prepend=-1).astype(np.int32) - 1
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes pieces, numbered from the end of what is known."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        worded = np.array([not t.isspace() for t in texts], bool)
+        ids_a, counts_a = self.joined([t for t, w in zip(texts, worded, strict=True) if w])
+        ids_b, counts_b = self.each([t for t, w in zip(texts, worded, strict=True) if not w])
+        counts, starts = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
         counts[worded], counts[~worded] = counts_a, counts_b
         starts[worded], starts[~worded] = np.cumsum(counts_a) - counts_a, len(ids_a) + np.cumsum(counts_b) - counts_b
         self.ids = np.concatenate([self.ids, np.concatenate([ids_a, ids_b])[ragged(starts, counts)]])
         self.lengths = np.concatenate([self.lengths, counts])
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
-        self.chars += sum(map(len, pieces))
-
-    def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with the end id, and how many each has."""
-        if any(s in t for t in texts for s in self.specials):
-            coded = [[*x.ids, end] for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for x in coded for i in x], np.int32), np.array([len(x) for x in coded], np.int64)
-        if len(self.index) > CACHED or self.chars > CACHED_CHARS:
+        self.bytes += sum(map(len, pieces))
+
+    def probe(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The numbers of short pieces; -1 for those that are not known."""
+        slot = self.slot(low, high)
+        found = self.number[slot]
+        same = (self.low[slot] == low) & (self.high[slot] == high)
+        left = np.flatnonzero((found >= 0) & ~same)
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << TABLE_BITS) - 1)
+            at = slot[left]
+            found[left] = self.number[at]
+            left = left[(found[left] >= 0) & ((self.low[at] != low[left]) | (self.high[at] != high[left]))]
+        return found
+
+    @staticmethod
+    def slot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = (low ^ (high * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def insert(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Puts distinct short pieces into the table; of several that meet at a place the last gets it."""
+        slot = self.slot(low, high)
+        while len(slot):
+            free = self.number[slot] < 0
+            at = slot[free]
+            self.number[at], self.low[at], self.high[at] = number[free], low[free], high[free]
+            lost = self.number[slot] != number
+            # the table's lines agree with the number that won
+            won = ~lost
+            self.low[slot[won]], self.high[slot[won]] = low[won], high[won]
+            slot, low, high, number = (slot[lost] + 1) & ((1 << TABLE_BITS) - 1), low[lost], high[lost], number[lost]
+
+    def numbers(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each piece, encoding those that are new."""
+        padded = np.append(data, np.zeros(16, np.uint8))
+        eights = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+        keep = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
+        short = size <= SHORT
+        length = np.minimum(size, SHORT)
+        low = eights[at] & keep[length]
+        high = (eights[at + 8] & keep[np.maximum(length - 8, 0)]) | length.astype(np.uint64) << np.uint64(56)
+        found = self.probe(low, high)
+        long = np.flatnonzero(~short)
+        found[long] = -1
+        new = np.flatnonzero((found < 0) & short)
+        if len(new) or len(long):
+            fresh: list[bytes] = []
+            known = len(self.lengths)
+            if len(new):
+                order = new[np.lexsort((low[new], high[new]))]
+                first = np.ones(len(order), bool)
+                first[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+                one = order[first]
+                fresh = [data[i : i + n].tobytes() for i, n in zip(at[one].tolist(), size[one].tolist(), strict=True)]
+                found[order] = known + np.cumsum(first) - 1
+                self.insert(low[one], high[one], np.arange(known, known + len(one), dtype=np.int32))
+            for i in long.tolist():
+                piece = data[at[i] : at[i] + size[i]].tobytes()
+                if piece not in self.long:
+                    self.long[piece] = known + len(fresh)
+                    fresh.append(piece)
+                found[i] = self.long[piece]
+            if fresh:
+                self.learn(fresh)
+        return found
+
+    def whole(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        coded = [[*x.ids, end] for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for x in coded for i in x], np.int32), np.array([len(x) for x in coded], np.int64)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie one after the other, each with the end id, and how many each has."""
+        raw = data.tobytes()
+        if not self.by_piece or b"\0" in raw or any(s in raw for s in self.specials):
+            return self.whole(data, offsets, end)
+        if len(self.lengths) > CACHED or self.bytes > CACHED_BYTES:
             self.forget()
-        cut = [self.cut(t) for t in texts]
-        pieces = np.array([len(x) for x in cut], np.int64)
-        known = len(self.index)
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int32, int(pieces.sum()))
-        del cut
-        if new := len(self.index) - known:
-            self.learn([*islice(reversed(self.index), new)][::-1])
-        lengths = self.lengths[at]
+        at = cuts(data, offsets, self.classes)
+        piece = self.numbers(data, at, np.diff(at, append=len(data)))
+        lengths = self.lengths[piece]
         sums = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-        counts = np.diff(sums[np.concatenate(([0], np.cumsum(pieces)))]) + 1
+        counts = np.diff(sums[np.searchsorted(at, offsets)]) + 1
         ends = np.cumsum(counts)
         out = np.full(int(ends[-1]) if len(ends) else 0, end, np.int32)
         inside = np.ones(len(out), bool)
         inside[ends - 1] = False
-        out[inside] = self.ids[ragged(self.starts[at], lengths)] if len(at) else 0
+        out[inside] = self.ids[ragged(self.starts[piece], lengths)] if len(at) else 0
         return out, counts
 
 
+def listed(values: pa.Array) -> pa.Array:
+    """One row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int = END_ID) -> DataFrame:
     """The blocks of docs (doc_id, text), in the columns of BLOCKS."""
 
     def run(batches):
-        encoder, shard, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, number = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         held, lengths, names, total = [], [], [], 0
 
         def block():
-            ids = np.concatenate(held)
-            counts = np.concatenate(lengths)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "doc_ids": pa.array([names], pa.list_(pa.int64())), "lengths": pa.array([counts.tolist()], pa.list_(pa.int64())), "coded": pa.array([encode(ids, encoder.alphabet)], pa.binary())})
-
-        for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, whole.num_rows, ROWS)):
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            a = 0
-            while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b] or "") <= TEXTS_CHARS):
-                    chars += len(texts[b] or "")
-                    b += 1
-                coded, counts = encoder.encode([t or "" for t in texts[a:b]], end)
-                if total and total + len(coded) > block_ids:
-                    yield block()
-                    number, held, lengths, names, total = number + 1, [], [], [], 0
-                held.append(coded)
-                lengths.append(counts)
-                names += ids[a:b]
-                total += len(coded)
-                a = b
+            ids, counts = np.concatenate(held), np.concatenate(lengths)
+            columns = {
+                "shard": pa.array([shard], pa.int32()),
+                "block": pa.array([number], pa.int32()),
+                "n_ids": pa.array([len(ids)], pa.int64()),
+                "doc_ids": listed(pa.concat_arrays(names)),
+                "lengths": listed(pa.array(counts, pa.int64())),
+                "coded": pa.array([encode(ids, encoder.alphabet)], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
+
+        for batch in batches:
+            for low, _, raw, rows in chunks(*buffers(batch.column(1)), TEXTS_BYTES):
+                coded, counts = encoder.encode(raw, rows, end)
+                ends = np.cumsum(counts)
+                at, done = 0, 0
+                while at < len(counts):
+                    # as many whole documents as the block has room for, or one that is longer than a block
+                    to = int(np.searchsorted(ends, done + block_ids - total, "right"))
+                    to = max(to, at + (total == 0))
+                    if to > at:
+                        held.append(coded[done : ends[to - 1]])
+                        lengths.append(counts[at:to])
+                        names.append(batch.column(0).slice(low + at, to - at))
+                        total += int(ends[to - 1]) - done
+                        at, done = to, int(ends[to - 1])
+                    if at < len(counts):
+                        yield block()
+                        number, held, lengths, names, total = number + 1, [], [], [], 0
         if names:
             yield block()
-        del encoder
         held.clear()
         give_back()
 
@@ -204,16 +384,23 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = decode(batch.column("coded")[i].as_py())
-                lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
+                ids = decode(batch.column("coded")[i].as_py()).astype("<u4")
+                counts = batch.column("lengths")[i].values
+                lengths = counts.to_numpy()
                 ends = np.cumsum(lengths)
-                if int(ends[-1]) != len(ids):
+                if len(lengths) and int(ends[-1]) != len(ids):
                     raise ValueError("a block's lengths don't match its ids")
-                raw = ids.astype("<u4")
-                n = len(lengths)
-                out = {"shard": batch.column("shard").take(pa.array([i] * n)), "block": batch.column("block").take(pa.array([i] * n)), "inside": pa.array(ends - lengths), "doc_id": pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()), "n_tokens": pa.array(lengths), "ids_crc32": pa.array([zlib.crc32(raw[b - k : b].tobytes()) for b, k in zip(ends, lengths, strict=True)], pa.int64())}
+                n, raw, cut = len(lengths), memoryview(ids).cast("B"), (4 * np.append(0, ends)).tolist()
+                out = {
+                    "shard": pa.array(np.full(n, batch.column("shard")[i].as_py(), np.int32)),
+                    "block": pa.array(np.full(n, batch.column("block")[i].as_py(), np.int32)),
+                    "inside": pa.array(ends - lengths),
+                    "doc_id": batch.column("doc_ids")[i].values,
+                    "n_tokens": counts,
+                    "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int64()),
+                }
                 if with_ids:
-                    out["ids"] = pa.array([ids[b - k : b].astype(np.int32) for b, k in zip(ends, lengths, strict=True)], pa.list_(pa.int32()))
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
         give_back()
 

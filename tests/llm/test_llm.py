@@ -205,14 +205,43 @@ def test_pieces_are_those_of_the_library():
 
     encoder = Encoder(byte_bpe_50k())
 
+    def check(texts):
+        raw = [t.encode() for t in texts]
+        ids, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        want = [[*x.ids, 0] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.text(), max_size=4))
     def same(texts):
-        ids, counts = encoder.encode(texts)
-        want = [[*x.ids, 0] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+        check(texts)
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.lists(st.text("ab Zé\u00a0\u2003\n\t'strelvmd1\u0663.,!\u6f22\U0001f600", max_size=30), max_size=4))
+    def same_edges(texts):
+        check(texts)
 
     same()
+    same_edges()
+    check(["it's we'll I'd 'tis don't''s x'S 's's  'm\n're", " 's", "'", "l'l", "l'll'll"])
+    check(["a" * 15 + " " + "a" * 16 + " " + "b" * 100, "a\0b", "<|endoftext|> x"])
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encoder = Encoder(byte_bpe_50k().replace("byte_bpe_50k", "word_bpe_49k"))
+    raw = "Hello World  it's".encode()
+    ids, counts = encoder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert not encoder.by_piece and ids.tolist() == [*encoder.tokenizer.encode("Hello World  it's", add_special_tokens=False).ids, 0]
+
+
+def test_coder_learns(docs):
+    """Counted orders 1 and 2 take far less than the entropy of order 0."""
+    encoder = Encoder(byte_bpe_50k())
+    texts = [(r["text"] or "").encode() for r in docs.select("text").collect()]
+    ids, _ = encoder.encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    counts = np.bincount(ids)
+    p = counts[counts > 0] / len(ids)
+    assert 8 * len(encode(ids, encoder.alphabet)) < 0.9 * len(ids) * -(p * np.log2(p)).sum()
 
 
 # 5 -------------------------------------------------------------------------
