@@ -37,7 +37,6 @@ LANES = 4096
 STEPS = 256
 TAIL = 4
 SLOT_BITS = 18
-RATIO = 2
 WEIGHT0 = 4
 KINDS = 5
 WORD = np.uint64(0xFFFFFFFF)
@@ -57,106 +56,147 @@ def differs(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-class Order:
-    """What has followed each context: sorted observations (context and id in one number), and the share of the code space by confidence."""
+def levels(size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The level of confidence of contexts by their observations and how many different ones."""
+    level = CLASS[np.minimum(size, len(CLASS) - 1)]
+    for j in (3, 2, 1):
+        level += (kinds << j) > size
+    level += kinds >= size
+    return level
+
 
-    def __init__(self, contexts: int, bits: int, kind: type):
-        self.bits, self.mask, self.kind = kind(bits), kind((1 << bits) - 1), kind
-        self.keys, self.fresh = np.zeros(0, kind), np.zeros(0, bool)
-        self.sizes, self.kinds = np.zeros(contexts, np.int32), np.zeros(contexts, np.int32)
-        self.level, self.first = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
+class Shares:
+    """How much of the code space contexts of each level get, from how often they have held the id that came."""
+
+    def __init__(self):
         self.held, self.asked = np.zeros(len(PRIOR), np.int64), np.zeros(len(PRIOR), np.int64)
-        self.settle()
+        self.learn(np.zeros(0, np.int64), np.zeros(0, bool))
 
-    def learn(self, keys: np.ndarray, levels: np.ndarray, hit: np.ndarray) -> None:
-        """Takes in a segment: observations, and which contexts were asked and held the id."""
-        more = np.bincount(keys >> self.bits, minlength=len(self.sizes)).astype(np.int32)
-        self.sizes += more
-        new = np.sort(keys[~hit])
-        self.kinds += np.bincount(new[differs(new)] >> self.bits, minlength=len(self.sizes)).astype(np.int32)
-        rows = np.flatnonzero(more)
-        size, kinds = self.sizes[rows], self.kinds[rows]
-        self.level[rows] = CLASS[np.minimum(size, len(CLASS) - 1)] + sum((kinds << j) > size for j in (3, 2, 1)) + (kinds >= size)
-        self.keys = np.sort(np.concatenate([self.keys, keys]))
-        self.asked += np.bincount(levels, minlength=len(PRIOR))
-        self.held += np.bincount(levels[hit], minlength=len(PRIOR))
-        self.settle()
-
-    def settle(self) -> None:
-        self.fresh = differs(self.keys)
-        self.starts = np.append(np.flatnonzero(self.fresh), len(self.keys))
-        self.run = None
-        self.first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        share = LIMIT * (64 * self.held + 4 * PRIOR) // (64 * self.asked + 256)
-        share[:KINDS] = 0
-        self.share = share
+    def learn(self, level: np.ndarray, hit: np.ndarray) -> None:
+        self.asked += np.bincount(level, minlength=len(PRIOR))
+        self.held += np.bincount(level[hit], minlength=len(PRIOR))
+        self.share = LIMIT * (64 * self.held + 4 * PRIOR) // (64 * self.asked + 256)
+        self.share[:KINDS] = 0  # nothing observed
 
-    def weigh(self, context: np.ndarray, space) -> tuple[np.ndarray, ...]:
-        """Of each context: its level, first observation, number of observations, and the code space of one."""
-        level, size = self.level[context], self.sizes[context]
-        unit = (self.share[level] * space >> TOTAL_BITS) // np.maximum(size, 1)
-        return level, self.first[context], size, unit
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which keys have been observed, and their first observations and how many there are."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        if self.kind is np.uint32:  # sorted, so that neighbours are looked up together
-            both = np.sort(keys.astype(np.uint64) << HALF | np.arange(len(keys), dtype=np.uint64))
-            order, asked = (both & WORD).astype(np.int64), (both >> HALF).astype(np.uint32)
-        else:
-            order = np.argsort(keys)
-            asked = keys[order]
-        distinct = self.keys[self.starts[:-1]]
-        found = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
-        hit, at = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
-        hit[order] = distinct[found] == asked
-        at[order] = found
-        start = self.starts[at]
-        return hit, start, self.starts[at + 1] - start
+    def unit(self, level: np.ndarray, size: np.ndarray, space) -> np.ndarray:
+        """The code space of one observation in contexts of so many."""
+        return (self.share[level] * space >> TOTAL_BITS) // np.maximum(size, 1)
 
-    def at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids at these observations, the first of their observations and how many there are."""
-        if self.run is None:
-            self.run = np.cumsum(self.fresh, dtype=np.int32)
-        run = self.run[place].astype(np.int64)
-        start = self.starts[run - 1]
-        return self.keys[place] & self.mask, start, self.starts[run] - start
 
+class Rest:
+    """Order 0: the ids that no context held."""
 
-class Model:
-    def __init__(self, alphabet: int, n: int):
-        bits = max(1, (alphabet - 1).bit_length())
-        width = 32 if bits <= 16 else 64
-        slot_bits = min(SLOT_BITS, max(8, n.bit_length() - 2), width - bits)
-        self.alphabet, self.bits, self.kind = alphabet, bits, np.uint32 if width == 32 else np.uint64
-        self.shift = np.uint64(64 - slot_bits)
-        self.two, self.one = Order(1 << slot_bits, bits, self.kind), Order(alphabet, bits, self.kind)
+    def __init__(self, alphabet: int):
         self.counts = np.zeros(alphabet, np.int64)
-        self.learn_rest(np.zeros(0, np.int64))
+        self.learn(np.zeros(0, np.int64))
+
+    def learn(self, ids: np.ndarray) -> None:
+        self.counts += np.bincount(ids, minlength=len(self.counts))
+        weights = 1 + WEIGHT0 * self.counts
+        while (total := int(weights.sum())) > 1 << ORDER0_BITS:
+            weights = (weights + 1) >> 1
+        self.edges = np.zeros(len(weights) + 1, np.int64)
+        np.cumsum(weights, out=self.edges[1:])
+        self.edges = (self.edges << ORDER0_BITS) // total
+
+
+class Layout:
+    """How contexts and ids are numbered in a block of n ids that uses so many different ones."""
+
+    def __init__(self, alphabet: int, n: int):
+        self.alphabet, self.bits = alphabet, max(1, (alphabet - 1).bit_length())
+        width = 32 if self.bits <= 16 else 64
+        self.kind = np.uint32 if width == 32 else np.uint64
+        self.slot_bits = min(SLOT_BITS, max(8, n.bit_length() - 2), width - self.bits)
 
     def slot(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The order-2 context of two ids, hashed."""
         x = (before * 0x2545F491 + last).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (x >> self.shift).view(np.int64)
+        return (x >> np.uint64(64 - self.slot_bits)).view(np.int64)
 
     def key(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return (context << self.bits | ids).astype(self.kind)
 
-    def learn_rest(self, ids: np.ndarray) -> None:
-        self.counts += np.bincount(ids, minlength=self.alphabet)
-        weights = 1 + WEIGHT0 * self.counts
-        while (total := int(weights.sum())) > 1 << ORDER0_BITS:
-            weights = (weights + 1) >> 1
-        self.edges = np.zeros(self.alphabet + 1, np.int64)
-        np.cumsum(weights, out=self.edges[1:])
-        self.edges = (self.edges << ORDER0_BITS) // total
 
-    def learn(self, ids, last, slot, levels2, hit2, levels1, hit1) -> None:
-        """Takes in a segment; levels1 and hit1 are of the ids that order 2 did not hold."""
-        self.two.learn(self.key(slot, ids), levels2, hit2)
-        left = np.flatnonzero(~hit2)
-        self.one.learn(self.key(last[left], ids[left]), levels1, hit1)
-        self.learn_rest(ids[left[~hit1]])
+def observed(keys: np.ndarray, layout: Layout, ends: list[int]):
+    """Segment by segment (they end at ends) where its keys (context and id) stand, and of the keys in segments before:
+
+    the level of each key's context, how many of the context have smaller ids,
+    how many are the same key, and how many are of the context.  All from one
+    sort; in a segment, keys come in their own order.
+    """
+    n = len(keys)
+    if layout.kind is np.uint32:
+        both = np.sort(keys.astype(np.uint64) << HALF | np.arange(n, dtype=np.uint64))
+        time, keys = (both & WORD).view(np.int64), (both >> HALF).astype(np.uint32)
+    else:
+        time = np.argsort(keys, kind="stable")
+        keys = keys[time]
+    fresh = differs(keys)
+    group = np.cumsum(fresh, dtype=np.int32)
+    heads = np.flatnonzero(fresh)
+    opens = differs(keys[heads] >> layout.kind(layout.bits))
+    of = np.cumsum(opens) - 1  # the context of each group
+    firsts = np.flatnonzero(opens)
+    segment = np.repeat(np.arange(len(ends), dtype=np.int8), np.diff(ends, prepend=0))[time]
+    count = np.zeros(len(heads), np.int64)
+    for j in range(len(ends)):
+        here = np.flatnonzero(segment == j)
+        mine = group[here].astype(np.int64) - 1
+        if j and len(here):
+            total = np.add.reduceat(count, firsts)
+            level = levels(total, np.add.reduceat((count > 0).astype(np.int64), firsts))
+            smaller = np.cumsum(count) - count
+            own = (total << 8 | level)[of][mine]
+            part = ((smaller - smaller[firsts][of]) << 32 | count)[mine]
+            yield time[here], own & 0xFF, part >> 32, part & 0xFFFFFFFF, own >> 8
+        if j < len(ends) - 1:
+            count += np.bincount(mine, minlength=len(heads))
+
+
+class Order:
+    """What has followed each context, for the decoder: sorted observations (context and id in one number)."""
+
+    def __init__(self, contexts: int, layout: Layout):
+        self.layout, self.shares = layout, Shares()
+        self.bits, self.mask = layout.kind(layout.bits), layout.kind((1 << layout.bits) - 1)
+        self.keys = np.zeros(0, layout.kind)
+        self.sizes, self.kinds = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
+        self.level, self.packed = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
+
+    def learn(self, keys: np.ndarray, level: np.ndarray, hit: np.ndarray) -> None:
+        """Takes in a segment: observations, and which contexts were asked and held the id."""
+        cut_off = len(self.keys) and self.sizes.max() > int(self.shares.share[KINDS:].min()) >> 4
+        self.shares.learn(level, hit)
+        more = np.bincount(keys >> self.bits, minlength=len(self.sizes))
+        self.sizes += more
+        new = np.sort(keys[~hit])
+        new = new[differs(new)]
+        if cut_off:  # some ids may have been observed in a context with too small a share to code them
+            new = new[self.keys[np.minimum(np.searchsorted(self.keys, new), len(self.keys) - 1)] != new]
+        self.kinds += np.bincount(new >> self.bits, minlength=len(self.sizes))
+        self.keys = np.sort(np.concatenate([self.keys, keys]))
+        fresh = differs(self.keys)
+        self.starts = np.append(np.flatnonzero(fresh), len(self.keys))
+        self.run = np.cumsum(fresh, dtype=np.int32)
+        rows = np.flatnonzero(more)
+        self.level[rows] = levels(self.sizes[rows], self.kinds[rows])
+        # one number for each context, so that one look-up gives all
+        self.packed = (np.cumsum(self.sizes) - self.sizes) << 36 | self.sizes << 8 | self.level
+
+    def weigh(self, context: np.ndarray, space) -> tuple[np.ndarray, ...]:
+        """Of each context: its level, first observation, number of observations, and the code space of one."""
+        packed = self.packed[context]
+        level, size = packed & 0xFF, packed >> 8 & 0xFFFFFFF
+        return level, packed >> 36, size, self.shares.unit(level, size, space)
+
+    def at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at these observations, the first of their observations and how many there are."""
+        if not len(place):
+            return (np.zeros(0, np.int64),) * 3
+        run = self.run[place].astype(np.int64)
+        start = self.starts[run - 1]
+        return self.keys[place] & self.mask, start, self.starts[run] - start
 
 
 def shape(n: int) -> tuple[int, int, int]:
@@ -166,15 +206,11 @@ def shape(n: int) -> tuple[int, int, int]:
     return lanes, steps, n - lanes * (steps - 1)
 
 
-def lane_starts(lanes: int, steps: int, tail: int) -> np.ndarray:
-    return np.minimum(np.arange(lanes), tail) * steps + np.maximum(np.arange(lanes) - tail, 0) * (steps - 1)
-
-
 def segments(steps: int):
-    """(first step, end step) of the segments: each RATIO - 1 times as long as all before it."""
+    """(first step, end step) of the segments: fast growing at first, then as long as all before."""
     low = 0
     while low < steps:
-        high = min(steps, max(low + 1, int(low * RATIO)))
+        high = min(steps, max(low + 1, low * (4 if 16 * low <= steps else 2)))
         yield low, high
         low = high
 
@@ -188,27 +224,38 @@ def narrowed(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.flatnonzero(settled | small)
 
 
-def intervals(ids: np.ndarray, last: np.ndarray, before: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The start and width of each id's part of the code space; the model learns from all of them."""
-    slot = model.slot(last, before)
-    level2, first, size, unit = model.two.weigh(slot, SPACE)
-    hit2, at, many = model.two.find(model.key(slot, ids))
-    hit2 &= unit > 0
-    start, width = (at - first) * unit, many * unit
-    left = np.flatnonzero(~hit2)
-    used = (size * unit)[left]
-    x, a = ids[left], last[left]
-    level1, first, size, unit = model.one.weigh(a, SPACE - used)
-    hit1, at, many = model.one.find(model.key(a, x))
-    hit1 &= unit > 0
-    one_start, one_width = used + (at - first) * unit, many * unit
-    used += size * unit
-    low = used + (model.edges[x] * (SPACE - used) >> ORDER0_BITS)
-    high = used + (model.edges[x + 1] * (SPACE - used) >> ORDER0_BITS)
-    start[left] = np.where(hit1, one_start, low)
-    width[left] = np.where(hit1, one_width, high - low)
-    model.learn(ids, last, slot, level2, hit2, level1, hit1)
-    return start, width
+def intervals(ids: np.ndarray, last: np.ndarray, before: np.ndarray, alphabet: int, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The start and width of each id's part of the code space, for all ids of a block in the order of coding.
+
+    Counts of the past come from sorting the whole block; only the shares are
+    learned segment by segment, as the decoder learns them.
+    """
+    n, layout = len(ids), Layout(alphabet, len(ids))
+    start, width, used = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    shares = Shares()
+    for at, level, first, many, size in observed(layout.key(layout.slot(last, before), ids), layout, ends):
+        unit = shares.unit(level, size, SPACE)
+        start[at], width[at], used[at] = first * unit, many * unit, size * unit
+        shares.learn(level, (many * unit) > 0)
+    left = np.flatnonzero(width == 0)
+    x, base = ids[left], used[left]
+    part, wide = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    shares, ends = Shares(), np.searchsorted(left, ends).tolist()
+    for at, level, first, many, size in observed(layout.key(last[left], x), layout, ends):
+        unit = shares.unit(level, size, SPACE - base[at])
+        part[at], wide[at] = base[at] + first * unit, many * unit
+        base[at] += size * unit
+        shares.learn(level, (many * unit) > 0)
+    rest = Rest(alphabet)
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        at = np.flatnonzero(wide[a:b] == 0) + a
+        y, space = x[at], SPACE - base[at]
+        part[at] = rest.edges[y] * space >> ORDER0_BITS
+        wide[at] = (rest.edges[y + 1] * space >> ORDER0_BITS) - part[at]
+        part[at] += base[at]
+        rest.learn(y)
+    start[left], width[left] = part, wide
+    return start.view(np.uint64), width.view(np.uint64)
 
 
 def encode(ids: np.ndarray, alphabet: int) -> bytes:
@@ -221,29 +268,25 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     if not n:
         return MAGIC + struct.pack("<IIIII", n, check, alphabet, len(used), 0) + used
     lanes, steps, tail = shape(n)
-    starts = lane_starts(lanes, steps, tail)
     ids = (np.cumsum(present) - 1)[ids]
     grid = np.zeros((steps + 2, lanes), np.int64)  # two steps of nothing before the first
-    for step in range(steps):
-        m = lanes if step < steps - 1 else tail
-        grid[step + 2, :m] = ids[starts[:m] + step]
-    model = Model(int(present.sum()), n)
+    grid[2:, :tail] = ids[: tail * steps].reshape(tail, steps).T
+    grid[2:-1, tail:] = ids[tail * steps :].reshape(lanes - tail, steps - 1).T
+    ends = [min(n, b * lanes) for _, b in segments(steps)]
+    flat = [grid[i : i + steps].ravel()[:n] for i in (2, 1, 0)]
+    start, width = intervals(*flat, int(present.sum()), ends)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     moved, out = [], []
-    for a, b in segments(steps):
-        end = (b - a) * lanes if b < steps else (b - a - 1) * lanes + tail
-        start, width = intervals(grid[a + 2 : b + 2].ravel()[:end], grid[a + 1 : b + 1].ravel()[:end], grid[a:b].ravel()[:end], model)
-        start, width = start.astype(np.uint64), width.astype(np.uint64)
-        for at in range(0, end, lanes):
-            m = min(lanes, end - at)
-            unit = size[:m] >> np.uint64(TOTAL_BITS)
-            low[:m] += unit * start[at : at + m]
-            size[:m] = unit * width[at : at + m]
-            ready = narrowed(low[:m], size[:m])
-            moved.append(ready)
-            out.append(low[ready] >> HALF)
-            low[ready] <<= HALF
-            size[ready] <<= HALF
+    for at in range(0, n, lanes):
+        m = min(lanes, n - at)
+        unit = size[:m] >> np.uint64(TOTAL_BITS)
+        low[:m] += unit * start[at : at + m]
+        size[:m] = unit * width[at : at + m]
+        ready = narrowed(low[:m], size[:m])
+        moved.append(ready)
+        out.append(low[ready] >> HALF)
+        low[ready] <<= HALF
+        size[ready] <<= HALF
     lane, word = np.concatenate(moved), np.concatenate(out)
     # a lane's words: those it moved out, the one that ends it, and none more; each is read two moves ahead
     counts = np.bincount(lane, minlength=lanes)
@@ -288,9 +331,9 @@ def decode(block: bytes) -> np.ndarray:
         if count < 2 * lanes or not len(names):
             raise ValueError("a block of coded ids doesn't match its checksum")
         given[full] = np.frombuffer(block, "<u4", offset=at)
-        starts = lane_starts(lanes, steps, tail)
-        model = Model(len(names), n)
-        two, one = model.two, model.one
+        grid = np.zeros((steps, lanes), np.int64)
+        layout = Layout(len(names), n)
+        two, one, zero = Order(1 << layout.slot_bits, layout), Order(len(names), layout), Rest(len(names))
         low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         code, read = (given[:lanes] << HALF) | given[lanes : 2 * lanes], 2 * lanes
         last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -299,7 +342,7 @@ def decode(block: bytes) -> np.ndarray:
             for step in range(first, end):
                 m = lanes if step < steps - 1 else tail
                 a = last[:m]
-                slot = model.slot(a, before[:m])
+                slot = layout.slot(a, before[:m])
                 level2, begin, many, unit2 = two.weigh(slot, SPACE)
                 coder = size[:m] >> np.uint64(TOTAL_BITS)
                 value = np.minimum((code[:m] - low[:m]) // np.maximum(coder, np.uint64(1)), np.uint64(SPACE - 1)).astype(np.int64)
@@ -322,10 +365,10 @@ def decode(block: bytes) -> np.ndarray:
                 to, base = left[at], (used + space1)[at]
                 space0 = SPACE - base
                 edge = (((rest - space1)[at] + 1 << ORDER0_BITS) - 1) // space0
-                found = np.searchsorted(model.edges, edge, "right") - 1
+                found = np.searchsorted(zero.edges, edge, "right") - 1
                 x[to] = found
-                start[to] = base + (model.edges[found] * space0 >> ORDER0_BITS)
-                width[to] = base + (model.edges[found + 1] * space0 >> ORDER0_BITS) - start[to]
+                start[to] = base + (zero.edges[found] * space0 >> ORDER0_BITS)
+                width[to] = base + (zero.edges[found + 1] * space0 >> ORDER0_BITS) - start[to]
                 low[:m] += coder * start.astype(np.uint64)
                 size[:m] = coder * width.astype(np.uint64)
                 ready = narrowed(low[:m], size[:m])
@@ -335,12 +378,17 @@ def decode(block: bytes) -> np.ndarray:
                 read += len(ready)
                 low[ready] <<= HALF
                 size[ready] <<= HALF
-                ids[starts[:m] + step] = x
+                grid[step, :m] = x
                 seen.append((x, a.copy(), slot, level2, hit2, level1, hit1))
                 before[:m] = a
                 last[:m] = x
-            model.learn(*map(np.concatenate, zip(*seen, strict=True)))
-        ids = names[ids]
+            x, a, slot, level2, hit2, level1, hit1 = map(np.concatenate, zip(*seen, strict=True))
+            two.learn(layout.key(slot, x), level2, hit2)
+            left = np.flatnonzero(~hit2)
+            x = x[left]
+            one.learn(layout.key(a[left], x), level1, hit1)
+            zero.learn(x[~hit1])
+        ids = names[np.concatenate([grid[:, :tail].T.ravel(), grid[:-1, tail:].T.ravel()])]
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("a block of coded ids doesn't match its checksum")
     return ids
