@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import settle
+from tessera.llm.storage import settle, whole_row
 
 WINDOW = 8
 LEAST = 5
@@ -179,4 +179,5 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
 def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """docs without the documents that hold an item; a null doc_id matches a null doc_id."""
     bad = leaks(docs, items, **settings).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("leaking")), "left_anti")
+    own = docs.select(whole_row(docs).alias("row")).withColumn("id", F.col("row.doc_id").cast("long"))
+    return own.join(bad, F.col("id").eqNullSafe(F.col("leaking")), "left_anti").select("row.*")

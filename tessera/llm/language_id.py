@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import small_batches
 from tessera.llm.textops import buffers, chunks, lower_table
 
 BITS = 13
@@ -177,4 +178,5 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score: trained on docs that are not held out, for every row of docs."""
+    small_batches(docs.sparkSession)
     return predict(docs, train(docs, **bounds)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

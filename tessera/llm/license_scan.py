@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessera.llm.storage import small_batches
 from tessera.llm.textops import alnum_table, buffers, chunks, lower_table, squeezed, words
 
 
@@ -142,4 +143,5 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = MORE_NOTICES, base: tupl
                     }
                 )
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, SCHEMA)

@@ -2,7 +2,7 @@
 
 Tokens are summed per source; a source's repetition rate is its target over
 its size; each document is taken floor(rate) times plus once more if a hash of
-its identifier and the seed, as a number in [0, 1), is below the fraction.
+its identifier, its text and the seed, as a number in [0, 1), is below the fraction.
 
 Targets: sources in order of code points (null last) weigh weights[0],
 weights[1], ... repeating, and share `budget` times all tokens; a target stops
@@ -11,7 +11,7 @@ weight.  Filling in order of size over weight gives that in one pass: a source
 is full if what is left, shared by the weights left, reaches its limit.
 
 Defined results: a null text has size 0; a null source is a source of its own;
-documents of equal doc_id (null included) share their hash.  Sources of size 0
+rows of equal doc_id (null included) and text share their hash.  Sources of size 0
 have target 0.  Other columns are kept by `mix` and not read.  An empty table
 gives no rows.  The table of sources is one row per source, and is the only
 thing that is ordered as a whole.
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import settle, whole_row
+
 WEIGHTS = (5, 2, 1)
 
 
@@ -48,25 +50,34 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return level.select("source", "source_size", F.when(F.col("level").isNull(), limit).otherwise(F.least(limit, share)).alias("target"))
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from the key: 32 bits of MD5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from a document's identifier and text: 32 bits of MD5."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
-    """docs with size, source_size, target and copies."""
-    sized = docs.withColumn("size", size_of(F.col("text")))
+def rated(sized: DataFrame, weights: tuple[int, ...], budget: float, most: int) -> DataFrame:
+    """sized (source, size, u and others) with source_size, target and copies."""
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
     named = sources.select(F.col("source").alias("of_source"), "source_size", "target")
     joined = sized.join(named, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return joined.withColumn("copies", (whole + F.when(uniform(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("int"))
+    return joined.withColumn("copies", (whole + F.when(F.col("u") < rate - whole, 1).otherwise(0)).cast("int")).drop("u")
+
+
+def sized(docs: DataFrame, seed: int) -> DataFrame:
+    """row, doc_id, source, size and u of docs."""
+    own = docs.select(whole_row(docs).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), F.col("row.source").cast("string").alias("source"))
+    return own.select("row", "doc_id", "source", size_of(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
+
+
+def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of each row of docs; texts are read once."""
+    return rated(settle(sized(docs, seed).drop("row")), weights, budget, most)
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
     """The mix itself: the columns of docs, each document as many times as it is taken."""
-    own = docs.select(*docs.columns, F.struct(F.col("doc_id"), F.col("text"), F.col("source")).alias("__of"))
-    plain = own.select("__of.doc_id", "__of.text", "__of.source", F.struct(*docs.columns).alias("__row"))
-    taken = rates(plain, **settings).select("__row", "copies").filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    taken = rated(sized(docs, seed), weights, budget, most).select("row", "copies").filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -14,22 +14,27 @@ components connect is compared in blocks, where pairs of different components
 that share a band and pass the sketch are confirmed; there no such pair is left
 out, so no link between components is lost.
 
+Classes, links and components are told apart by row numbers of the signatures'
+table, never by doc_id, so that a null or repeated doc_id joins nothing.
+
 Defined results: a null or empty text has an empty set, is a component of its
-own and is kept; so is a row with a null doc_id, whose component_id is null.
-Rows of equal doc_id and text share everything; a doc_id with several texts has
-a row for each, in the component of that text.  Other columns are not read.  An
-empty table gives no rows.
+own and is kept.  A component is named by its smallest doc_id, null if it has
+none; kept says that a row has that doc_id, and stays that it is the one row of
+the component to keep (of several rows with that doc_id, the first).  A doc_id
+with several texts has a row for each, in the component of that text.  Other
+columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import stars
-from tessera.llm.storage import give_back, settle, small_batches
+from tessera.llm.storage import give_back, settle, small_batches, whole_row
 from tessera.llm.textops import buffers, chunks, gram_hashes, lower_table, mix, space_table, word_hashes, words
 
 SAMPLES = 256
@@ -83,7 +88,7 @@ def shingles(raw: np.ndarray, rows: np.ndarray, n: int, table: np.ndarray, lower
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows_per_band: int, bits: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), bands and sketch of each row."""
+    """rid (the row's number), doc_id, text_hash, n_shingles, digest (of the set), bands and sketch of each row of docs (doc_id, text_hash, text)."""
     samples = bands * rows_per_band
 
     def run(batches):
@@ -91,7 +96,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_per_band: int, bits: in
         rng = np.random.default_rng(20)
         scale, shift = rng.integers(0, 1 << 31, samples, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, samples, np.uint32)
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             for low, high, raw, rows in chunks(data, offsets):
                 grams, starts = shingles(raw, rows, n, table, lower)
                 counts = np.diff(starts)
@@ -115,14 +120,23 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_per_band: int, bits: in
                         digests[i] = one[j].tobytes() + two[j].tobytes()
                         keys[i] = key[j].view(np.int64)
                         sketches[i] = sketch[j].tobytes()
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(low, high - low), "n_shingles": pa.array(counts), "digest": pa.array(digests, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+                columns = {
+                    "doc_id": batch.column(0).slice(low, high - low),
+                    "text_hash": batch.column(1).slice(low, high - low),
+                    "n_shingles": pa.array(counts),
+                    "digest": pa.array(digests, pa.binary()),
+                    "bands": pa.array(keys, pa.list_(pa.int64())),
+                    "sketch": pa.array(sketches, pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
         give_back()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    made = docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return made.withColumn("rid", F.monotonically_increasing_id())
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """id, grams: the full shingle set of each row of docs (doc_id, text)."""
+    """id, grams: the full shingle set of each row of docs (id, text)."""
 
     def run(batches):
         table, lower = space_table(), lower_table()
@@ -130,10 +144,11 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             data, offsets = buffers(batch.column(1))
             for low, high, raw, rows in chunks(data, offsets):
                 grams, starts = shingles(raw, rows, n, table, lower)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(grams.view(np.int64)))], names=["id", "grams"])
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=["id", "grams"])
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, grams array<long>")
+    return docs.mapInArrow(run, "id long, grams array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -160,24 +175,25 @@ def sketch_words(sketch, bits: int):
 def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, threshold: float) -> DataFrame:
     """The links (a, b) that are left between components, from buckets (bucket, id) that hold several.
 
-    Documents that such buckets connect form a cluster, and each goes once, with
-    its set, to a block of its cluster of about BLOCK_GRAMS shingles.  Two blocks
-    at a time are compared: pairs of different components that share a band and
-    pass the sketch are confirmed on full sets, unless links found before have
-    joined them already; only links that join components are returned.
+    Documents that such buckets connect form a cluster, whose members are dealt
+    to blocks of about BLOCK_GRAMS shingles.  Each two blocks of a cluster, and
+    each block alone, are a task of their own, to which their members go with
+    their sets: pairs of different components that share a band and pass the
+    sketch are confirmed on full sets, unless links found before have joined
+    them already; only links that join components are returned.
     """
     least = open_buckets.groupBy("bucket").agg(F.min("id").alias("b"))
     clusters = stars(open_buckets.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
     rows = clusters.withColumnRenamed("component", "cluster").join(labels, "id").join(sketches.select("id", "sketch", "bands"), "id").join(sets, "id")
     rows = settle(rows)
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS).alias("blocks"))
-    blocked = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.greatest("blocks", F.lit(1))).cast("int"))
-    member = F.struct("id", "component", "sketch", "bands", "grams")
-    lists = blocked.groupBy("cluster", "block", "blocks").agg(F.collect_list(member).alias("members"))
-    alone = lists.select("members", F.expr("slice(members, 1, 0)").alias("others"))
-    large = lists.filter("blocks > 1")
-    other = large.select("cluster", F.col("block").alias("other"), F.col("members").alias("others"))
-    across = large.join(other, "cluster").filter("block < other").select("members", "others")
+    # where members go is worked out without their sets, so that no task gets a cluster as a whole
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = rows.select("id", "cluster").join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    other = dealt.select("id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sides = other.select("id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    member = F.struct((F.col("block") == F.col("low")).alias("first"), "id", "component", "sketch", "bands", "grams")
+    lists = rows.join(sides, "id").groupBy("cluster", "low", "high").agg(F.collect_list(member).alias("members"))
     part = round(threshold * 100)
 
     def run(batches):
@@ -185,14 +201,21 @@ def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFr
             sketch = np.vstack([np.frombuffer(x, np.uint8) for x in part.field("sketch").to_pylist()]).view(np.uint64)
             grams = part.field("grams")
             at, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)  # sorted as unsigned
-            return part.field("id").to_numpy(), part.field("component").to_numpy(), sketch, np.array(part.field("bands").to_pylist(), np.int64), [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            every = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            return part.field("id").to_numpy(), part.field("component").to_numpy(), sketch, np.array(part.field("bands").to_pylist(), np.int64), every
 
         for batch in batches:
             links = []
             for i in range(batch.num_rows):
-                a, ca, sa, ba, ga = read(batch.column(0)[i].values)
-                same = len(batch.column(1)[i]) == 0
-                b, cb, sb, bb, gb = (a, ca, sa, ba, ga) if same else read(batch.column(1)[i].values)
+                members, same = batch.column(0)[i].values, batch.column(1)[i].as_py()
+                first = members.field("first")
+                a, ca, sa, ba, ga = read(members.filter(first))
+                if same:
+                    b, cb, sb, bb, gb = a, ca, sa, ba, ga
+                elif len(a) == len(members) or not len(a):
+                    continue
+                else:
+                    b, cb, sb, bb, gb = read(members.filter(pc.invert(first)))
                 root = {int(c): int(c) for c in (*ca, *cb)}
 
                 def find(c):
@@ -226,22 +249,23 @@ def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFr
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
         give_back()
 
-    return alone.unionByName(across).mapInArrow(run, "a long, b long")
+    return lists.select("members", F.expr("low = high").alias("same")).mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands: int, rows_per_band: int, bits: int) -> DataFrame:
     """id, component for the class representatives that have links."""
     most = most_different(threshold, bands * rows_per_band, bits)
-    members = signed.filter("doc_id is not null and digest is not null")
-    classes = members.groupBy("digest").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
+    members = signed.filter("digest is not null")
+    classes = members.groupBy("digest").agg(F.min_by(F.struct("bands", "sketch", "doc_id", "text_hash"), "rid").alias("s"), F.min("rid").alias("id"))
     per_band = classes.select("id", F.posexplode("s.bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = per_band.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     buckets = settle(per_band.join(shared, "bucket"))
     asked = buckets.select("id").distinct()
     sketches = settle(classes.join(asked, "id", "left_semi").select("id", "s.sketch", "s.bands", sketch_words(F.col("s.sketch"), bits).alias("words")))
-    wanted = sketches.select(F.col("id").alias("doc_id"))
-    sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), n).withColumn("of", F.xxhash64("grams"))
-    sets = settle(sets.groupBy("id", "of").agg(F.first("grams").alias("grams")).drop("of"))
+    # the texts of classes that share a bucket are read again: sets of all others would be written in vain
+    wanted = classes.join(asked, "id", "left_semi").select("id", F.col("s.doc_id").alias("named"), F.col("s.text_hash").alias("hashed"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("named")) & F.col("text_hash").eqNullSafe(F.col("hashed"))).select("id", "text")
+    sets = settle(sets_of(texts, n).groupBy("id").agg(F.first("grams").alias("grams")))
 
     # first each class with its smallest pivot alone, which resolves most buckets; then with some of each open bucket
     least = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"))
@@ -264,15 +288,41 @@ def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands:
     return stars(edges.unionByName(rest))
 
 
-def near_dedup(docs: DataFrame, threshold: float = 0.8, n: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
+def components(docs: DataFrame, threshold: float = 0.8, n: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, stays."""
     bands, rows_per_band = banding(threshold)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    small_batches(docs.sparkSession)
     signed = settle(signatures(plain, n, bands, rows_per_band, bits))
-    links = linked(plain, signed, threshold, n, bands, rows_per_band, bits)
-    classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    found = classes.join(links, F.col("class_id") == F.col("id"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
-    joined = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    links = settle(linked(plain, signed, threshold, n, bands, rows_per_band, bits))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
+    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("id"), best.alias("best"))
+    named = classes.join(links, "id", "left")
+    # only components of several classes are summed up and sent back
+    several = named.filter("component is not null")
+    whole = several.groupBy("component").agg(F.min("best").alias("whole"))
+    found = named.join(whole, "component", "left").select("digest", F.coalesce("whole", "best").alias("best"))
+    joined = signed.select("rid", "doc_id", "text_hash", "n_shingles", "digest").join(found, "digest", "left")
+    alone = F.col("digest").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    stays = alone | (F.col("rid") == F.col("best.rid"))
+    return joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, stays).alias("kept"), stays.alias("stays"))
+
+
+def near_dedup(docs: DataFrame, threshold: float = 0.8, n: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, stays."""
+    return components(docs, threshold, n, bits).drop("text_hash")
+
+
+def without_copies(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
+    """docs with one row of each component, whatever its columns are called."""
+    found = components(docs, threshold, n)
+    counts = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.count_if("stays").alias("staying"))
+    marks = settle(counts.filter("staying < rows").select(F.col("doc_id").alias("named"), F.col("text_hash").alias("hashed"), "staying"))
+    own = docs.select(whole_row(docs).alias("row"))
+    keyed = own.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("named")) & F.col("hash").eqNullSafe(F.col("hashed"))
+    others = keyed.join(marks, same, "left_anti").select("row.*")
+    repeated = keyed.join(marks.filter("staying = 1"), same, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
+    return others.union(repeated)

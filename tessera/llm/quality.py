@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.storage import give_back, settle, small_batches
+from tessera.llm.storage import give_back, settle, small_batches, whole_row
 from tessera.llm.textops import alnum_table, buffers, chunks, gram_hashes, lower_table, space_table, word_hashes
 
 BITS = 16
@@ -126,9 +127,9 @@ def gumbel(doc_id: Column, seed: int) -> Column:
 def scored(docs: DataFrame, ratios: np.ndarray, seed: int = 11, centre: float = 0.0, spread: float = 1.0) -> DataFrame:
     """docs with log_weight, n_grams and key (log_weight less its mean for so many n-grams, over its spread, plus noise)."""
     ratios = ratios.reshape(-1, 1 << BITS)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), fold(F.col("doc_id"), len(ratios)).alias("fold"))
+    own = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), fold(F.col("doc_id"), len(ratios)).alias("fold"))
     text = docs.columns.index("text")
-    schema = docs.schema.simpleString()
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("id", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
 
     def run(batches):
         kinds, lower = kinds_table(), lower_table()
@@ -142,7 +143,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, seed: int = 11, centre: float =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(weight), pa.array(many)], names=["row", "id", "log_weight", "n_grams"])
         give_back()
 
-    made = own.mapInArrow(run, f"row {schema}, id long, log_weight double, n_grams long")
+    made = own.mapInArrow(run, schema)
     return made.withColumn("key", scaled(centre, spread) + gumbel(F.col("id"), seed))
 
 

@@ -47,8 +47,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return rates(docs).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+    return rates(table(spark, sf_dir, "documents")).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +132,7 @@ FROM bodies b JOIN links l USING (conv_id, turn) JOIN reached r USING (conv_id,
 
 OP7 = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -159,7 +158,7 @@ targets AS (
 rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('7:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+         ('0x' || substr(md5('7:' || coalesce(s.doc_id::VARCHAR, 'null') || ':' || s.text), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

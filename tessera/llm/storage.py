@@ -7,7 +7,8 @@ import gc
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 4 << 20
@@ -24,8 +25,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Arrow pass texts on in batches of at most BATCH_BYTES (or of one longer row): what executors and workers hold of them then doesn't depend on how long texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lets Arrow pass texts on in batches of at most BATCH_BYTES (or of one longer row).
+
+    What executors and workers hold of texts then doesn't depend on how long they
+    are.  Spark reads the setting when a plan runs, which for what an operator
+    returns is after the operator; so every operator that reads texts sets it,
+    whichever ran before, and it stays.  A lower bound of the user's own is kept.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    if not (own.isdigit() and 0 < int(own) < BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one value, so that no name of theirs can clash with another's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def give_back() -> None:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import settle
+from tessera.llm.storage import settle, small_batches
 from tessera.llm.textops import buffers, chunks, gram_hashes, ragged, space_table, squeezed, word_hashes, words
 
 WINDOW = 35
@@ -240,6 +240,7 @@ def cut_out(rows: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """One row per row of docs (doc_id, text), in the columns of `cut_out`."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = plain.withColumn("rid", F.xxhash64("doc_id", "text"))
