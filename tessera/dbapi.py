@@ -61,6 +61,11 @@ class Cursor:
             return None
         return [(f.name, f.dataType.simpleString(), None, None, None, None, f.nullable) for f in self.current.df.schema]
 
+    def scalar(self):
+        """The first column of the next row; None if there is none."""
+        row = self.fetchone()
+        return row[0] if row else None
+
     def fetchone(self):
         return next(self.iterator, None)
 

@@ -140,6 +140,12 @@ class Field:
     primary: bool = False
     unique: bool = False
     references: tuple | None = None  # (table, column, on delete)
+    since: int = 0  # the table's layout in which the column came
+    stored: str = ""  # its name in files, if not its own
+
+    @property
+    def inside(self) -> str:
+        return self.stored or self.name
 
 
 @dataclass(frozen=True)
@@ -175,6 +181,26 @@ def children(node: Any):
             yield from (*p, o)
 
 
+def rebuilt(node: Any, change) -> Any:
+    """An expression with each of the expressions right under it changed; queries inside are not entered."""
+    match node:
+        case Binary(op, a, b):
+            return Binary(op, change(a), change(b))
+        case Not(a):
+            return Not(change(a))
+        case IsNull(a):
+            return IsNull(change(a))
+        case Like(a, b):
+            return Like(change(a), change(b))
+        case In(a, items, query):
+            return In(change(a), tuple(map(change, items)), query)
+        case Between(a, b, c):
+            return Between(change(a), change(b), change(c))
+        case Call(name, a, distinct) if a is not None:
+            return Call(name, change(a), distinct)
+    return node
+
+
 def every(node: Any, kind: type):
     if isinstance(node, kind):
         yield node

@@ -258,18 +258,9 @@ class Planner:
 
     def by_alias(self, e, aliases: dict, scope: Scope):
         """HAVING may name an alias of the SELECT list."""
-        match e:
-            case N.Col(name, None) if name.lower() in aliases and not scope.match(e):
-                return aliases[name.lower()]
-            case N.Binary(op, a, b):
-                return N.Binary(op, self.by_alias(a, aliases, scope), self.by_alias(b, aliases, scope))
-            case N.Not(a):
-                return N.Not(self.by_alias(a, aliases, scope))
-            case N.Between(a, b, c):
-                return N.Between(self.by_alias(a, aliases, scope), b, c)
-            case N.IsNull(a):
-                return N.IsNull(self.by_alias(a, aliases, scope))
-        return e
+        if isinstance(e, N.Col) and e.table is None and e.name.lower() in aliases and not scope.match(e):
+            return aliases[e.name.lower()]
+        return N.rebuilt(e, lambda x: self.by_alias(x, aliases, scope))
 
     def joined(self, df: DataFrame, scope: Scope, j: N.Join, ctes: dict) -> DataFrame:
         before = len(scope.columns)
@@ -337,6 +328,8 @@ class Planner:
         shown = [f"\x01{i}" for i in range(len(out))]
         hidden, keys = [], []
         for i, (e, descending) in enumerate(order):
+            if isinstance(e, N.Lit):
+                raise BindingError("ORDER BY needs a column or an expression, not a constant")
             at = next((k for k, item in enumerate(items) if item.expr == e or (isinstance(e, N.Col) and isinstance(item.expr, N.Col) and expr.scope.match(e) and expr.scope.match(e) == expr.scope.match(item.expr))), None)
             if at is None:
                 if q.distinct:
