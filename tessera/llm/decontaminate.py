@@ -22,8 +22,8 @@ Items shorter than a window are one window of their length; one with fewer than
 LITERAL such words must stand in the document as a whole, word for word, however
 short it is.
 
-The benchmark's windows are broadcast if there are at most BROADCAST of them,
-which is counted first; with more, both sides are shuffled by hash, and the
+The benchmark's windows are broadcast if they take at most BROADCAST bytes,
+which are summed up first; with more, both sides are shuffled by hash, and the
 texts of documents that matched are joined again.
 
 Defined results: a null or empty text or item matches nothing; a null doc_id or
@@ -41,7 +41,8 @@ from tessera.llm.storage import settle, whole_row
 WINDOW = 8
 LEAST = 5
 LITERAL = 5
-BROADCAST = 1_000_000
+BROADCAST = 32 << 20
+ROW_BYTES = 200
 
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|ml|l|km/h|mph|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|miles?|feet|ft|inch(?:es)?|met(?:er|re)s?|lit(?:er|re)s?|grams?|kilograms?|dollars?|euros?|cents?|percent|degrees?|%|°C|°F"
@@ -161,7 +162,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, n_changed of each document with an item in it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = settle(item_windows(items, window, literal))
-    small = asked.select("hash").limit(most + 1).count() <= most
+    held = F.length(F.concat_ws(" ", "item_part")) + F.length(F.concat_ws(" ", "item_shape"))
+    small = (asked.agg(F.sum(4 * held + ROW_BYTES)).first()[0] or 0) <= most
     met = matches(docs, asked, window, small)
     slots = F.filter(F.arrays_zip(F.col("item_part").alias("i"), F.col("doc_part").alias("d")), lambda x: is_slot(x["i"]))
     pairs = F.transform(slots, lambda x: F.struct(x["i"].alias("i"), F.concat(F.substring(x["i"], 1, 1), x["d"]).alias("d")))

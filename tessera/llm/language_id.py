@@ -6,9 +6,16 @@ languages have a linear support vector machine of their own, and most votes
 one-versus-one machines.  Features are hashed byte trigrams of the
 lower-cased text, scaled to length one by square roots of frequencies.
 
-Training uses at most PER_LANGUAGE rows of each language, chosen by a hash of
-doc_id, and at most LANGUAGES languages, the most frequent ones; both bounds
-are parameters.  Prediction reads every whole text.
+Languages of unknown code join the family of the most similar texts where there
+are more than the square root of all languages of them, so that the number of
+machines grows with the power 1.5 of the languages and not with their square.
+
+Every lang value is learned, however many there are.  Training uses at most
+PER_LANGUAGE rows of each language, chosen by a hash of doc_id (a parameter);
+each machine is fitted by a task of its own on the rows of its two sides.  The
+driver holds a mean for each language and the machines, which go to the
+executors once.  Prediction reads every whole text: the machines between
+families first, then those of the family found.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
 rows are independent; doc_id may be null or repeat; other columns are not
@@ -18,20 +25,22 @@ every text is `und`.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import small_batches
-from tessera.llm.textops import buffers, chunks, lower_table
+from tessera.llm.storage import settle, small_batches
+from tessera.llm.textops import buffers, lower_table
 
 BITS = 13
 PER_LANGUAGE = 1000
-LANGUAGES = 200
+DENSE_ROWS = 256
 
 #: Families of languages by ISO 639-1 code; any other code is a family of its own.
 FAMILIES = {
@@ -91,15 +100,23 @@ def machine(plus: np.ndarray, minus: np.ndarray, rounds: int = 12, penalty: floa
     return (total / max(t, 1)).astype(np.float32)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> dict:
-    """The machines, from rows of docs (doc_id, text, lang) that are not held out."""
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return {"langs": [], "pairs": []}
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 1.1 * (per_language + 30) / r["count"])])
+def dense(rows: list[bytes]) -> np.ndarray:
+    """Feature vectors from their places and values, as `samples` writes them."""
+    out = np.zeros((len(rows), 1 << BITS), np.float32)
+    for i, x in enumerate(rows):
+        pairs = np.frombuffer(x, np.dtype([("at", "<u2"), ("value", "<f2")]))
+        out[i, pairs["at"]] = pairs["value"]
+    return out
+
+
+def samples(docs: DataFrame, per_language: int) -> DataFrame:
+    """lang, rank, x: at most per_language rows of each language that are not held out, in the order of a hash of doc_id."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
+    counts = rows.groupBy("lang").count()
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.withColumn("u", u).filter(F.col("u") < share[F.col("lang")]).select("lang", "u", "text")
+    # a row for each language, fewer bytes than the machines that will be learned; some more rows than needed are picked, so that enough are
+    share = F.broadcast(counts.select("lang", (F.lit(1.1 * (per_language + 30)) / F.col("count")).alias("share")))
+    picked = rows.withColumn("u", u).join(share, "lang").filter("u < share").select("lang", "u", "text")
 
     def run(batches):
         lower = lower_table()
@@ -107,71 +124,130 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
             data, offsets = buffers(batch.column(2))
             for a in range(0, batch.num_rows, 500):
                 b = min(batch.num_rows, a + 500)
-                yield pa.RecordBatch.from_pydict({"lang": batch.column(0).slice(a, b - a), "u": batch.column(1).slice(a, b - a), "x": [features(data[offsets[i] : offsets[i + 1]], lower).astype(np.float16).tobytes() for i in range(a, b)]})
+                vectors = []
+                for i in range(a, b):
+                    full = features(data[offsets[i] : offsets[i + 1]], lower)
+                    at = np.flatnonzero(full)
+                    pairs = np.empty(len(at), np.dtype([("at", "<u2"), ("value", "<f2")]))
+                    pairs["at"], pairs["value"] = at, full[at]
+                    vectors.append(pairs.tobytes())
+                yield pa.RecordBatch.from_pydict({"lang": batch.column(0).slice(a, b - a), "u": batch.column(1).slice(a, b - a), "x": vectors})
 
-    found: dict[str, list] = {}
     made = picked.mapInArrow(run, "lang string, u double, x binary")
-    for r in made.toLocalIterator():
-        found.setdefault(r["lang"], []).append((r["u"], np.frombuffer(r["x"], np.float16)))
-    langs = sorted(found)
-    by_lang = {x: np.vstack([v for _, v in sorted(found.pop(x), key=lambda r: r[0])[:per_language]]).astype(np.float32) for x in langs}
-    families = sorted({family(x) for x in langs})
-    of = {f: [x for x in langs if family(x) == f] for f in families}
-    pairs = []
-    for f, g in combinations(families, 2):
-        each = max(50, per_language // max(len(of[f]), len(of[g])))
-        pairs.append(("family", families.index(f), families.index(g), machine(np.vstack([by_lang[x][:each] for x in of[f]]), np.vstack([by_lang[x][:each] for x in of[g]]))))
-    for f in families:
-        for a, b in combinations(of[f], 2):
-            pairs.append(("lang", langs.index(a), langs.index(b), machine(by_lang[a], by_lang[b])))
-    return {"langs": langs, "families": families, "family_of": [families.index(family(x)) for x in langs], "pairs": pairs}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "x")) - 1
+    return made.withColumn("rank", rank).filter(F.col("rank") < per_language).select("lang", "rank", "x")
+
+
+def families_of(means: dict[str, np.ndarray]) -> dict[str, list[str]]:
+    """The languages of each family; languages of unknown code are families, or join the most similar one if there are many."""
+    out: dict[str, list[str]] = {}
+    for x in sorted(means):
+        out.setdefault(family(x), []).append(x)
+    known = {f for f in FAMILIES if f in out}
+    alone = [f for f in sorted(out) if f not in known]
+    most = max(len(known), 8, math.ceil(math.sqrt(len(means))))
+    if len(out) <= most:
+        return out
+    unit = {x: m / max(float(np.linalg.norm(m)), 1e-9) for x, m in means.items()}
+    heads = {f: np.mean([unit[x] for x in out[f]], axis=0) for f in sorted(known)}
+    nearest = {f: max((float(unit[f] @ h) for h in heads.values()), default=0.0) for f in alone}
+    while len(heads) < most:  # the one least like all heads so far becomes a head
+        f = min((f for f in alone if f not in heads), key=lambda f: (nearest[f], f))
+        heads[f] = unit[f]
+        nearest = {g: max(v, float(unit[g] @ unit[f])) for g, v in nearest.items()}
+    for f in alone:
+        if f not in heads:
+            to = max(heads, key=lambda h: (float(unit[f] @ heads[h]), h))
+            out[to].extend(out.pop(f))
+    return {f: sorted(of) for f, of in sorted(out.items())}
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
+    """The machines, from rows of docs (doc_id, text, lang) that are not held out."""
+    spark = docs.sparkSession
+    rows = settle(samples(docs, per_language))
+
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(dense(list(part["x"][i : i + DENSE_ROWS])).sum(axis=0) for i in range(0, len(part), DENSE_ROWS))
+        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "mean": [(total / len(part)).astype(np.float32).tobytes()]})
+
+    found = rows.groupBy("lang").applyInPandas(mean, "lang string, mean binary").toPandas()
+    means = {x: np.frombuffer(m, np.float32) for x, m in zip(found["lang"], found["mean"], strict=True)}
+    langs, families = sorted(means), families_of(means)
+    names = list(families)
+    pairs, sides = [], []
+    for f, g in combinations(names, 2):
+        each = max(50, per_language // max(len(families[f]), len(families[g])))
+        sides += [(len(pairs), sign, x, each) for sign, of in ((1, f), (-1, g)) for x in families[of]]
+        pairs.append(("", names.index(f), names.index(g)))
+    for f in names:
+        for a, b in combinations(families[f], 2):
+            sides += [(len(pairs), 1, a, per_language), (len(pairs), -1, b, per_language)]
+            pairs.append((f, families[f].index(a), families[f].index(b)))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["sign", "lang", "rank"])
+        weights = machine(*(dense(list(part["x"][part["sign"] == sign])) for sign in (1, -1)))
+        return pd.DataFrame({"pair": [part["pair"].iloc[0]], "weights": [weights.tobytes()]})
+
+    model = {"langs": langs, "families": families, "pairs": {f: [] for f in ("", *names)}, "weights": {}}
+    if pairs:
+        asked = spark.createDataFrame(sides, "pair int, sign int, lang string, most int")
+        fitted = rows.join(asked, "lang").filter("rank < most").groupBy("pair").applyInPandas(fit, "pair int, weights binary").toPandas()
+        weights = {int(i): np.frombuffer(w, np.float32) for i, w in zip(fitted["pair"], fitted["weights"], strict=True)}
+        for i, (f, a, b) in enumerate(pairs):
+            model["pairs"][f].append((a, b))
+            model["weights"].setdefault(f, []).append(weights[i])
+    model["weights"] = {f: np.vstack(w) for f, w in model["weights"].items()}
+    return model
+
+
+def voted(x: np.ndarray, pairs: list[tuple[int, int]], weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n classes the one with most votes for each line of x (on ties the larger margins), and how sure its closest vote is."""
+    if n == 1:
+        return np.zeros(len(x), np.int64), np.ones(len(x))
+    margins = (x @ weights[:, :-1].T + weights[:, -1]).astype(np.float64)
+    sure = 1 / (1 + np.exp(-2 * np.clip(margins, -20, 20)))
+    votes, least = np.zeros((len(x), n)), np.ones((len(x), n))
+    for j, (a, b) in enumerate(pairs):
+        m, p = margins[:, j], sure[:, j]
+        votes[:, a] += (m > 0) + 1e-3 * np.tanh(m)
+        votes[:, b] += (m <= 0) - 1e-3 * np.tanh(m)
+        least[:, a] = np.minimum(least[:, a], p)
+        least[:, b] = np.minimum(least[:, b], 1 - p)
+    best = votes.argmax(axis=1)
+    return best, least[np.arange(len(x)), best]
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        lower, letter = lower_table(), regex.compile(r"\p{L}")
-        langs, pairs = model["langs"], model["pairs"]
+        lower, letter, model = lower_table(), regex.compile(r"\p{L}"), sent.value
+        names, families, pairs, weights = list(model["families"]), model["families"], model["pairs"], model["weights"]
+
+        def guess(texts: list[np.ndarray]) -> tuple[list[str], list[float]]:
+            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            lettered = [i for i, t in enumerate(texts) if len(t) and letter.search(t.tobytes().decode("utf-8", "replace"))]
+            if not names or not lettered:
+                return langs, scores
+            x = np.vstack([features(texts[i], lower) for i in lettered])
+            best, sure = voted(x, pairs[""], weights.get(""), len(names))
+            for j in np.unique(best).tolist():
+                of = families[names[j]]
+                mine = np.flatnonzero(best == j)
+                lang, own = voted(x[mine], pairs[names[j]], weights.get(names[j]), len(of))
+                for k, at, p in zip(mine.tolist(), lang.tolist(), own.tolist(), strict=True):
+                    langs[lettered[k]], scores[lettered[k]] = of[at], min(p, float(sure[k]))
+            return langs, scores
+
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for low, high, raw, rows in chunks(data, offsets):
-                n, lengths = high - low, np.diff(rows)
-                if not langs or not len(raw):
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(low, n), "lang_pred": ["und"] * n, "score": [0.0] * n})
-                    continue
-                margins = np.zeros((n, len(pairs)), np.float32)
-                for i in range(n):
-                    x = features(raw[rows[i] : rows[i + 1]], lower)
-                    margins[i] = [x @ w[:-1] + w[-1] for *_, w in pairs]
-                votes = np.zeros((n, len(langs)), np.float64)
-                sums, sure = np.zeros((n, len(langs))), np.ones((n, len(langs)))
-                of = np.array(model["family_of"])
-                fam = np.zeros((n, len(model["families"])))
-                for j, (kind, a, b, _) in enumerate(pairs):
-                    m = margins[:, j].astype(np.float64)
-                    p = 1 / (1 + np.exp(-2 * np.clip(m, -20, 20)))
-                    if kind == "family":
-                        fam[:, a] += (m > 0) + 1e-3 * np.tanh(m)
-                        fam[:, b] += (m <= 0) - 1e-3 * np.tanh(m)
-                        sure[:, of == a] = np.minimum(sure[:, of == a], p[:, None])
-                        sure[:, of == b] = np.minimum(sure[:, of == b], 1 - p[:, None])
-                    else:
-                        votes[:, a] += (m > 0) + 1e-3 * np.tanh(m)
-                        votes[:, b] += (m <= 0) - 1e-3 * np.tanh(m)
-                        sure[:, a] = np.minimum(sure[:, a], p)
-                        sure[:, b] = np.minimum(sure[:, b], 1 - p)
-                sums = votes + 1e6 * (of[None, :] == fam.argmax(axis=1)[:, None])
-                best = sums.argmax(axis=1)
-                texts = [raw[rows[i] : rows[i + 1]].tobytes().decode("utf-8", "replace") if lengths[i] else "" for i in range(n)]
-                und = [not letter.search(t) for t in texts]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column(0).slice(low, n),
-                        "lang_pred": ["und" if und[i] else langs[best[i]] for i in range(n)],
-                        "score": [0.0 if und[i] else float(sure[i, best[i]]) for i in range(n)],
-                    }
-                )
+            for low in range(0, batch.num_rows, DENSE_ROWS):
+                high = min(batch.num_rows, low + DENSE_ROWS)
+                langs, scores = guess([data[offsets[i] : offsets[i + 1]] for i in range(low, high)])
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(low, high - low), "lang_pred": langs, "score": scores})
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

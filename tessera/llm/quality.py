@@ -13,9 +13,11 @@ number of n-grams and its spread with the root of it: the key is the weight less
 that mean, over that spread (both measured on the good rows), plus Gumbel noise.
 Resampling without replacement takes the k documents with the largest keys.
 
-k is given, or found from labels: the largest k that lets through all but a
-given share of the documents labelled good.  The noise is a hash of doc_id and
-seed, so reruns agree.  All labelled rows and every whole text are counted.  The
+k is given, or found from labels: as many rows as reach the key that all but a
+given share of the documents labelled good have, by a model that did not count
+them.  Of rows that tie at the k-th key all are in the sample, which can then be
+larger than k: rows of one doc_id and equal weight.  The noise is a hash of
+doc_id and seed, so reruns agree.  All labelled rows and every whole text are counted.  The
 ids labelled good are broadcast if there are at most BROADCAST of them, which is
 counted first; with more, texts are shuffled by doc_id to count the target.
 
@@ -29,6 +31,8 @@ passed on by `resample`.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -185,24 +189,48 @@ def level_of_top(keys: DataFrame, k: int) -> float:
         low, high = r["low"], r["high"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, missed: float = MISSED, seed: int = 11, folds: int = FOLDS, most: int = BROADCAST) -> DataFrame:
-    """row (all columns of docs), id, log_weight, n_grams, key and kept, for every row of docs."""
+class Draw(NamedTuple):
+    """A sample: the numbers of each row (id, log_weight, n_grams, key), the least key in it, and what scores a row."""
+
+    numbers: DataFrame
+    least: float
+    ratios: np.ndarray
+    centre: float
+    spread: float
+
+
+def draw(docs: DataFrame, labels: DataFrame, k: int | None = None, missed: float = MISSED, seed: int = 11, folds: int = FOLDS, most: int = BROADCAST) -> Draw:
+    """The k rows of docs (doc_id, text) with the largest keys; k as given, or the number of rows
+    whose key reaches what all but that share of the held-out rows labelled good have."""
     small_batches(docs.sparkSession)
     good = settle(good_ids(labels))
     small = good.limit(most + 1).count() <= most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ratios = model(docs, those_of(texts, good, small), folds)
-    if not ratios.any():
-        out = scored(docs, ratios, seed)
-        least = float("-inf") if k is None else level_of_top(out.select("key"), k)
-        return out.withColumn("kept", F.col("key") >= F.lit(least))
-    # all are scored and then joined: three numbers a row are moved, and no texts
-    numbers = scored(texts, ratios, seed).select(F.col("id").alias("doc_id"), "log_weight", "n_grams")
-    held = settle(those_of(numbers, good, small))
-    centre, spread = measured(held)
-    out = scored(docs, ratios, seed, centre, spread)
+    ratios = model(texts, those_of(texts, good, small), folds)
+    # three numbers a row are written, so that no later step reads texts again
+    numbers = settle(scored(texts, ratios, seed).select("id", "log_weight", "n_grams"))
+    held, (centre, spread) = None, (0.0, 1.0)
+    if ratios.any():
+        held = settle(those_of(numbers.withColumnRenamed("id", "doc_id"), good, small))
+        centre, spread = measured(held)
+    numbers = numbers.withColumn("key", scaled(centre, spread) + gumbel(F.col("id"), seed))
+    if k is None and held is None:
+        return Draw(numbers, float("-inf"), ratios, centre, spread)
     if k is None:
-        least = level_of_top(held.select((scaled(centre, spread) + gumbel(F.col("doc_id"), seed)).alias("key")), held.count() - int(missed * held.count()))
-    else:
-        least = level_of_top(out.select("key"), k)
-    return out.withColumn("kept", F.col("key") >= F.lit(least))
+        keys = held.select((scaled(centre, spread) + gumbel(F.col("doc_id"), seed)).alias("key"))
+        n = held.count()
+        k = numbers.filter(F.col("key") >= F.lit(level_of_top(keys, n - int(missed * n)))).count()
+    return Draw(numbers, level_of_top(numbers.select("key"), k), ratios, centre, spread)
+
+
+def sample(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """id, log_weight, n_grams, key and kept for every row of docs (doc_id, text)."""
+    drawn = draw(docs, labels, **settings)
+    return drawn.numbers.withColumn("kept", F.col("key") >= F.lit(drawn.least))
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 11, **settings) -> DataFrame:
+    """row (all columns of docs), id, log_weight, n_grams, key and kept, for every row of docs."""
+    drawn = draw(docs, labels, seed=seed, **settings)
+    out = scored(docs, drawn.ratios, seed, drawn.centre, drawn.spread)
+    return out.withColumn("kept", F.col("key") >= F.lit(drawn.least))

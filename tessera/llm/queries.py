@@ -12,7 +12,7 @@ from tessera.llm.language_id import identify
 from tessera.llm.license_scan import scan
 from tessera.llm.mixture import rates
 from tessera.llm.near_dedup import near_dedup
-from tessera.llm.quality import resample
+from tessera.llm.quality import sample
 from tessera.llm.quote_threads import threads
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.token_output import round_trip
@@ -59,8 +59,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "labels")).selectExpr("id AS doc_id", "n_grams", "log_weight", "key", "kept")
+    return sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).selectExpr("id AS doc_id", "n_grams", "log_weight", "key", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

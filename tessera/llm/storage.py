@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,21 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a compressed table in the shared folder, and its path, for `remove` when it is out of use."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the files of shuffles and checkpoints that are out of use, now rather than at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,6 +83,5 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     out = df.checkpoint()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return out

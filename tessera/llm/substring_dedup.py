@@ -13,14 +13,20 @@ anywhere can hold a repeat:
    that occur once are leaves near the root and end here;
 2. the documents that hold others send, for each such anchor, the words of the
    windows around it.  Prefixes have variable length: PREFIX words where at most
-   GROUP suffixes share them, and the whole window where more do; those are
-   leaves of full depth, which need counting only, before and after the shuffle;
-3. groups of equal PREFIX words are sorted in memory and their deep nodes give
-   the repeated windows;
-4. the words of repeated windows go back to their documents.
-
-Words are kept as 32-bit hashes in suffixes (a window is equal if all its 35
-are) and as one 64-bit hash where only counted.
+   GROUP suffixes share them.  Where more do, a window holds the anchor with
+   either half of its other words on one side, so that longer prefixes of the
+   anchor and those words, to the left and to the right, split its windows;
+3. groups of equal prefixes are sorted in memory, in the order of their words,
+   and their deep nodes give the repeated windows;
+4. suffixes that more than GROUP share even the longer prefix with are split by
+   their whole window: those are leaves of full depth, which need counting only,
+   before and after the shuffle;
+5. the words of repeated windows go back to their documents.
+
+In trees windows are compared by their words.  Prefixes are told apart by one
+64-bit hash, which only brings suffixes together; whole windows that are just
+counted by two, over different hashes of their words.  Rows are told apart by
+doc_id and a hash of the text.
 
 Defined results: a null or empty text has no words; rows of equal doc_id and
 text are separate occurrences, so their windows repeat and go in all of them; a
@@ -31,14 +37,16 @@ Other columns are not read.  An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import settle, small_batches
-from tessera.llm.textops import buffers, chunks, gram_hashes, ragged, space_table, squeezed, word_hashes, words
+from tessera.llm.storage import give_back, release, remove, settle, small_batches, written
+from tessera.llm.textops import BASE, OTHER_BASE, buffers, chunks, gram_hashes, mix, ragged, space_table, squeezed, word_hashes, words
 
 WINDOW = 35
 PREFIX = 8
@@ -73,31 +81,46 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def prefixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """rid, key, n: the distinct anchor prefixes of each row."""
+    """did, rid, key, n: the distinct anchor prefixes of each row."""
 
     def run(batches):
         table = space_table()
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = buffers(batch.column(1))
+            did, rid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = buffers(batch.column(2))
             for low, _, raw, own in chunks(data, offsets):
                 begin, end, first = words(raw, own, table)
                 _, _, _, key, row = anchors(word_hashes(raw, begin, end), first, window, prefix)
                 order = np.lexsort((key, row))
                 key, row = key[order], row[order]
                 at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))) if len(key) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[low + row[at]]), "key": signed(key[at]), "n": pa.array(np.diff(np.append(at, len(key))))})
+                of = low + row[at]
+                yield pa.RecordBatch.from_pydict({"did": pa.array(did[of]), "rid": pa.array(rid[of]), "key": signed(key[at]), "n": pa.array(np.diff(np.append(at, len(key))))})
+
+    return rows.select("did", "rid", "text").mapInArrow(run, "did long, rid long, key long, n long")
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, key long, n long")
+
+def halves(at: np.ndarray, start: np.ndarray, last: np.ndarray, hashes: np.ndarray, window: int, prefix: int) -> list[tuple[np.ndarray, ...]]:
+    """(which anchors, their longer prefix, first and last window start) for windows with more words to the right of the anchor, and to the left."""
+    more = (window - prefix + 1) // 2
+    grams = gram_hashes(hashes, prefix + more)
+    out = []
+    low = np.maximum(start, at + prefix + more - window)
+    which = np.flatnonzero(low <= last)
+    out.append((which, mix(grams[at[which]] + np.uint64(1)), low[which], last[which]))
+    high = np.minimum(last, at + prefix + more - window - 1)
+    which = np.flatnonzero(start <= high)
+    out.append((which, mix(grams[at[which] - more] + np.uint64(2)), start[which], high[which]))
+    return out
 
 
 def suffixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """For rows (rid, text, wanted: array of (key, hot)): the words around wanted anchors, or hashes of hot windows."""
+    """For rows (did, rid, text, wanted: array of (key, hot)): the words of the windows around wanted anchors, by their prefix, or by longer ones if hot."""
 
     def run(batches):
         table = space_table()
         for batch in batches:
-            rid = batch.column("rid").to_numpy(zero_copy_only=False)
+            did, rid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "rid"))
             wanted = batch.column("wanted")
             lists = wanted.offsets.to_numpy()
             flat = wanted.values
@@ -115,38 +138,60 @@ def suffixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
                     mine = slice(lists[low + i], lists[low + i + 1])
                     pick[a:b] = np.isin(key[a:b], keys[mine])
                     is_hot[a:b] = np.isin(key[a:b], keys[mine][hot[mine]])
-                cold = np.flatnonzero(pick & ~is_hot)
-                small = (hashes >> np.uint64(32)).astype(">u4").tobytes()
-                base = first[row]
-                out = [(rid[low + row[i]], key[i], start[i] - base[i], last[i] - base[i], small[4 * start[i] : 4 * (last[i] + window)]) for i in cold]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "hot": pa.array([False] * len(out), pa.bool_()),
-                        "rid": pa.array([x[0] for x in out], pa.int64()),
-                        "key": signed(np.array([x[1] for x in out], np.uint64)),
-                        "start": pa.array([x[2] for x in out], pa.int32()),
-                        "last": pa.array([x[3] for x in out], pa.int32()),
-                        "words": pa.array([x[4] for x in out], pa.binary()),
-                    }
-                )
-                warm = np.flatnonzero(is_hot)
+                cold, warm = np.flatnonzero(pick & ~is_hot), np.flatnonzero(is_hot)
+                parts = [(cold, key[cold], start[cold], last[cold])]
                 if len(warm):
-                    counts = (last - start + 1)[warm]
-                    p = ragged(start[warm], counts)
-                    of = np.repeat(row[warm], counts)
-                    q = (p - first[of]).astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({"hot": pa.array(np.ones(len(p), bool)), "rid": pa.array(rid[low + of]), "key": signed(gram_hashes(hashes, window)[p]), "start": pa.array(q), "last": pa.array(q), "words": pa.array([None] * len(p), pa.binary())})
+                    parts += [(warm[w], k, s, e) for w, k, s, e in halves(at[warm], start[warm], last[warm], hashes, window, prefix)]
+                for hot_part, (which, its, s, e) in enumerate(parts):
+                    base, of = first[row[which]], low + row[which]
+                    text = [raw[i:j].tobytes() for i, j in zip(begin[s].tolist(), end[e + window - 1].tolist(), strict=True)]
+                    columns = {
+                        "hot": pa.array(np.full(len(which), hot_part > 0)),
+                        "did": pa.array(did[of]),
+                        "rid": pa.array(rid[of]),
+                        "key": signed(its),
+                        "start": pa.array((s - base).astype(np.int32)),
+                        "last": pa.array((e - base).astype(np.int32)),
+                        "words": pa.array(text, pa.binary()),
+                    }
+                    yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
-    return rows.mapInArrow(run, "hot boolean, rid long, key long, start int, last int, words binary")
+    return rows.mapInArrow(run, "hot boolean, did long, rid long, key long, start int, last int, words binary")
 
 
-def deep_nodes(rid: np.ndarray, start: np.ndarray, sizes: np.ndarray, flat: bytes, window: int) -> tuple[np.ndarray, ...]:
-    """Sorts all suffixes of some whole groups; (rid, first, end) of the words under nodes a window deep."""
+def windows_of(found: DataFrame, window: int) -> DataFrame:
+    """did, rid, start and two hashes of each window of the suffixes found."""
+
+    def run(batches):
+        table = space_table()
+        for batch in batches:
+            did, rid, start = (batch.column(c).to_numpy() for c in ("did", "rid", "start"))
+            data, offsets = buffers(batch.column("words"))
+            for low, _, raw, own in chunks(data, offsets):
+                begin, end, first = words(raw, own, table)
+                counts = np.diff(first) - window + 1
+                p = ragged(first[:-1], counts)
+                of = low + np.repeat(np.arange(len(counts)), counts)
+                one, two = (gram_hashes(word_hashes(raw, begin, end, base), window)[p] for base in (BASE, OTHER_BASE))
+                places = start[of] + (p - first[of - low])
+                yield pa.RecordBatch.from_pydict({"did": pa.array(did[of]), "rid": pa.array(rid[of]), "start": pa.array(places.astype(np.int32)), "one": signed(one), "two": signed(two)})
+
+    return found.select("did", "rid", "start", "words").mapInArrow(run, "did long, rid long, start int, one long, two long")
+
+
+def ranks(texts: list[bytes]) -> np.ndarray:
+    """Equal numbers for equal words of all texts, one after the other."""
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    return np.fromiter(map(number.__getitem__, chain.from_iterable(t.split() for t in texts)), ">u4")
+
+
+def deep_nodes(start: np.ndarray, sizes: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Sorts all suffixes of some whole groups; (record, first, end) of the words under nodes a window deep."""
     counts = sizes - window + 1
     places = np.cumsum(sizes) - sizes
     at = ragged(places, counts)
     record = np.repeat(np.arange(len(sizes)), counts)
-    text = np.frombuffer(flat, ">u4")
     tree = np.ascontiguousarray(text[at[:, None] + np.arange(window)])
     order = np.argsort(tree.view(f"S{4 * window}").ravel(), kind="stable")
     near = tree[order]
@@ -160,28 +205,29 @@ def deep_nodes(rid: np.ndarray, start: np.ndarray, sizes: np.ndarray, flat: byte
     record, where = record[hit], (start[record] + at - places[record])[hit]
     edge = np.flatnonzero(np.concatenate(([True], record[1:] != record[:-1]))) if len(record) else np.zeros(0, np.int64)
     # a record's windows all hold its anchor, so what they cover is one interval
-    return rid[record[edge]], where[edge], where[np.append(edge[1:], len(record)) - 1] + window if len(record) else where
+    return record[edge], where[edge], where[np.append(edge[1:], len(record)) - 1] + window if len(record) else where
 
 
-def repeats_in_groups(cold: DataFrame, window: int) -> DataFrame:
-    """rid, first, end of repeated words, from suffixes sorted by key inside each partition."""
+def repeats_in_groups(found: DataFrame, window: int) -> DataFrame:
+    """did, rid, first, end of repeated words, from suffixes sorted by key inside each partition."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        count = 0
+        total = 0
 
         def solve(table):
             sizes = (table.column("last").to_numpy() - table.column("start").to_numpy()).astype(np.int64) + window
-            flat = b"".join(table.column("words").to_pylist())
-            rid, first, end = deep_nodes(table.column("rid").to_numpy(), table.column("start").to_numpy().astype(np.int64), sizes, flat, window)
-            return pa.RecordBatch.from_pydict({"rid": pa.array(rid), "first": pa.array(first.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
+            text = ranks(table.column("words").to_pylist())
+            at, first, end = deep_nodes(table.column("start").to_numpy().astype(np.int64), sizes, text, window)
+            did, rid = table.column("did").to_numpy()[at], table.column("rid").to_numpy()[at]
+            return pa.RecordBatch.from_pydict({"did": pa.array(did), "rid": pa.array(rid), "first": pa.array(first.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
 
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 batch = whole.slice(a, 2000)
                 held.append(batch)
-                count += int((batch.column("last").to_numpy() - batch.column("start").to_numpy()).sum()) + batch.num_rows
-                if count < SUFFIXES:
+                total += int((batch.column("last").to_numpy() - batch.column("start").to_numpy()).sum()) + batch.num_rows
+                if total < SUFFIXES:
                     continue
                 table = pa.Table.from_batches(held)
                 key = table.column("key").to_numpy()
@@ -189,12 +235,14 @@ def repeats_in_groups(cold: DataFrame, window: int) -> DataFrame:
                 if cut:
                     yield solve(table.slice(0, cut))
                     held = table.slice(cut).combine_chunks().to_batches()
-                    count = int((table.column("last").to_numpy()[cut:] - table.column("start").to_numpy()[cut:] + 1).sum())
+                    total = int((table.column("last").to_numpy()[cut:] - table.column("start").to_numpy()[cut:] + 1).sum())
         if held:
             yield solve(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
-    sorted_groups = cold.repartition("key").sortWithinPartitions("key")
-    return sorted_groups.select("rid", "key", "start", "last", "words").mapInArrow(run, "rid long, first int, end int")
+    sorted_groups = found.repartition("key").sortWithinPartitions("key")
+    return sorted_groups.select("did", "rid", "key", "start", "last", "words").mapInArrow(run, "did long, rid long, first int, end int")
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
@@ -238,23 +286,33 @@ def cut_out(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<first_word: int, end_word: int>>")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
-    """One row per row of docs (doc_id, text), in the columns of `cut_out`."""
-    small_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = plain.withColumn("rid", F.xxhash64("doc_id", "text"))
+def repeated(rows: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
+    """did, rid, spans: the word ranges of each row that repeated windows cover."""
+    spark = rows.sparkSession
     keys = prefixes(rows, window, prefix)
     often = keys.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key", (F.col("times") > group).alias("hot"))
     often = settle(often)  # a plain table, so that a frequent prefix's side of the join can be split
-    wanted = keys.select("rid", "key").join(often, "key").groupBy("rid").agg(F.collect_set(F.struct("key", "hot")).alias("wanted"))
+    wanted = keys.select("did", "rid", "key").join(often, "key").groupBy("did", "rid").agg(F.collect_set(F.struct("key", "hot")).alias("wanted"))
     wanted = settle(wanted)
-    found = settle(suffixes(rows.join(wanted, "rid"), window, prefix))
-    cold = repeats_in_groups(found.filter("not hot"), window)
-    hot = found.filter("hot").select("rid", "key", "start")
-    again = hot.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    again = settle(again)
-    full = hot.join(again, "key").select("rid", F.col("start").alias("first"), (F.col("start") + window).cast("int").alias("end"))
-    spans = cold.unionByName(full).groupBy("rid").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    found, path = written(suffixes(rows.join(wanted, ["did", "rid"]), window, prefix), "suffixes")
+    many = settle(found.filter("hot").groupBy("key").agg(F.count("*").alias("times")).filter(F.col("times") > group).select("key"))
+    # the few frequent ones are split off before groups are dealt out by their key
+    grouped = repeats_in_groups(found.filter("not hot").unionByName(found.filter("hot").join(many, "key", "left_anti").select(*found.columns)), window)
+    single = windows_of(found.filter("hot").join(many, "key", "left_semi"), window)
+    again = settle(single.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").select("one", "two"))
+    full = single.join(again, ["one", "two"]).select("did", "rid", F.col("start").alias("first"), (F.col("start") + window).cast("int").alias("end"))
+    spans = settle(grouped.unionByName(full).groupBy("did", "rid").agg(F.collect_set(F.struct("first", "end")).alias("spans")))
+    remove(spark, path)
+    return spans
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
+    """One row per row of docs (doc_id, text), in the columns of `cut_out`."""
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("did", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("rid", F.xxhash64("text"))
+    spans = repeated(rows, window, prefix, group)
+    release(docs.sparkSession)  # of what the steps before have written
     empty = F.array().cast("array<struct<first: int, end: int>>")
-    return cut_out(rows.join(spans, "rid", "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans")))
+    return cut_out(rows.join(spans, ["did", "rid"], "left").select("doc_id", "text", F.coalesce("spans", empty).alias("spans")))

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 19
 SEGMENT_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -97,7 +98,7 @@ def inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     """A 64-bit hash of each word, from differences of one running polynomial."""
     out = np.empty(len(begin), np.uint64)
     at = 0
@@ -106,8 +107,8 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
         to = max(at + 1, int(np.searchsorted(end, low + SEGMENT_BYTES, "right")))
         part = data[low : end[to - 1]].astype(np.uint64) + np.uint64(1)
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * powers(BASE, len(part)), out=sums[1:])
-        back = powers(inverse(BASE), len(part) + 1)
+        np.cumsum(part * powers(base, len(part)), out=sums[1:])
+        back = powers(inverse(base), len(part) + 1)
         b, e = begin[at:to] - low, end[at:to] - low
         out[at:to] = mix((sums[e] - sums[b]) * back[b] + (e - b).astype(np.uint64) * SALT)
         at = to
