@@ -13,15 +13,16 @@ is full if what is left, shared by the weights left, reaches its limit.
 Defined results: a null text has size 0; a null source is a source of its own;
 rows of equal doc_id (null included) and text share their hash.  Sources of size 0
 have target 0.  Other columns are kept by `mix` and not read.  An empty table
-gives no rows.  The table of sources is one row per source, and is the only
-thing that is ordered as a whole.
+gives no rows.  The table of sources, one row each, is ordered by ranges, so that
+sources may be as many as hosts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.ordering import running
 from tessera.llm.storage import settle, whole_row
 
 WEIGHTS = (5, 2, 1)
@@ -33,21 +34,23 @@ def size_of(text: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2) -> DataFrame:
     """source, source_size, target for sizes (source, source_size), one row per source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
-    weighed = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    fill = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) * F.lit(budget) - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most
-    filled = weighed.withColumn("left", left).withColumn("weight_left", F.sum("weight").over(after))
+    named = running(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    weighed = named.select("source", "source_size", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")).cast("long").alias("weight"))
+    order = [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    filled = running(weighed, order, {"before": F.col("source_size"), "weight_before": F.col("weight")})
+    total = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    left = F.lit(total["size"]) * F.lit(budget) - F.col("before") * most
+    filled = filled.withColumn("left", left).withColumn("weight_left", F.lit(total["weight"]) - F.col("weight_before"))
     limit = (F.col("source_size") * most).cast("double")
     filled = filled.withColumn("full", limit * F.col("weight_left") <= F.col("weight") * F.col("left"))
     # the first source that is not full sets the level for all after it
-    at_first = F.first(F.when(~F.col("full"), F.struct("left", "weight_left")), ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    level = filled.withColumn("level", at_first)
-    share = F.col("weight") * F.col("level.left") / F.col("level.weight_left")
-    return level.select("source", "source_size", F.when(F.col("level").isNull(), limit).otherwise(F.least(limit, share)).alias("target"))
+    key = F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source"))
+    level = filled.filter("not full").agg(F.min_by(F.struct("left", "weight_left"), key).alias("level")).first()["level"]
+    if level is None:
+        return filled.select("source", "source_size", limit.alias("target"))
+    share = F.col("weight") * F.lit(level["left"]) / F.lit(level["weight_left"])
+    return filled.select("source", "source_size", F.when(F.col("full"), limit).otherwise(F.least(limit, share)).alias("target"))
 
 
 def uniform(doc_id: Column, text: Column, seed: int) -> Column:

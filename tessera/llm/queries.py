@@ -84,17 +84,29 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 OP5 = r"""
-WITH RECURSIVE lines AS (
-  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations
+WITH RECURSIVE messages AS (
+  SELECT conv_id, turn, row_number() OVER () AS message, string_split(text, chr(10)) AS lines FROM conversations
+),
+lines AS (
+  SELECT conv_id, turn, message, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM messages
 ),
 parsed AS (
-  SELECT conv_id, turn,
+  SELECT conv_id, turn, message, pos,
          length(regexp_replace(regexp_extract(line, '^[ \t]*((>[ \t]?)*)', 1), '[ \t]', '', 'g')) AS level,
          trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((>[ \t]?)*)', '')), '[ \t\r]+', ' ', 'g')) AS content,
          regexp_matches(line, '^(On|Le|Am|El) .* (wrote|écrit|schrieb|escribió) ?:[ \t\r]*$') AS said
   FROM lines
 ),
-used AS (SELECT * FROM parsed WHERE content <> '' AND NOT said),
+placed AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY message, level ORDER BY pos) AS run
+  FROM parsed WHERE content <> '' AND NOT said
+),
+used AS (
+  SELECT conv_id, turn, level, content FROM placed
+  UNION ALL
+  SELECT conv_id, turn, level, string_agg(content, ' ' ORDER BY pos) FROM placed
+  GROUP BY conv_id, turn, message, level, run HAVING count(*) > 1
+),
 originals AS (SELECT conv_id, content, min(turn) AS original FROM used WHERE level = 0 GROUP BY ALL),
 votes AS (
   SELECT u.conv_id, u.turn, u.level, o.original, count(*) AS n

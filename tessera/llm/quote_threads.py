@@ -1,16 +1,19 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
-Each message's lines are parsed for nested quote marks; quoted lines are
-normalised and hashed and joined to the first message of the conversation that
-has the line unquoted; the original of most of a message's outermost quoted
-lines is its parent (on ties the latest).  A message without such a quote
-answers the turn before it.  Roots and depths follow by pointer doubling.
-
-A line's content is normalised to lower case with single spaces.  Attribution
-lines ("On ... wrote:" and the like) belong to no body.  Originals are summed up
-to one row per conversation and line before the join, so neither a frequent
-line nor a large conversation is expanded into pairs, and no conversation is
-gathered in one place.
+Each message's lines are parsed for nested quote marks.  Lines of one level that
+follow each other form a passage.  Quoted passages, and their lines for quotes
+of a part, are normalised and hashed and joined to the first message of the
+conversation that has the passage or line unquoted; the original of most of a
+message's outermost quoted passages and lines is its parent (on ties the
+latest).  A message without such a quote answers the turn before it.  Roots and
+depths follow by pointer doubling.
+
+Content is normalised to lower case with single spaces, and a passage's lines
+are joined by one, so that a quote may be wrapped anew.  Attribution lines
+("On ... wrote:" and the like) belong to no body.  Originals are summed up to one
+row per conversation and hash before the join, so neither a frequent line nor a
+large conversation is expanded into pairs, and no conversation is gathered in
+one place.
 
 Defined results: a null text has no lines and an empty body; a null
 conversation or turn has no parent and is its own root; rows of equal
@@ -22,7 +25,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.storage import settle
@@ -32,19 +35,26 @@ MARKS = r"^[ \t]*((>[ \t]?)*)"
 ATTRIBUTION = r"^(On|Le|Am|El) .* (wrote|écrit|schrieb|escribió) ?:[ \t\r]*$"
 
 
-def lines(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, hash of each line with content."""
-    line = messages.select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
+def passages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, hash of each line with content, and of each passage of several."""
+    own = messages.select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), "text")
+    line = own.select("conv_id", "turn", "message", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     level = F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 1), r"[ \t]", ""))
     content = F.trim(F.regexp_replace(F.lower(F.regexp_replace("line", MARKS, "")), r"[ \t\r]+", " "))
-    parsed = line.select("conv_id", "turn", level.alias("level"), content.alias("content"), F.col("line").rlike(ATTRIBUTION).alias("said"))
-    return parsed.filter((F.col("content") != "") & ~F.col("said")).select("conv_id", "turn", "level", F.md5("content").alias("hash"))
+    parsed = line.select("conv_id", "turn", "message", "pos", level.alias("level"), content.alias("content"), F.col("line").rlike(ATTRIBUTION).alias("said"))
+    used = parsed.filter((F.col("content") != "") & ~F.col("said"))
+    # places less ranks are equal for lines that follow each other
+    rank = F.row_number().over(Window.partitionBy("message", "level").orderBy("pos"))
+    runs = used.withColumn("run", F.col("pos") - rank).groupBy("conv_id", "turn", "message", "level", "run")
+    joined = runs.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]).alias("lines"))
+    hashes = F.concat(F.transform("lines", lambda x: F.md5(x)), F.when(F.size("lines") > 1, F.array(F.md5(F.array_join("lines", " ")))).otherwise(F.array().cast("array<string>")))
+    return joined.select("conv_id", "turn", "level", F.explode(hashes).alias("hash"))
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn, quoted_from (whether a quote says so), one row per place."""
     known = messages.filter("conv_id is not null and turn is not null")
-    parsed = lines(known)
+    parsed = passages(known)
     originals = parsed.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     quotes = parsed.filter("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.count("*").alias("n"))
     met = quotes.join(originals, ["conv_id", "hash"]).filter("original < turn")

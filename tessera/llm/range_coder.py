@@ -36,7 +36,7 @@ ORDER0_BITS = 20
 LANES = 4096
 STEPS = 256
 TAIL = 4
-SLOT_BITS = 18
+SLOT_BITS = 17
 WEIGHT0 = 4
 KINDS = 5
 WORD = np.uint64(0xFFFFFFFF)
@@ -119,6 +119,14 @@ class Layout:
 
 
 def observed(keys: np.ndarray, layout: Layout, ends: list[int]):
+    """`parts_observed`, with the first, short segments looked at in a block of their own."""
+    early = sum(end <= len(keys) // 16 for end in ends)
+    if early > 1:
+        yield from parts_observed(keys[: ends[early - 1]], layout, ends[:early], 0)
+    yield from parts_observed(keys, layout, ends, early if early > 1 else 0)
+
+
+def parts_observed(keys: np.ndarray, layout: Layout, ends: list[int], done: int):
     """Segment by segment (they end at ends) where its keys (context and id) stand, and of the keys in segments before:
 
     the level of each key's context, how many of the context have smaller ids,
@@ -140,7 +148,9 @@ def observed(keys: np.ndarray, layout: Layout, ends: list[int]):
     firsts = np.flatnonzero(opens)
     segment = np.repeat(np.arange(len(ends), dtype=np.int8), np.diff(ends, prepend=0))[time]
     count = np.zeros(len(heads), np.int64)
-    for j in range(len(ends)):
+    if done:
+        count += np.bincount(group[segment < done] - 1, minlength=len(heads))
+    for j in range(done, len(ends)):
         here = np.flatnonzero(segment == j)
         mine = group[here].astype(np.int64) - 1
         if j and len(here):

@@ -18,14 +18,15 @@ anywhere can hold a repeat:
    anchor and those words, to the left and to the right, split its windows;
 3. groups of equal prefixes are sorted in memory, in the order of their words,
    and their deep nodes give the repeated windows;
-4. suffixes that more than GROUP share even the longer prefix with are split by
-   their whole window: those are leaves of full depth, which need counting only,
-   before and after the shuffle;
+4. suffixes that more than GROUP share even the longer prefix with are dealt at
+   random to groups of about that size.  What such a group does not resolve by
+   itself may repeat in another: it names each window once, and windows that
+   two groups name are repeated where they were not resolved;
 5. the words of repeated windows go back to their documents.
 
 In trees windows are compared by their words.  Prefixes are told apart by one
-64-bit hash, which only brings suffixes together; whole windows that are just
-counted by two, over different hashes of their words.  Rows are told apart by
+64-bit hash, which only brings suffixes together; windows that groups name by
+two, over different hashes of their words.  Rows are told apart by
 doc_id and a hash of the text.
 
 Defined results: a null or empty text has no words; rows of equal doc_id and
@@ -160,34 +161,14 @@ def suffixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
     return rows.mapInArrow(run, "hot boolean, did long, rid long, key long, start int, last int, words binary")
 
 
-def windows_of(found: DataFrame, window: int) -> DataFrame:
-    """did, rid, start and two hashes of each window of the suffixes found."""
-
-    def run(batches):
-        table = space_table()
-        for batch in batches:
-            did, rid, start = (batch.column(c).to_numpy() for c in ("did", "rid", "start"))
-            data, offsets = buffers(batch.column("words"))
-            for low, _, raw, own in chunks(data, offsets):
-                begin, end, first = words(raw, own, table)
-                counts = np.diff(first) - window + 1
-                p = ragged(first[:-1], counts)
-                of = low + np.repeat(np.arange(len(counts)), counts)
-                one, two = (gram_hashes(word_hashes(raw, begin, end, base), window)[p] for base in (BASE, OTHER_BASE))
-                places = start[of] + (p - first[of - low])
-                yield pa.RecordBatch.from_pydict({"did": pa.array(did[of]), "rid": pa.array(rid[of]), "start": pa.array(places.astype(np.int32)), "one": signed(one), "two": signed(two)})
-
-    return found.select("did", "rid", "start", "words").mapInArrow(run, "did long, rid long, start int, one long, two long")
-
-
 def ranks(texts: list[bytes]) -> np.ndarray:
     """Equal numbers for equal words of all texts, one after the other."""
     number: dict[bytes, int] = defaultdict(count().__next__)
     return np.fromiter(map(number.__getitem__, chain.from_iterable(t.split() for t in texts)), ">u4")
 
 
-def deep_nodes(start: np.ndarray, sizes: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Sorts all suffixes of some whole groups; (record, first, end) of the words under nodes a window deep."""
+def deep_nodes(sizes: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Sorts all suffixes of some whole groups; (record, place in it, whether under a node a window deep, whether the first of its node) of each."""
     counts = sizes - window + 1
     places = np.cumsum(sizes) - sizes
     at = ragged(places, counts)
@@ -197,31 +178,46 @@ def deep_nodes(start: np.ndarray, sizes: np.ndarray, text: np.ndarray, window: i
     near = tree[order]
     same = near[1:] == near[:-1]
     depth = np.where(same.all(axis=1), window, same.argmin(axis=1))
-    deep = np.zeros(len(at), bool)
     node = depth >= window
+    deep, opens = np.zeros(len(at), bool), np.zeros(len(at), bool)
     deep[order[1:][node]] = True
     deep[order[:-1][node]] = True
-    hit = np.flatnonzero(deep)
-    record, where = record[hit], (start[record] + at - places[record])[hit]
-    edge = np.flatnonzero(np.concatenate(([True], record[1:] != record[:-1]))) if len(record) else np.zeros(0, np.int64)
-    # a record's windows all hold its anchor, so what they cover is one interval
-    return record[edge], where[edge], where[np.append(edge[1:], len(record)) - 1] + window if len(record) else where
+    if len(order):
+        opens[order[np.concatenate(([True], ~node))]] = True
+    return record, at - places[record], deep, opens
 
 
-def repeats_in_groups(found: DataFrame, window: int) -> DataFrame:
-    """did, rid, first, end of repeated words, from suffixes sorted by key inside each partition."""
+def solved(table: pa.Table, window: int):
+    """The repeated words of some whole groups as (did, rid, first, end), and the windows that split groups name."""
+    start = table.column("start").to_numpy().astype(np.int64)
+    sizes = (table.column("last").to_numpy() - start) + window
+    did, rid = table.column("did").to_numpy(), table.column("rid").to_numpy()
+    record, place, deep, opens = deep_nodes(sizes, ranks(table.column("words").to_pylist()), window)
+    # a record's windows all hold its anchor, so what they cover is one interval
+    hit = np.flatnonzero(deep)
+    edge = np.flatnonzero(np.concatenate(([True], record[hit][1:] != record[hit][:-1]))) if len(hit) else hit
+    of, first = record[hit[edge]], place[hit[edge]]
+    end = place[hit[np.append(edge[1:], len(hit)) - 1]] + window if len(hit) else first
+    none = pa.nulls(len(of), pa.int64())
+    yield {"did": pa.array(did[of]), "rid": pa.array(rid[of]), "first": pa.array((start[of] + first).astype(np.int32)), "end": pa.array((start[of] + end).astype(np.int32)), "one": none, "two": none}
+    split = table.column("split").to_numpy()
+    if not split.any():
+        return
+    named = np.flatnonzero(split[record] & (opens | ~deep))
+    of, where = record[named], place[named]
+    data, offsets = buffers(table.column("words"))
+    begin, stop, firsts = words(data, offsets, space_table())
+    one, two = (gram_hashes(word_hashes(data, begin, stop, base), window)[firsts[of] + where] for base in (BASE, OTHER_BASE))
+    low, done = (start[of] + where).astype(np.int32), deep[named]
+    yield {"did": pa.array(did[of], mask=done), "rid": pa.array(rid[of], mask=done), "first": pa.array(low), "end": pa.array(low + np.int32(window)), "one": signed(one), "two": signed(two)}
+
+
+def in_groups(found: DataFrame, window: int) -> DataFrame:
+    """What `solved` gives for suffixes sorted by group inside each partition."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         total = 0
-
-        def solve(table):
-            sizes = (table.column("last").to_numpy() - table.column("start").to_numpy()).astype(np.int64) + window
-            text = ranks(table.column("words").to_pylist())
-            at, first, end = deep_nodes(table.column("start").to_numpy().astype(np.int64), sizes, text, window)
-            did, rid = table.column("did").to_numpy()[at], table.column("rid").to_numpy()[at]
-            return pa.RecordBatch.from_pydict({"did": pa.array(did), "rid": pa.array(rid), "first": pa.array(first.astype(np.int32)), "end": pa.array(end.astype(np.int32))})
-
         for whole in batches:
             for a in range(0, whole.num_rows, 2000):
                 batch = whole.slice(a, 2000)
@@ -230,19 +226,19 @@ def repeats_in_groups(found: DataFrame, window: int) -> DataFrame:
                 if total < SUFFIXES:
                     continue
                 table = pa.Table.from_batches(held)
-                key = table.column("key").to_numpy()
+                key = table.column("group").to_numpy()
                 cut = int(np.flatnonzero(key == key[-1])[0])  # the last group may go on
                 if cut:
-                    yield solve(table.slice(0, cut))
+                    yield from map(pa.RecordBatch.from_pydict, solved(table.slice(0, cut), window))
                     held = table.slice(cut).combine_chunks().to_batches()
                     total = int((table.column("last").to_numpy()[cut:] - table.column("start").to_numpy()[cut:] + 1).sum())
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from map(pa.RecordBatch.from_pydict, solved(pa.Table.from_batches(held), window))
         held.clear()
         give_back()
 
-    sorted_groups = found.repartition("key").sortWithinPartitions("key")
-    return sorted_groups.select("did", "rid", "key", "start", "last", "words").mapInArrow(run, "did long, rid long, first int, end int")
+    sorted_groups = found.repartition("group").sortWithinPartitions("group")
+    return sorted_groups.select("did", "rid", "group", "split", "start", "last", "words").mapInArrow(run, "did long, rid long, first int, end int, one long, two long")
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
@@ -295,14 +291,19 @@ def repeated(rows: DataFrame, window: int, prefix: int, group: int) -> DataFrame
     wanted = keys.select("did", "rid", "key").join(often, "key").groupBy("did", "rid").agg(F.collect_set(F.struct("key", "hot")).alias("wanted"))
     wanted = settle(wanted)
     found, path = written(suffixes(rows.join(wanted, ["did", "rid"]), window, prefix), "suffixes")
-    many = settle(found.filter("hot").groupBy("key").agg(F.count("*").alias("times")).filter(F.col("times") > group).select("key"))
-    # the few frequent ones are split off before groups are dealt out by their key
-    grouped = repeats_in_groups(found.filter("not hot").unionByName(found.filter("hot").join(many, "key", "left_anti").select(*found.columns)), window)
-    single = windows_of(found.filter("hot").join(many, "key", "left_semi"), window)
-    again = settle(single.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").select("one", "two"))
-    full = single.join(again, ["one", "two"]).select("did", "rid", F.col("start").alias("first"), (F.col("start") + window).cast("int").alias("end"))
-    spans = settle(grouped.unionByName(full).groupBy("did", "rid").agg(F.collect_set(F.struct("first", "end")).alias("spans")))
+    many = found.filter("hot").groupBy("key").agg(F.ceil(F.count("*") / group).alias("parts")).filter("parts > 1")
+    many = settle(many)  # so that a frequent key's side of the join can be split
+    cold = found.filter("not hot").withColumn("group", F.col("key")).withColumn("split", F.lit(False))
+    part = F.pmod(F.xxhash64("did", "rid", "start"), F.coalesce("parts", F.lit(1)))
+    warm = found.filter("hot").join(many, "key", "left").withColumn("group", F.xxhash64("key", part)).withColumn("split", F.col("parts").isNotNull()).drop("parts")
+    solutions, answers = written(in_groups(cold.unionByName(warm), window), "repeats")
     remove(spark, path)
+    named = solutions.filter("one is not null")
+    again = settle(named.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").select("one", "two"))
+    across = named.filter("did is not null").join(again, ["one", "two"], "left_semi")
+    ranges = solutions.filter("one is null").unionByName(across).groupBy("did", "rid")
+    spans = settle(ranges.agg(F.collect_set(F.struct("first", "end")).alias("spans")))
+    remove(spark, answers)
     return spans
 
 

@@ -195,29 +195,38 @@ class Encoder:
         coded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.array([i for x in coded for i in x], np.int32), np.array([len(x) for x in coded], np.int32)
 
-    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces that are no white space, many at a time: a line feed between two pieces is a piece of its own."""
-        texts = ["\n".join([*words[i : i + JOINED], ""]) for i in range(0, len(words), JOINED)]
+    def joined(self, raw: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that are no white space, one after the other in raw, each with a line feed after it, which is a piece of its own."""
+        ends = np.cumsum(counts)
+        at = [0, *ends[JOINED - 1 :: JOINED].tolist()]
+        at += [len(raw)] * (at[-1] < len(raw))
+        texts = [raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         flat = np.concatenate([np.array(x.ids, np.int32) for x in coded]) if coded else np.zeros(0, np.int32)
-        ends = np.flatnonzero(flat == self.feed)
-        if len(ends) != len(words):  # the library cuts otherwise than we do
-            return self.each(words)
-        return flat[flat != self.feed], np.diff(ends, prepend=-1).astype(np.int32) - 1
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encodes pieces, numbered from the end of what is known."""
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        worded = np.array([not t.isspace() for t in texts], bool)
-        ids_a, counts_a = self.joined([t for t, w in zip(texts, worded, strict=True) if w])
-        ids_b, counts_b = self.each([t for t, w in zip(texts, worded, strict=True) if not w])
-        counts, starts = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64)
-        counts[worded], counts[~worded] = counts_a, counts_b
-        starts[worded], starts[~worded] = np.cumsum(counts_a) - counts_a, len(ids_a) + np.cumsum(counts_b) - counts_b
+        feeds = np.flatnonzero(flat == self.feed)
+        if len(feeds) != len(counts):  # the library cuts otherwise than we do
+            return self.each([raw[i : j - 1].tobytes().decode("utf-8", "replace") for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+        return flat[flat != self.feed], np.diff(feeds, prepend=-1).astype(np.int32) - 1
+
+    def learn(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Encodes the pieces at these places, numbered from the end of what is known."""
+        end = data[at + size - 1]  # a piece that ends in white space is nothing else
+        white = (self.classes[np.minimum(end, 0x7F)] >= SPACE) & (end < 0x80)
+        for i in np.flatnonzero(end >= 0x80).tolist():
+            white[i] = data[at[i] : at[i] + size[i]].tobytes().decode("utf-8", "replace").isspace()
+        words, spaces = np.flatnonzero(~white), np.flatnonzero(white)
+        ends = np.cumsum(size[words] + 1)
+        raw = np.full(int(ends[-1]) if len(words) else 0, 0x0A, np.uint8)
+        raw[ragged(ends - size[words] - 1, size[words])] = data[ragged(at[words], size[words])]
+        ids_a, counts_a = self.joined(raw, size[words] + 1)
+        ids_b, counts_b = self.each([data[at[i] : at[i] + size[i]].tobytes().decode("utf-8", "replace") for i in spaces.tolist()])
+        counts, starts = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        counts[words], counts[spaces] = counts_a, counts_b
+        starts[words], starts[spaces] = np.cumsum(counts_a) - counts_a, len(ids_a) + np.cumsum(counts_b) - counts_b
         self.ids = np.concatenate([self.ids, np.concatenate([ids_a, ids_b])[ragged(starts, counts)]])
         self.lengths = np.concatenate([self.lengths, counts])
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
-        self.bytes += sum(map(len, pieces))
+        self.bytes += int(size.sum())
 
     def probe(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The numbers of short pieces; -1 for those that are not known."""
@@ -264,24 +273,21 @@ class Encoder:
         found[long] = -1
         new = np.flatnonzero((found < 0) & short)
         if len(new) or len(long):
-            fresh: list[bytes] = []
             known = len(self.lengths)
-            if len(new):
-                order = new[np.lexsort((low[new], high[new]))]
-                first = np.ones(len(order), bool)
-                first[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
-                one = order[first]
-                fresh = [data[i : i + n].tobytes() for i, n in zip(at[one].tolist(), size[one].tolist(), strict=True)]
-                found[order] = known + np.cumsum(first) - 1
-                self.insert(low[one], high[one], np.arange(known, known + len(one), dtype=np.int32))
+            order = new[np.lexsort((low[new], high[new]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            fresh = order[first].tolist()
+            found[order] = known + np.cumsum(first) - 1
+            self.insert(low[fresh], high[fresh], np.arange(known, known + len(fresh), dtype=np.int32))
             for i in long.tolist():
                 piece = data[at[i] : at[i] + size[i]].tobytes()
                 if piece not in self.long:
                     self.long[piece] = known + len(fresh)
-                    fresh.append(piece)
+                    fresh.append(i)
                 found[i] = self.long[piece]
             if fresh:
-                self.learn(fresh)
+                self.learn(data, at[fresh], size[fresh])
         return found
 
     def whole(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on the supplied tables and on odd rows."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -294,6 +295,20 @@ def test_threads(spark):
     assert [r["body"] for r in got if r["conv_id"] is None] == ["b"] and [r["body"] for r in got if r["conv_id"] == 4] == ["hi"]
 
 
+def test_threads_passages(spark):
+    """A quote that was wrapped anew is found as a passage, and a part of one by its lines."""
+    talk = [
+        (1, 0, "a", "The first paragraph goes\nover two lines.\n\nAnd another one\nfollows here."),
+        (1, 1, "b", "Something else"),
+        (1, 2, "c", "> The first\n> paragraph goes over\n> two lines.\nYes"),
+        (1, 3, "d", "> follows here.\nNo"),
+        (1, 4, "e", "> > And another one follows\n> > here.\n> No\nHm"),
+        (1, 5, "f", "> The first paragraph\nnot whole"),
+    ]
+    got = {r["turn"]: r for r in threads(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[i]["parent_turn"], got[i]["by_quote"]) for i in range(6)] == [(None, False), (0, False), (0, True), (0, True), (3, True), (4, False)]
+
+
 def test_threads_chain(spark):
     chain = [(7, i, "r", f"> line {i - 1}\nline {i}") for i in range(100)]
     got = {r["turn"]: r for r in threads(spark.createDataFrame(chain, "conv_id long, turn long, role string, text string")).collect()}
@@ -398,6 +413,17 @@ def test_mixture(docs, spark, odd, none):
     assert mixed.columns == odd.columns and mixed.count() == sum(r["copies"] for r in rates(odd).collect())
 
 
+def test_many_sources(spark):
+    """Targets of thousands of sources, some empty, some of equal size, one null."""
+    from tessera.llm.mixture import targets
+
+    rng = np.random.default_rng(2)
+    sizes = {f"host{i}": int(rng.integers(0, 50)) if i % 3 else 1000 * i for i in range(3000)} | {None: 77, "": 5}
+    got = targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert len(got) == len(sizes) and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
 def test_mixture_of_rows_without_ids(spark):
     """Rows of one doc_id or none are drawn each for itself."""
     df = spark.createDataFrame([(None if i % 2 else 7, f"a few words {i}", "s" if i % 4 < 2 else "t") for i in range(4000)], "doc_id long, text string, source string")
@@ -582,11 +608,12 @@ def test_quality_brute(spark, docs):
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0}
     given = docs.select("doc_id", "text", fold(F.col("doc_id")).alias("fold"), gumbel(F.col("doc_id"), 11).alias("noise")).collect()
     token = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\x09-\x0d]+")
-    one = lambda t: word_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]
+    one = functools.cache(lambda t: word_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0])
+    two = functools.cache(lambda a, b: gram_hashes(np.array([a, b], np.uint64), 2)[0])
     grams = {}
     for r in given:
         hashes = [one(t) for t in token.findall((r["text"] or "").lower().encode() if (r["text"] or "").isascii() else low(r["text"]).encode())]
-        pairs = [gram_hashes(np.array(p, np.uint64), 2)[0] for p in zip(hashes, hashes[1:], strict=False)]
+        pairs = [two(a, b) for a, b in zip(hashes, hashes[1:], strict=False)]
         grams[r["doc_id"]] = Counter(int(h) >> (64 - BITS) for h in [*hashes, *pairs])
     raw, of = Counter(), [Counter() for _ in range(FOLDS)]
     for r in given:
