@@ -329,6 +329,84 @@ def test_leaks(docs, rows, spark, odd, none):
     assert clean(odd, items).count() == odd.count()
 
 
+def brute_leaks(texts, items, window=8, least=5, literal=5):
+    """Every window of every document against every window of every item, in loops."""
+    import regex
+
+    from tessera.llm import decontaminate as D
+
+    letters, marks = r"\p{L}\p{N}", f"{D.NUMBER}-{D.JOINT}"
+
+    def marked(t):
+        t = regex.sub(D.CLEAN, "", t or "")
+        if regex.search("[0-9]", t):
+            t = regex.sub("(?<=[0-9])[.,:](?=[0-9])", D.JOINT, t)
+            t = regex.sub(rf"(?<![{letters}])([0-9][0-9{D.JOINT}]*)[ \u00a0]?({D.UNITS})(?![{letters}])", rf"{D.NUMBER}\1 {D.UNIT}\2", t)
+            t = regex.sub(rf"(?<![{letters}{marks}])([0-9][0-9{D.JOINT}]*)(?![{letters}{D.JOINT}])", rf"{D.NUMBER}\1", t)
+        return regex.sub(rf"(?<![{letters}{marks}])(\p{{Lu}}\p{{Ll}})", rf"{D.NAME}\1", t)
+
+    bare = lambda t: regex.sub(rf"([{D.NUMBER}-{D.NAME}])[{letters}{D.JOINT}]+", r"\1", t)
+    split = lambda t: [w for w in regex.split(D.SEPARATOR, t) if w]
+    without = lambda t, chars: regex.sub(f"[{chars}]", "", t)
+    slot = lambda w: D.NUMBER <= w[0] <= D.NAME
+    found = set()
+    asked = []
+    for k, text in items:
+        t = regex.sub(rf"(?<![{letters},;:)]\s){D.NAME}", D.OPEN, marked(text)).lower()
+        plain = without(t, f"{D.NUMBER}-{D.NAME}{D.OPEN}")
+        readings = [(2, t, t.replace(D.OPEN, D.NAME)), (2, without(t, D.OPEN), without(t, D.OPEN)), (1, without(t, D.NAME + D.OPEN), without(t, D.NAME + D.OPEN)), (0, plain, plain)]
+        strong, places, windows = set(), set(), {}
+        for i, (kind, words, shape) in enumerate(readings):
+            words, shape = split(words), split(bare(shape))
+            for at in range(max(1, len(shape) - window + 1) if shape else 0):
+                part = tuple(shape[at : at + window])
+                own = sum(not slot(w) for w in part)
+                places.add(at)
+                if i == 1 and own >= literal:
+                    strong.add(at)
+                if (own >= literal or kind == 0) and kind <= windows.get((at, part), (9,))[0]:
+                    windows.setdefault((at, part), (kind, words[at : at + window]))
+                    if kind < windows[at, part][0]:
+                        windows[at, part] = (kind, words[at : at + window])
+        asked.append((k, strong, places, windows))
+    for i, text in texts:
+        m = marked(text).lower()
+        words = split(without(m, f"{D.NUMBER}-{D.NAME}"))
+        readings = (words, split(bare(without(m, D.NAME))), split(bare(m)))
+        at_all = [defaultdict(list) for _ in readings]
+        sizes = {len(part) for _, _, _, windows in asked for _, part in windows}
+        for shapes, where in zip(readings, at_all, strict=True):
+            for n in sizes:
+                for at in range(len(shapes) - n + 1):
+                    where[tuple(shapes[at : at + n])].append(at)
+        for k, strong, places, windows in asked:
+            offsets = defaultdict(lambda: (set(), set()))
+            for (place, part), (kind, own) in windows.items():
+                for at in at_all[kind].get(part, ()):
+                    matched, pairs = offsets[at - place]
+                    matched.add(place)
+                    pairs |= {(w, w[0] + d) for w, d in zip(own, words[at : at + len(part)], strict=True) if slot(w)}
+            for matched, pairs in offsets.values():
+                enough = (strong and len(matched & strong) >= min(least, len(strong))) or len(matched) >= min(least, len(places))
+                if enough and len({w for w, _ in pairs}) == len(pairs):
+                    found.add((i, k))
+    return found
+
+
+def test_leaks_brute(docs, rows, spark):
+    """Exactly the documents that loops over windows find, with items asked anew in other numbers and names too."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rng = np.random.default_rng(6)
+    again = []
+    for k, text in items:
+        changed = re.sub(r"\d+", lambda m: str(int(m[0]) + 7), text)
+        again += [(10_000 + 4 * k, f"Well, {changed} So it is."), (10_001 + 4 * k, text.lower()), (10_002 + 4 * k, re.sub(r"\d+", lambda m: str(rng.integers(1, 99)), text)), (10_003 + 4 * k, " ".join(text.split()[: len(text.split()) // 2]))]
+    mixed = [*rows, *again, (20_000, None), (20_001, ""), *[(30_000 + i, t) for i, t in enumerate([NAMED.replace("Rome", "Bonn"), NAMED.replace("Anna", "Carla"), "Tom drove 12 km in 2 hours"])]]
+    asked = [*items, (900, NAMED), (901, "Tom drove 12 km in 2 hours, 30 km in 5 hours."), (902, "Yes")]
+    found = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(mixed, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")).collect()}
+    assert found == brute_leaks(mixed, asked) and len(found) > 40
+
+
 def test_templates(spark):
     item = "A farmer in town sold 12 apples to Mary for 3.50 dollars and then gave 12 more to John at 5 km distance."
     texts = [
