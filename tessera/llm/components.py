@@ -28,10 +28,16 @@ def stars(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(anew(least), F.col("a") == F.col("node")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(anew(least), F.col("a") == F.col("node")).filter("b > a").select(
+            F.col("b").alias("a"),
+            F.col("m").alias("b"),
+        ).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(anew(least), F.col("a") == F.col("node"))
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = joined.filter("b <> m").select(
+            F.col("b").alias("a"),
+            F.col("m").alias("b"),
+        ).unionByName(least.select("a", F.col("m").alias("b")))
         edges = settle(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:

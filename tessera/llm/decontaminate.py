@@ -59,7 +59,11 @@ def marked(text: Column) -> Column:
     """Text in which a mark stands before the value of each slot."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), CLEAN, "")
     digits = F.regexp_replace(text, r"(?<=\d)[.,:](?=\d)", JOINT)
-    digits = F.regexp_replace(digits, rf"(?<![\p{{L}}\p{{N}}])(\d[\d{JOINT}]*)[ \u00a0]?({UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1 {UNIT}$2")
+    digits = F.regexp_replace(
+        digits,
+        rf"(?<![\p{{L}}\p{{N}}])(\d[\d{JOINT}]*)[ \u00a0]?({UNITS})(?![\p{{L}}\p{{N}}])",
+        f"{NUMBER}$1 {UNIT}$2",
+    )
     digits = F.regexp_replace(digits, rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{JOINT}])(\d[\d{JOINT}]*)(?![\p{{L}}\p{{N}}{JOINT}])", f"{NUMBER}$1")
     text = F.when(text.rlike(r"\d"), digits).otherwise(text)
     return F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{JOINT}])(\p{{Lu}}\p{{Ll}})", f"{NAME}$1")
@@ -85,7 +89,10 @@ def with_words(rows: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("typed", F.when(F.col("marked").rlike(f"[{NUMBER}-{UNIT}]"), F.split(bare(no_name), SEPARATOR)))
     rows = rows.withColumn("full", F.when(F.col("marked").contains(NAME), F.split(bare(F.col("marked")), SEPARATOR)))
     rows = rows.drop("marked").withColumn("typed", F.coalesce("typed", "words")).withColumn("full", F.coalesce("full", "typed"))
-    return rows.select(*[c for c in rows.columns if c not in ("words", "typed", "full")], *[inner(F.col(c)).alias(c) for c in ("words", "typed", "full")])
+    return rows.select(
+        *[c for c in rows.columns if c not in ("words", "typed", "full")],
+        *[inner(F.col(c)).alias(c) for c in ("words", "typed", "full")],
+    )
 
 
 def is_slot(word: Column) -> Column:
@@ -110,20 +117,42 @@ def item_windows(items: DataFrame, window: int, literal: int) -> DataFrame:
     no_mark = F.regexp_replace("text", f"[{NUMBER}-{NAME}{OPEN}]", "")
     as_name = F.regexp_replace("text", OPEN, NAME)
     readings = [(FULL, F.col("text"), as_name), (FULL, no_open, no_open), (TYPED, no_name, no_name), (PLAIN, no_mark, no_mark)]
-    each = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(kind).alias("reading"), words.alias("words"), shape.alias("shape")) for i, (kind, words, shape) in enumerate(readings)])
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("priority"), F.lit(kind).alias("reading"), words.alias("words"), shape.alias("shape"))
+            for i, (kind, words, shape) in enumerate(readings)
+        ],
+    )
     shaped = texts.select("item_id", F.explode(each).alias("r")).select("item_id", "r.*")
     shaped = shaped.withColumn("words", F.split("words", SEPARATOR)).withColumn("shape", F.split(bare(F.col("shape")), SEPARATOR))
     shaped = settle(shaped.withColumn("words", inner(F.col("words"))).withColumn("shape", inner(F.col("shape"))))
     at = F.when(F.size("shape") < window, F.array(F.lit(1))).otherwise(places(F.col("shape"), window))
-    placed = shaped.filter(F.size("shape") > 0).select("item_id", "priority", "reading", "words", "shape", F.explode(at).alias("place")).withColumn("part", F.slice("shape", F.col("place"), window))
+    placed = shaped.filter(F.size("shape") > 0).select(
+        "item_id",
+        "priority",
+        "reading",
+        "words",
+        "shape",
+        F.explode(at).alias("place"),
+    ).withColumn("part", F.slice("shape", F.col("place"), window))
     own = F.size(F.filter("part", lambda x: ~is_slot(x)))
     placed = placed.withColumn("own", own)
     # a window counts as one of enough words if it does so with all names as slots
     strong = F.max((F.col("priority") == 1) & (F.col("own") >= literal))
     named = placed.groupBy(F.col("item_id").alias("of"), F.col("place").alias("at")).agg(strong.alias("strong"))
     kept = placed.filter((F.col("own") >= literal) | (F.col("reading") == PLAIN))
-    kept = kept.select("item_id", F.slice("words", F.col("place"), window).alias("item_part"), "place", F.col("part").alias("item_shape"), "reading", F.xxhash64("part").alias("hash"), F.size("part").alias("length"))
-    kept = kept.groupBy("item_id", "place", "item_shape", "hash", "length").agg(F.min_by(F.struct("reading", "item_part"), F.col("reading")).alias("r")).select("item_id", "place", "item_shape", "hash", "length", "r.*")
+    kept = kept.select(
+        "item_id",
+        F.slice("words", F.col("place"), window).alias("item_part"),
+        "place",
+        F.col("part").alias("item_shape"),
+        "reading",
+        F.xxhash64("part").alias("hash"),
+        F.size("part").alias("length"),
+    )
+    kept = kept.groupBy("item_id", "place", "item_shape", "hash", "length").agg(
+        F.min_by(F.struct("reading", "item_part"), F.col("reading")).alias("r"),
+    ).select("item_id", "place", "item_shape", "hash", "length", "r.*")
     kept = kept.join(named, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at"))).drop("of", "at")
     totals = named.groupBy("of").agg(F.count_if("strong").alias("n_strong"), F.count("*").alias("n_windows"))
     return kept.join(totals, F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
@@ -143,7 +172,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int, small: bool) -> Data
         spread = rows.select("doc_id", "rid", "words", "typed", "full", F.explode(places(F.col("words"), length)).alias("at"))
         keyed = spread.select("*", *[F.xxhash64(F.slice(c, F.col("at"), length)).alias(f"{c}_hash") for c in ("words", "typed", "full")])
         one, two, three = F.col("words_hash"), F.col("typed_hash"), F.col("full_hash")
-        hashes = F.when((one == two) & (two == three), F.array(one)).when(one == two, F.array(one, three)).when(two == three, F.array(one, two)).otherwise(F.array(one, two, three))
+        hashes = F.when(
+            (one == two) & (two == three),
+            F.array(one),
+        ).when(one == two, F.array(one, three)).when(two == three, F.array(one, two)).otherwise(F.array(one, two, three))
         hashed = keyed.withColumn("hash", F.explode(hashes)).drop("words_hash", "typed_hash", "full_hash")
         if small:
             met = hashed.join(F.broadcast(asked), "hash")
@@ -153,12 +185,30 @@ def matches(docs: DataFrame, items: DataFrame, window: int, small: bool) -> Data
         read = F.when(F.col("reading") == PLAIN, F.col("words")).when(F.col("reading") == TYPED, F.col("typed")).otherwise(F.col("full"))
         own = F.slice(read, F.col("at"), length)
         met = met.filter((own >= F.col("item_shape")) & (own <= F.col("item_shape")))
-        met = met.select("doc_id", "rid", "at", F.slice("words", F.col("at"), length).alias("doc_part"), "item_id", "item_part", "place", "strong", "n_strong", "n_windows")
+        met = met.select(
+            "doc_id",
+            "rid",
+            "at",
+            F.slice("words", F.col("at"), length).alias("doc_part"),
+            "item_id",
+            "item_part",
+            "place",
+            "strong",
+            "n_strong",
+            "n_windows",
+        )
         out = met if out is None else out.unionByName(met)
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST, literal: int = LITERAL, most: int = BROADCAST) -> DataFrame:
+def leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    least: int = LEAST,
+    literal: int = LITERAL,
+    most: int = BROADCAST,
+) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, n_changed of each document with an item in it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = settle(item_windows(items, window, literal))
@@ -167,15 +217,46 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
     met = matches(docs, asked, window, small)
     slots = F.filter(F.arrays_zip(F.col("item_part").alias("i"), F.col("doc_part").alias("d")), lambda x: is_slot(x["i"]))
     pairs = F.transform(slots, lambda x: F.struct(x["i"].alias("i"), F.concat(F.substring(x["i"], 1, 1), x["d"]).alias("d")))
-    grouped = met.select("doc_id", "rid", "item_id", (F.col("at") - F.col("place")).alias("offset"), "place", "strong", "n_strong", "n_windows", pairs.alias("pairs")).groupBy("doc_id", "rid", "item_id", "offset")
-    found = grouped.agg(F.size(F.collect_set(F.when(F.col("strong"), F.col("place")))).alias("strong"), F.max("n_strong").alias("n_strong"), F.size(F.collect_set("place")).alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    grouped = met.select(
+        "doc_id",
+        "rid",
+        "item_id",
+        (F.col("at") - F.col("place")).alias("offset"),
+        "place",
+        "strong",
+        "n_strong",
+        "n_windows",
+        pairs.alias("pairs"),
+    ).groupBy("doc_id", "rid", "item_id", "offset")
+    found = grouped.agg(
+        F.size(F.collect_set(F.when(F.col("strong"), F.col("place")))).alias("strong"),
+        F.max("n_strong").alias("n_strong"),
+        F.size(F.collect_set("place")).alias("n_matched"),
+        F.max("n_windows").alias("n_windows"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    )
     values = F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"])))
     changed = F.size(F.filter("pairs", lambda x: x["i"] != x["d"]))
     by_strong = (F.col("n_strong") > 0) & (F.col("strong") >= F.least(F.lit(least), F.col("n_strong")))
     good = found.filter((by_strong | (F.col("n_matched") >= F.least(F.lit(least), F.col("n_windows")))) & (values == F.size("pairs")))
-    good = good.withColumn("n_matched", F.when(by_strong, F.col("strong")).otherwise(F.col("n_matched"))).withColumn("n_windows", F.when(by_strong, F.col("n_strong")).otherwise(F.col("n_windows")))
-    best = good.select("doc_id", "item_id", F.struct("n_matched", F.col("n_windows"), F.size("pairs").alias("n_slots"), changed.alias("n_changed")).alias("b")).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_matched").alias("n_matched"), F.col("b.n_windows").alias("n_windows"), (F.col("b.n_matched") / F.col("b.n_windows")).alias("coverage"), F.col("b.n_slots").cast("long").alias("n_slots"), F.col("b.n_changed").cast("long").alias("n_changed"))
+    good = good.withColumn("n_matched", F.when(by_strong, F.col("strong")).otherwise(F.col("n_matched"))).withColumn(
+        "n_windows",
+        F.when(by_strong, F.col("n_strong")).otherwise(F.col("n_windows")),
+    )
+    best = good.select(
+        "doc_id",
+        "item_id",
+        F.struct("n_matched", F.col("n_windows"), F.size("pairs").alias("n_slots"), changed.alias("n_changed")).alias("b"),
+    ).groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return best.select(
+        "doc_id",
+        "item_id",
+        F.col("b.n_matched").alias("n_matched"),
+        F.col("b.n_windows").alias("n_windows"),
+        (F.col("b.n_matched") / F.col("b.n_windows")).alias("coverage"),
+        F.col("b.n_slots").cast("long").alias("n_slots"),
+        F.col("b.n_changed").cast("long").alias("n_changed"),
+    )
 
 
 def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:

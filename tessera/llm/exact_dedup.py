@@ -43,14 +43,28 @@ def runs(docs: DataFrame, content: Column, keep: str, least: int = LEAST) -> Dat
     """doc_id, text_sha256, salt (null if not hot), and of its run: rank, the best doc_id, the size, and the content in a hot run's first row."""
     text = F.coalesce(content.cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("content")).withColumn("hash", F.xxhash64("content"))
-    salted = keyed.join(F.broadcast(hot_contents(keyed, least)), "hash", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).drop("salts")
+    salted = keyed.join(
+        F.broadcast(hot_contents(keyed, least)),
+        "hash",
+        "left",
+    ).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).drop("salts")
     ranged = salted.withColumn("prefix", F.substring("content", 1, PREFIX)).repartitionByRange("prefix", "hash", "salt")
     equal = Window.partitionBy("prefix", "hash", "salt", "content")
     best = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     ordered = equal.orderBy(best)
-    ranked = ranged.withColumns({"rank": F.row_number().over(ordered), "run_id": F.first("doc_id").over(ordered), "run_size": F.count("*").over(equal)})
+    ranked = ranged.withColumns(
+        {"rank": F.row_number().over(ordered), "run_id": F.first("doc_id").over(ordered), "run_size": F.count("*").over(equal)},
+    )
     first = F.when(F.col("salt").isNotNull() & (F.col("rank") == 1), F.col("content"))
-    return ranked.select("doc_id", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"), "salt", "rank", "run_id", "run_size", first.alias("content"))
+    return ranked.select(
+        "doc_id",
+        F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"),
+        "salt",
+        "rank",
+        "run_id",
+        "run_size",
+        first.alias("content"),
+    )
 
 
 def exact_dedup(docs: DataFrame, normalised: Column | None = None, keep: str = "smallest", least: int = LEAST) -> DataFrame:
@@ -62,9 +76,19 @@ def exact_dedup(docs: DataFrame, normalised: Column | None = None, keep: str = "
     """
     rows = settle(runs(docs, F.col("text") if normalised is None else normalised, keep, least))
     pick = F.max if keep == "largest" else F.min
-    cold = rows.filter("salt is null").select("doc_id", F.col("run_id").alias("keep_id"), F.col("run_size").alias("group_size"), (F.col("rank") == 1).alias("kept"), "text_sha256")
+    cold = rows.filter("salt is null").select(
+        "doc_id",
+        F.col("run_id").alias("keep_id"),
+        F.col("run_size").alias("group_size"),
+        (F.col("rank") == 1).alias("kept"),
+        "text_sha256",
+    )
     # null identifiers share a salt, so a group of them alone is one run
-    groups = rows.filter("content is not null").groupBy("content").agg(F.first("text_sha256").alias("text_sha256"), pick("run_id").alias("keep_id"), F.sum("run_size").alias("group_size")).drop("content")
+    groups = rows.filter("content is not null").groupBy("content").agg(
+        F.first("text_sha256").alias("text_sha256"),
+        pick("run_id").alias("keep_id"),
+        F.sum("run_size").alias("group_size"),
+    ).drop("content")
     hot = rows.filter("salt is not null").join(F.broadcast(groups), "text_sha256")
     wins = (F.col("rank") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return cold.unionByName(hot.select("doc_id", "keep_id", "group_size", wins.alias("kept"), "text_sha256"))

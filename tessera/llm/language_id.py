@@ -65,7 +65,9 @@ def held_out(doc_id: Column) -> Column:
 def trigrams(raw: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """The hashed trigram at each byte but the last two."""
     x = lower[raw].astype(np.uint32)
-    return ((x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)).astype(np.int32)
+    return (
+        (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
+    ).astype(np.int32)
 
 
 def features(raw: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -111,7 +113,11 @@ def dense(rows: list[bytes]) -> np.ndarray:
 
 def samples(docs: DataFrame, per_language: int) -> DataFrame:
     """lang, rank, x: at most per_language rows of each language that are not held out, in the order of a hash of doc_id."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
+    rows = docs.select(
+        "doc_id",
+        F.col("text").cast("string").alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+    ).filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").count()
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # a row for each language, fewer bytes than the machines that will be learned; some more rows than needed are picked, so that enough are
@@ -131,7 +137,9 @@ def samples(docs: DataFrame, per_language: int) -> DataFrame:
                     pairs = np.empty(len(at), np.dtype([("at", "<u2"), ("value", "<f2")]))
                     pairs["at"], pairs["value"] = at, full[at]
                     vectors.append(pairs.tobytes())
-                yield pa.RecordBatch.from_pydict({"lang": batch.column(0).slice(a, b - a), "u": batch.column(1).slice(a, b - a), "x": vectors})
+                yield pa.RecordBatch.from_pydict(
+                    {"lang": batch.column(0).slice(a, b - a), "u": batch.column(1).slice(a, b - a), "x": vectors},
+                )
 
     made = picked.mapInArrow(run, "lang string, u double, x binary")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "x")) - 1
@@ -249,7 +257,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 langs, scores = guess([data[offsets[i] : offsets[i + 1]] for i in range(low, high)])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(low, high - low), "lang_pred": langs, "score": scores})
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.selectExpr(
+        "cast(doc_id as long) as doc_id",
+        "cast(text as string) as text",
+    ).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:

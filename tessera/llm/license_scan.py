@@ -125,7 +125,16 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = MORE_NOTICES, base: tupl
                     for row, a, b, edits in search(text, places, notice, fuzzy):
                         w = int(np.searchsorted(starts, a, "right")) - 1 - int(first[row])
                         to = w + text.count(b" ", a, b)
-                        hits[row].append({"label": notice.label, "phrase": notice.phrase, "first_word": w, "last_word": to, "edits": edits, "text": text[a:b].decode("utf-8", "replace")})
+                        hits[row].append(
+                            {
+                                "label": notice.label,
+                                "phrase": notice.phrase,
+                                "first_word": w,
+                                "last_word": to,
+                                "edits": edits,
+                                "text": text[a:b].decode("utf-8", "replace"),
+                            },
+                        )
                         best[row] = max(best[row], 1 - edits / len(notice.phrase))
                         if is_base and not edits:
                             kept[row].append((w, notice.label))
@@ -139,7 +148,21 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = MORE_NOTICES, base: tupl
                         "base_labels": [",".join(sorted({y for _, y in x})) for x in kept],
                         "labels": [",".join(sorted({y["label"] for y in x})) for x in hits],
                         "score": best,
-                        "hits": pa.array(hits, pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32()), ("text", pa.string())]))),
+                        "hits": pa.array(
+                            hits,
+                            pa.list_(
+                                pa.struct(
+                                    [
+                                        ("label", pa.string()),
+                                        ("phrase", pa.string()),
+                                        ("first_word", pa.int64()),
+                                        ("last_word", pa.int64()),
+                                        ("edits", pa.int32()),
+                                        ("text", pa.string()),
+                                    ],
+                                ),
+                            ),
+                        ),
                     }
                 )
 

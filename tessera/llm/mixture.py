@@ -36,10 +36,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     """source, source_size, target for sizes (source, source_size), one row per source."""
     cycle = F.array(*[F.lit(w) for w in weights])
     named = running(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
-    weighed = named.select("source", "source_size", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")).cast("long").alias("weight"))
+    weighed = named.select(
+        "source",
+        "source_size",
+        F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")).cast("long").alias("weight"),
+    )
     order = [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
     filled = running(weighed, order, {"before": F.col("source_size"), "weight_before": F.col("weight")})
-    total = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    total = filled.agg(
+        F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"),
+        F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"),
+    ).first()
     left = F.lit(total["size"]) * F.lit(budget) - F.col("before") * most
     filled = filled.withColumn("left", left).withColumn("weight_left", F.lit(total["weight"]) - F.col("weight_before"))
     limit = (F.col("source_size") * most).cast("double")
@@ -71,8 +78,19 @@ def rated(sized: DataFrame, weights: tuple[int, ...], budget: float, most: int)
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     """row, doc_id, source, size and u of docs."""
-    own = docs.select(whole_row(docs).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), F.col("row.source").cast("string").alias("source"))
-    return own.select("row", "doc_id", "source", size_of(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
+    own = docs.select(whole_row(docs).alias("row")).select(
+        "row",
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.col("row.text").cast("string").alias("text"),
+        F.col("row.source").cast("string").alias("source"),
+    )
+    return own.select(
+        "row",
+        "doc_id",
+        "source",
+        size_of(F.col("text")).alias("size"),
+        uniform(F.col("doc_id"), F.col("text"), seed).alias("u"),
+    )
 
 
 def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:

@@ -94,7 +94,12 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_per_band: int, bits: in
     def run(batches):
         table, lower = space_table(), lower_table()
         rng = np.random.default_rng(20)
-        scale, shift = rng.integers(0, 1 << 31, samples, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, samples, np.uint32)
+        scale, shift = rng.integers(
+            0,
+            1 << 31,
+            samples,
+            np.uint32,
+        ) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, samples, np.uint32)
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             for low, high, raw, rows in chunks(data, offsets):
@@ -104,7 +109,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows_per_band: int, bits: in
                 digests, keys, sketches = [None] * (high - low), [None] * (high - low), [None] * (high - low)
                 if len(full):
                     at = starts[:-1][full]
-                    one, two = np.add.reduceat(mix(grams + np.uint64(1)), at), np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), at)
+                    one, two = np.add.reduceat(mix(grams + np.uint64(1)), at), np.add.reduceat(
+                        mix(grams ^ np.uint64(0x5851F42D4C957F2D)),
+                        at,
+                    )
                     x = (grams >> np.uint64(32)).astype(np.uint32)
                     least = np.empty((len(full), samples), np.uint32)
                     for j in range(samples):
@@ -172,7 +180,14 @@ def sketch_words(sketch, bits: int):
     return F.array(*[F.conv(F.hex(F.substring(sketch, 1 + 4 * i, 4)), 16, 10).cast("long") for i in range(bits // 32)])
 
 
-def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, threshold: float) -> DataFrame:
+def within_clusters(
+    open_buckets: DataFrame,
+    labels: DataFrame,
+    sketches: DataFrame,
+    sets: DataFrame,
+    most: int,
+    threshold: float,
+) -> DataFrame:
     """The links (a, b) that are left between components, from buckets (bucket, id) that hold several.
 
     Documents that such buckets connect form a cluster, whose members are dealt
@@ -184,7 +199,10 @@ def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFr
     """
     least = open_buckets.groupBy("bucket").agg(F.min("id").alias("b"))
     clusters = stars(open_buckets.join(least, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    rows = clusters.withColumnRenamed("component", "cluster").join(labels, "id").join(sketches.select("id", "sketch", "bands"), "id").join(sets, "id")
+    rows = clusters.withColumnRenamed("component", "cluster").join(labels, "id").join(
+        sketches.select("id", "sketch", "bands"),
+        "id",
+    ).join(sets, "id")
     rows = settle(rows)
     # where members go is worked out without their sets, so that no task gets a cluster as a whole
     sizes = rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_GRAMS).cast("int").alias("blocks")).filter("blocks > 1")
@@ -202,7 +220,10 @@ def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFr
             grams = part.field("grams")
             at, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)  # sorted as unsigned
             every = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-            return part.field("id").to_numpy(), part.field("component").to_numpy(), sketch, np.array(part.field("bands").to_pylist(), np.int64), every
+            return part.field("id").to_numpy(), part.field("component").to_numpy(), sketch, np.array(
+                part.field("bands").to_pylist(),
+                np.int64,
+            ), every
 
         for batch in batches:
             links = []
@@ -246,7 +267,9 @@ def within_clusters(open_buckets: DataFrame, labels: DataFrame, sketches: DataFr
                             if 100 * common >= part * (len(few) + len(many) - common):
                                 root[max(one, two)] = min(one, two)
                                 links.append((int(a[p]), int(b[q])))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())},
+            )
         give_back()
 
     return lists.select("members", F.expr("low = high").alias("same")).mapInArrow(run, "a long, b long")
@@ -256,33 +279,65 @@ def linked(docs: DataFrame, signed: DataFrame, threshold: float, n: int, bands:
     """id, component for the class representatives that have links."""
     most = most_different(threshold, bands * rows_per_band, bits)
     members = signed.filter("digest is not null")
-    classes = members.groupBy("digest").agg(F.min_by(F.struct("bands", "sketch", "doc_id", "text_hash"), "rid").alias("s"), F.min("rid").alias("id"))
-    per_band = classes.select("id", F.posexplode("s.bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("bucket"))
+    classes = members.groupBy("digest").agg(
+        F.min_by(F.struct("bands", "sketch", "doc_id", "text_hash"), "rid").alias("s"),
+        F.min("rid").alias("id"),
+    )
+    per_band = classes.select("id", F.posexplode("s.bands").alias("band", "key")).select(
+        "id",
+        "band",
+        F.xxhash64("band", "key").alias("bucket"),
+    )
     shared = per_band.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     buckets = settle(per_band.join(shared, "bucket"))
     asked = buckets.select("id").distinct()
-    sketches = settle(classes.join(asked, "id", "left_semi").select("id", "s.sketch", "s.bands", sketch_words(F.col("s.sketch"), bits).alias("words")))
+    sketches = settle(
+        classes.join(asked, "id", "left_semi").select("id", "s.sketch", "s.bands", sketch_words(F.col("s.sketch"), bits).alias("words")),
+    )
     # the texts of classes that share a bucket are read again: sets of all others would be written in vain
     wanted = classes.join(asked, "id", "left_semi").select("id", F.col("s.doc_id").alias("named"), F.col("s.text_hash").alias("hashed"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("named")) & F.col("text_hash").eqNullSafe(F.col("hashed"))).select("id", "text")
+    texts = docs.join(
+        wanted,
+        F.col("doc_id").eqNullSafe(F.col("named")) & F.col("text_hash").eqNullSafe(F.col("hashed")),
+    ).select("id", "text")
     sets = settle(sets_of(texts, n).groupBy("id").agg(F.first("grams").alias("grams")))
 
     # first each class with its smallest pivot alone, which resolves most buckets; then with some of each open bucket
     least = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"))
-    pairs = buckets.join(least, "bucket").groupBy("id").agg(F.min("pivot").alias("pivot")).filter("pivot < id").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    pairs = buckets.join(least, "bucket").groupBy("id").agg(F.min("pivot").alias("pivot")).filter("pivot < id").select(
+        F.col("id").alias("a"),
+        F.col("pivot").alias("b"),
+    )
     edges = None
     for turn in range(TURNS):
         new = settle(confirmed(likely(pairs, sketches, most), sets, threshold))
-        labels = settle(sketches.select("id").join(stars(new if edges is None else edges.unionByName(new)), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+        labels = settle(
+            sketches.select("id").join(
+                stars(new if edges is None else edges.unionByName(new)),
+                "id",
+                "left",
+            ).select("id", F.coalesce("component", "id").alias("component")),
+        )
         edges = labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         named = buckets.join(labels, "id")
-        open_ = named.groupBy("bucket").agg(F.count_distinct("component").alias("parts"), F.count("*").alias("size")).filter("parts > 1").select("bucket", "size")
+        open_ = named.groupBy("bucket").agg(
+            F.count_distinct("component").alias("parts"),
+            F.count("*").alias("size"),
+        ).filter("parts > 1").select("bucket", "size")
         if turn == TURNS - 1:
             break
         # the small ones are left to the blocks
         large = named.join(open_.filter(F.col("size") > SMALL), "bucket")
-        chosen = large.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(j))) for j in range(PIVOTS)])).alias("pivots"))
-        met = large.join(chosen, "bucket").select("id", "component", F.explode("pivots").alias("pivot")).filter("component <> pivot.component")
+        chosen = large.groupBy("bucket").agg(
+            F.array_distinct(
+                F.array(*[F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(j))) for j in range(PIVOTS)]),
+            ).alias("pivots"),
+        )
+        met = large.join(chosen, "bucket").select(
+            "id",
+            "component",
+            F.explode("pivots").alias("pivot"),
+        ).filter("component <> pivot.component")
         pairs = met.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct()
     rest = within_clusters(named.join(open_, "bucket").select("bucket", "id"), labels, sketches, sets, most, threshold)
     return stars(edges.unionByName(rest))
@@ -307,7 +362,14 @@ def components(docs: DataFrame, threshold: float = 0.8, n: int = 5, bits: int =
     alone = F.col("digest").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
     stays = alone | (F.col("rid") == F.col("best.rid"))
-    return joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, stays).alias("kept"), stays.alias("stays"))
+    return joined.select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, stays).alias("kept"),
+        stays.alias("stays"),
+    )
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8, n: int = 5, bits: int = SKETCH_BITS) -> DataFrame:
@@ -324,5 +386,9 @@ def without_copies(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataF
     keyed = own.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("hash"))
     same = F.col("id").eqNullSafe(F.col("named")) & F.col("hash").eqNullSafe(F.col("hashed"))
     others = keyed.join(marks, same, "left_anti").select("row.*")
-    repeated = keyed.join(marks.filter("staying = 1"), same, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
+    repeated = keyed.join(
+        marks.filter("staying = 1"),
+        same,
+        "left_semi",
+    ).groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
     return others.union(repeated)

@@ -131,9 +131,20 @@ def gumbel(doc_id: Column, seed: int) -> Column:
 def scored(docs: DataFrame, ratios: np.ndarray, seed: int = 11, centre: float = 0.0, spread: float = 1.0) -> DataFrame:
     """docs with log_weight, n_grams and key (log_weight less its mean for so many n-grams, over its spread, plus noise)."""
     ratios = ratios.reshape(-1, 1 << BITS)
-    own = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), fold(F.col("doc_id"), len(ratios)).alias("fold"))
+    own = docs.select(
+        whole_row(docs).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        fold(F.col("doc_id"), len(ratios)).alias("fold"),
+    )
     text = docs.columns.index("text")
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("id", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
+    schema = T.StructType(
+        [
+            T.StructField("row", docs.schema),
+            T.StructField("id", T.LongType()),
+            T.StructField("log_weight", T.DoubleType()),
+            T.StructField("n_grams", T.LongType()),
+        ],
+    )
 
     def run(batches):
         kinds, lower = kinds_table(), lower_table()
@@ -144,7 +155,10 @@ def scored(docs: DataFrame, ratios: np.ndarray, seed: int = 11, centre: float =
                 at, row = buckets(raw, rows, kinds, lower)
                 weight = np.bincount(row, ratios[of[low:high][row], at], high - low).astype(np.float64)  # without words numpy gives integers
                 many = np.bincount(row, minlength=high - low)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(weight), pa.array(many)], names=["row", "id", "log_weight", "n_grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(weight), pa.array(many)],
+                    names=["row", "id", "log_weight", "n_grams"],
+                )
         give_back()
 
     made = own.mapInArrow(run, schema)
@@ -177,7 +191,11 @@ def level_of_top(keys: DataFrame, k: int) -> float:
         if step <= 0 or low + step == low:
             return low
         slot = F.least(F.floor((F.col("key") - low) / step), F.lit(65535))
-        counts = keys.filter((F.col("key") >= low) & (F.col("key") <= high)).groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy(F.desc("slot")).collect()
+        counts = keys.filter((F.col("key") >= low) & (F.col("key") <= high)).groupBy(slot.alias("slot")).agg(
+            F.count("*").alias("n"),
+            F.min("key").alias("low"),
+            F.max("key").alias("high"),
+        ).orderBy(F.desc("slot")).collect()
         for r in counts:
             if r["n"] >= k:
                 break
@@ -199,7 +217,15 @@ class Draw(NamedTuple):
     spread: float
 
 
-def draw(docs: DataFrame, labels: DataFrame, k: int | None = None, missed: float = MISSED, seed: int = 11, folds: int = FOLDS, most: int = BROADCAST) -> Draw:
+def draw(
+    docs: DataFrame,
+    labels: DataFrame,
+    k: int | None = None,
+    missed: float = MISSED,
+    seed: int = 11,
+    folds: int = FOLDS,
+    most: int = BROADCAST,
+) -> Draw:
     """The k rows of docs (doc_id, text) with the largest keys; k as given, or the number of rows
     whose key reaches what all but that share of the held-out rows labelled good have."""
     small_batches(docs.sparkSession)

@@ -59,7 +59,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).selectExpr("id AS doc_id", "n_grams", "log_weight", "key", "kept")
+    return sample(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+    ).selectExpr("id AS doc_id", "n_grams", "log_weight", "key", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_exact_dedup, op3_substring_dedup, op4_token_output, op5_quote_threads, op6_decontamination, op7_mixture, op8_near_dedup, op9_language_id, op10_quality, pipeline)
+    named = (
+        op1_license_scan,
+        op2_exact_dedup,
+        op3_substring_dedup,
+        op4_token_output,
+        op5_quote_threads,
+        op6_decontamination,
+        op7_mixture,
+        op8_near_dedup,
+        op9_language_id,
+        op10_quality,
+        pipeline,
+    )
     return {f.__name__: f for f in named}
 
 

@@ -41,13 +41,24 @@ def passages(messages: DataFrame) -> DataFrame:
     line = own.select("conv_id", "turn", "message", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     level = F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 1), r"[ \t]", ""))
     content = F.trim(F.regexp_replace(F.lower(F.regexp_replace("line", MARKS, "")), r"[ \t\r]+", " "))
-    parsed = line.select("conv_id", "turn", "message", "pos", level.alias("level"), content.alias("content"), F.col("line").rlike(ATTRIBUTION).alias("said"))
+    parsed = line.select(
+        "conv_id",
+        "turn",
+        "message",
+        "pos",
+        level.alias("level"),
+        content.alias("content"),
+        F.col("line").rlike(ATTRIBUTION).alias("said"),
+    )
     used = parsed.filter((F.col("content") != "") & ~F.col("said"))
     # places less ranks are equal for lines that follow each other
     rank = F.row_number().over(Window.partitionBy("message", "level").orderBy("pos"))
     runs = used.withColumn("run", F.col("pos") - rank).groupBy("conv_id", "turn", "message", "level", "run")
     joined = runs.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]).alias("lines"))
-    hashes = F.concat(F.transform("lines", lambda x: F.md5(x)), F.when(F.size("lines") > 1, F.array(F.md5(F.array_join("lines", " ")))).otherwise(F.array().cast("array<string>")))
+    hashes = F.concat(
+        F.transform("lines", lambda x: F.md5(x)),
+        F.when(F.size("lines") > 1, F.array(F.md5(F.array_join("lines", " ")))).otherwise(F.array().cast("array<string>")),
+    )
     return joined.select("conv_id", "turn", "level", F.explode(hashes).alias("hash"))
 
 
@@ -63,17 +74,37 @@ def parents(messages: DataFrame) -> DataFrame:
     places = known.groupBy("conv_id", "turn").agg(F.count("*").alias("rows"))
     before = places.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     joined = places.join(best, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
-    return joined.select("conv_id", "turn", F.coalesce("best.original", "previous").alias("parent_turn"), F.col("best").isNotNull().alias("by_quote"))
+    return joined.select(
+        "conv_id",
+        "turn",
+        F.coalesce("best.original", "previous").alias("parent_turn"),
+        F.col("best").isNotNull().alias("by_quote"),
+    )
 
 
 def roots(links: DataFrame) -> DataFrame:
     """links with root_turn and depth: each round doubles how far the places that are not at their root yet can see."""
-    start = links.select("*", F.coalesce("parent_turn", "turn").alias("root_turn"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    start = links.select(
+        "*",
+        F.coalesce("parent_turn", "turn").alias("root_turn"),
+        F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+    )
     state = settle(start.withColumn("there", F.col("parent_turn").isNull()))
     while not (far := state.filter("not there")).isEmpty():
-        seen = state.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("there").alias("ends"))
+        seen = state.select(
+            "conv_id",
+            F.col("turn").alias("root_turn"),
+            F.col("root_turn").alias("next"),
+            F.col("depth").alias("more"),
+            F.col("there").alias("ends"),
+        )
         ahead = far.drop("there").join(seen, ["conv_id", "root_turn"])
-        moved = ahead.select(*links.columns, F.col("next").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("there"))
+        moved = ahead.select(
+            *links.columns,
+            F.col("next").alias("root_turn"),
+            (F.col("depth") + F.col("more")).alias("depth"),
+            F.col("ends").alias("there"),
+        )
         state = settle(state.filter("there").unionByName(moved))
     return state.drop("there")
 
@@ -83,7 +114,12 @@ def threads(messages: DataFrame) -> DataFrame:
 
     In order of (conv_id, root_turn, turn) every message stands after the one it answers.
     """
-    plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    plain = messages.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"),
+        F.col("text").cast("string").alias("text"),
+    )
     linked = roots(parents(plain)).withColumnsRenamed({"conv_id": "c", "turn": "t"})
     every = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[ \t]", ""))
@@ -91,7 +127,14 @@ def threads(messages: DataFrame) -> DataFrame:
     levels = F.transform(every, level)
     body = F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")
     quoted = F.size(F.filter(levels, lambda x: x > 0))
-    parsed = plain.select("conv_id", "turn", "role", body.alias("body"), quoted.cast("long").alias("n_quoted"), F.coalesce(F.array_max(levels), F.lit(0)).cast("long").alias("quote_depth"))
+    parsed = plain.select(
+        "conv_id",
+        "turn",
+        "role",
+        body.alias("body"),
+        quoted.cast("long").alias("n_quoted"),
+        F.coalesce(F.array_max(levels), F.lit(0)).cast("long").alias("quote_depth"),
+    )
     joined = parsed.join(linked, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
     return joined.select(
         "conv_id", "turn", "role", "body", "n_quoted", "quote_depth", "parent_turn", F.coalesce("by_quote", F.lit(False)).alias("by_quote"),

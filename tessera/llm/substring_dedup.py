@@ -94,14 +94,30 @@ def prefixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
                 _, _, _, key, row = anchors(word_hashes(raw, begin, end), first, window, prefix)
                 order = np.lexsort((key, row))
                 key, row = key[order], row[order]
-                at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))) if len(key) else np.zeros(0, np.int64)
+                at = np.flatnonzero(
+                    np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))),
+                ) if len(key) else np.zeros(0, np.int64)
                 of = low + row[at]
-                yield pa.RecordBatch.from_pydict({"did": pa.array(did[of]), "rid": pa.array(rid[of]), "key": signed(key[at]), "n": pa.array(np.diff(np.append(at, len(key))))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "did": pa.array(did[of]),
+                        "rid": pa.array(rid[of]),
+                        "key": signed(key[at]),
+                        "n": pa.array(np.diff(np.append(at, len(key)))),
+                    },
+                )
 
     return rows.select("did", "rid", "text").mapInArrow(run, "did long, rid long, key long, n long")
 
 
-def halves(at: np.ndarray, start: np.ndarray, last: np.ndarray, hashes: np.ndarray, window: int, prefix: int) -> list[tuple[np.ndarray, ...]]:
+def halves(
+    at: np.ndarray,
+    start: np.ndarray,
+    last: np.ndarray,
+    hashes: np.ndarray,
+    window: int,
+    prefix: int,
+) -> list[tuple[np.ndarray, ...]]:
     """(which anchors, their longer prefix, first and last window start) for windows with more words to the right of the anchor, and to the left."""
     more = (window - prefix + 1) // 2
     grams = gram_hashes(hashes, prefix + more)
@@ -199,7 +215,14 @@ def solved(table: pa.Table, window: int):
     of, first = record[hit[edge]], place[hit[edge]]
     end = place[hit[np.append(edge[1:], len(hit)) - 1]] + window if len(hit) else first
     none = pa.nulls(len(of), pa.int64())
-    yield {"did": pa.array(did[of]), "rid": pa.array(rid[of]), "first": pa.array((start[of] + first).astype(np.int32)), "end": pa.array((start[of] + end).astype(np.int32)), "one": none, "two": none}
+    yield {
+        "did": pa.array(did[of]),
+        "rid": pa.array(rid[of]),
+        "first": pa.array((start[of] + first).astype(np.int32)),
+        "end": pa.array((start[of] + end).astype(np.int32)),
+        "one": none,
+        "two": none,
+    }
     split = table.column("split").to_numpy()
     if not split.any():
         return
@@ -209,7 +232,14 @@ def solved(table: pa.Table, window: int):
     begin, stop, firsts = words(data, offsets, space_table())
     one, two = (gram_hashes(word_hashes(data, begin, stop, base), window)[firsts[of] + where] for base in (BASE, OTHER_BASE))
     low, done = (start[of] + where).astype(np.int32), deep[named]
-    yield {"did": pa.array(did[of], mask=done), "rid": pa.array(rid[of], mask=done), "first": pa.array(low), "end": pa.array(low + np.int32(window)), "one": signed(one), "two": signed(two)}
+    yield {
+        "did": pa.array(did[of], mask=done),
+        "rid": pa.array(rid[of], mask=done),
+        "first": pa.array(low),
+        "end": pa.array(low + np.int32(window)),
+        "one": signed(one),
+        "two": signed(two),
+    }
 
 
 def in_groups(found: DataFrame, window: int) -> DataFrame:
@@ -238,7 +268,10 @@ def in_groups(found: DataFrame, window: int) -> DataFrame:
         give_back()
 
     sorted_groups = found.repartition("group").sortWithinPartitions("group")
-    return sorted_groups.select("did", "rid", "group", "split", "start", "last", "words").mapInArrow(run, "did long, rid long, first int, end int, one long, two long")
+    return sorted_groups.select("did", "rid", "group", "split", "start", "last", "words").mapInArrow(
+        run,
+        "did long, rid long, first int, end int, one long, two long",
+    )
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
@@ -279,7 +312,10 @@ def cut_out(rows: DataFrame) -> DataFrame:
                     }
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<first_word: int, end_word: int>>")
+    return rows.mapInArrow(
+        run,
+        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<first_word: int, end_word: int>>",
+    )
 
 
 def repeated(rows: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
@@ -288,14 +324,19 @@ def repeated(rows: DataFrame, window: int, prefix: int, group: int) -> DataFrame
     keys = prefixes(rows, window, prefix)
     often = keys.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key", (F.col("times") > group).alias("hot"))
     often = settle(often)  # a plain table, so that a frequent prefix's side of the join can be split
-    wanted = keys.select("did", "rid", "key").join(often, "key").groupBy("did", "rid").agg(F.collect_set(F.struct("key", "hot")).alias("wanted"))
+    wanted = keys.select("did", "rid", "key").join(often, "key").groupBy("did", "rid").agg(
+        F.collect_set(F.struct("key", "hot")).alias("wanted"),
+    )
     wanted = settle(wanted)
     found, path = written(suffixes(rows.join(wanted, ["did", "rid"]), window, prefix), "suffixes")
     many = found.filter("hot").groupBy("key").agg(F.ceil(F.count("*") / group).alias("parts")).filter("parts > 1")
     many = settle(many)  # so that a frequent key's side of the join can be split
     cold = found.filter("not hot").withColumn("group", F.col("key")).withColumn("split", F.lit(False))
     part = F.pmod(F.xxhash64("did", "rid", "start"), F.coalesce("parts", F.lit(1)))
-    warm = found.filter("hot").join(many, "key", "left").withColumn("group", F.xxhash64("key", part)).withColumn("split", F.col("parts").isNotNull()).drop("parts")
+    warm = found.filter("hot").join(many, "key", "left").withColumn("group", F.xxhash64("key", part)).withColumn(
+        "split",
+        F.col("parts").isNotNull(),
+    ).drop("parts")
     solutions, answers = written(in_groups(cold.unionByName(warm), window), "repeats")
     remove(spark, path)
     named = solutions.filter("one is not null")

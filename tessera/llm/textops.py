@@ -50,7 +50,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if large else np.int32
     _, offsets, data = column.buffers()  # no copy of the texts
-    starts = np.frombuffer(offsets, kind, len(column) + 1, column.offset * kind().itemsize).astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    starts = np.frombuffer(
+        offsets,
+        kind,
+        len(column) + 1,
+        column.offset * kind().itemsize,
+    ).astype(np.int64) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[starts[0] : starts[-1]], starts - starts[0]
 

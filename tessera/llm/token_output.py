@@ -177,7 +177,10 @@ class Encoder:
         self.alphabet = self.tokenizer.get_vocab_size()
         parts = json.loads(self.tokenizer.to_str())
         cutter = parts["pre_tokenizer"] or {}
-        self.by_piece = parts["normalizer"] is None and parts["post_processor"] is None and parts["truncation"] is None and parts["padding"] is None and all(cutter.get(k) == v for k, v in BYTE_LEVEL.items()) and not parts["model"].get("dropout")
+        self.by_piece = parts["normalizer"] is None and parts["post_processor"] is None and parts["truncation"] is None and parts["padding"] is None and all(
+            cutter.get(k) == v
+            for k, v in BYTE_LEVEL.items()
+        ) and not parts["model"].get("dropout")
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1] if self.by_piece else -1
         self.classes = character_classes()
         self.forget()
@@ -205,7 +208,9 @@ class Encoder:
         flat = np.concatenate([np.array(x.ids, np.int32) for x in coded]) if coded else np.zeros(0, np.int32)
         feeds = np.flatnonzero(flat == self.feed)
         if len(feeds) != len(counts):  # the library cuts otherwise than we do
-            return self.each([raw[i : j - 1].tobytes().decode("utf-8", "replace") for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+            return self.each(
+                [raw[i : j - 1].tobytes().decode("utf-8", "replace") for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)],
+            )
         return flat[flat != self.feed], np.diff(feeds, prepend=-1).astype(np.int32) - 1
 
     def learn(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
@@ -362,7 +367,10 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
         held.clear()
         give_back()
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).withColumn("tie", F.xxhash64("text"))
     ordered = plain.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return ordered.mapInArrow(run, BLOCKS)
 
@@ -411,7 +419,10 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         give_back()
 
     written = spark.read.parquet(path)
-    rows = written.mapInArrow(run, "shard int, block int, inside long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    rows = written.mapInArrow(
+        run,
+        "shard int, block int, inside long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids,
+    )
     placed = rows.join(starts(written), ["shard", "block"]).withColumn("start", F.col("first") + F.col("inside"))
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 

@@ -41,7 +41,23 @@ def rows(docs):
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, clashing column names."""
     long = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
-    texts = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, long), (6, long + " end"), (7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (None, None), (8, "é" * 50), (9, "CC BY cc  by\nCC-BY"), (10, "<|endoftext|> hi"), (11, "x " * 500), (12, "!!! ...")]
+    texts = [
+        (1, None),
+        (2, ""),
+        (3, " \n\t"),
+        (4, "one"),
+        (5, long),
+        (6, long + " end"),
+        (7, "a b c d"),
+        (7, "a b c d"),
+        (None, "a b c d"),
+        (None, None),
+        (8, "é" * 50),
+        (9, "CC BY cc  by\nCC-BY"),
+        (10, "<|endoftext|> hi"),
+        (11, "x " * 500),
+        (12, "!!! ..."),
+    ]
     return spark.createDataFrame([(i, t, "en", None, 1, "clash") for i, t in texts], DOCS)
 
 
@@ -79,7 +95,13 @@ def check_scan(df, expected):
         texts[i].append(t)
     for r in got:
         assert any(
-            (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(h), min(h)[0] if h else None, max(h)[0] if h else None, ",".join(sorted({x for _, x in h})))
+            (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (
+                len(w),
+                len(h),
+                min(h)[0] if h else None,
+                max(h)[0] if h else None,
+                ",".join(sorted({x for _, x in h})),
+            )
             for w, h in map(base_hits, texts[r["doc_id"]])
         )
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
@@ -95,7 +117,15 @@ def test_scan_odd(odd, none):
 
 
 def test_scan_edits(spark):
-    texts = ["Code. All rigths reserved, 2020", "all right reserved", "the genral public licence here", "Licensed under the Apach License", "general purpose", "é all rights réserved", "all rights reserved all rights reservd"]
+    texts = [
+        "Code. All rigths reserved, 2020",
+        "all right reserved",
+        "the genral public licence here",
+        "Licensed under the Apach License",
+        "general purpose",
+        "é all rights réserved",
+        "all rights reserved all rights reservd",
+    ]
     got = by_id(scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert [got[i]["labels"] for i in range(7)] == ["reserved", "reserved", "gpl", "apache", "", "reserved", "reserved"]
     assert [(h["first_word"], h["last_word"], h["text"]) for h in got[0]["hits"]] == [(1, 3, "all rigths reserved")]
@@ -103,6 +133,25 @@ def test_scan_edits(spark):
     assert got[1]["score"] < 1 and got[4]["score"] == 0
 
 
+def test_scan_brute(spark, rows):
+    """Labels against the bounded-error search of whole texts, on random edits of all notices."""
+    from tessera.llm.license_scan import BASE_NOTICES, MORE_NOTICES, pattern
+
+    rng = np.random.default_rng(1)
+    notices, texts = (*BASE_NOTICES, *MORE_NOTICES), [t for _, t in rows[:60]]
+    for k in range(400):
+        phrase = list(notices[k % len(notices)].phrase)
+        for _ in range(rng.integers(0, 6)):
+            at, what = rng.integers(0, len(phrase)), rng.integers(0, 3)
+            phrase[at : at + (what > 0)] = [] if what == 1 else [rng.choice(list("abcde "))]
+        texts.append(f"{'some words ' * (k % 3)}{''.join(phrase)}{' and more' * (k % 2)}")
+    got = by_id(scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    searches = [(n.label, pattern(n)) for n in notices]
+    for i, t in enumerate(texts):
+        flat = " ".join(base_hits(t)[0])
+        assert set(filter(None, got[i]["labels"].split(","))) == {label for label, p in searches if p.search(flat)}, t
+
+
 # 2 -------------------------------------------------------------------------
 def check_exact(df, expected, pick):
     groups = defaultdict(list)
@@ -131,7 +180,10 @@ def test_exact(docs, rows, odd, none):
 def test_exact_hot(spark, docs, rows, least):
     """Groups of any size, split or not, some of null or repeated identifiers; texts that differ after a long common opening."""
     head = "the same opening of many texts " * 20
-    some = [(i % 400, "hot") for i in range(900)] + [(None, "hot")] * 3 + [(None, "nameless")] * 200 + [(i, None if i % 2 else "") for i in range(300)] + [(i, f"{head}{i % 7}") for i in range(500)] + [(5, "once")]
+    some = [(i % 400, "hot") for i in range(900)] + [(None, "hot")] * 3 + [(None, "nameless")] * 200 + [
+        (i, None if i % 2 else "")
+        for i in range(300)
+    ] + [(i, f"{head}{i % 7}") for i in range(500)] + [(5, "once")]
     for keep, pick in (("largest", max), ("smallest", min)):
         check_exact(exact_dedup(spark.createDataFrame(some, "doc_id long, text string"), keep=keep, least=least), some, pick)
     check_exact(exact_dedup(docs, least=least), rows, min)
@@ -171,8 +223,16 @@ def test_substrings_small(spark, odd, none):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(80)]
     for group in (1024, 2):
-        got = substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=9, prefix=3, group=group).collect()
-        assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == [(i, *x) for i, x in enumerate(brute_cut(texts, 9))]
+        got = substring_dedup(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+            window=9,
+            prefix=3,
+            group=group,
+        ).collect()
+        assert sorted(
+            (r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])
+            for r in got
+        ) == [(i, *x) for i, x in enumerate(brute_cut(texts, 9))]
     expected = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup(odd).collect())
     assert got == Counter((i, *x) for (i, _), x in zip(expected, brute_cut([t for _, t in expected], 35), strict=True))
@@ -286,7 +346,14 @@ def test_threads(spark):
     got = threads(spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == len(TALK)
     one = {r["turn"]: r for r in got if r["conv_id"] == 1}
-    assert [(one[i]["parent_turn"], one[i]["by_quote"], one[i]["root_turn"], one[i]["depth"]) for i in range(6)] == [(None, False, 0, 0), (0, True, 0, 1), (1, False, 0, 2), (1, True, 0, 2), (0, True, 0, 1), (4, False, 0, 2)]
+    assert [(one[i]["parent_turn"], one[i]["by_quote"], one[i]["root_turn"], one[i]["depth"]) for i in range(6)] == [
+        (None, False, 0, 0),
+        (0, True, 0, 1),
+        (1, False, 0, 2),
+        (1, True, 0, 2),
+        (0, True, 0, 1),
+        (4, False, 0, 2),
+    ]
     assert [one[i]["body"] for i in range(6)] == ["Hello all\nWhat is a monad?", "A monoid.", "Something else", "Thanks", "Me too", "ok"]
     assert [one[i]["quote_depth"] for i in range(6)] == [0, 1, 0, 2, 2, 1] and one[3]["n_quoted"] == 2
     assert one[1]["formatted"] == "<|bob|>\nA monoid."
@@ -306,7 +373,14 @@ def test_threads_passages(spark):
         (1, 5, "f", "> The first paragraph\nnot whole"),
     ]
     got = {r["turn"]: r for r in threads(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
-    assert [(got[i]["parent_turn"], got[i]["by_quote"]) for i in range(6)] == [(None, False), (0, False), (0, True), (0, True), (3, True), (4, False)]
+    assert [(got[i]["parent_turn"], got[i]["by_quote"]) for i in range(6)] == [
+        (None, False),
+        (0, False),
+        (0, True),
+        (0, True),
+        (3, True),
+        (4, False),
+    ]
 
 
 def test_threads_chain(spark):
@@ -354,7 +428,12 @@ def brute_leaks(texts, items, window=8, least=5, literal=5):
     for k, text in items:
         t = regex.sub(rf"(?<![{letters},;:)]\s){D.NAME}", D.OPEN, marked(text)).lower()
         plain = without(t, f"{D.NUMBER}-{D.NAME}{D.OPEN}")
-        readings = [(2, t, t.replace(D.OPEN, D.NAME)), (2, without(t, D.OPEN), without(t, D.OPEN)), (1, without(t, D.NAME + D.OPEN), without(t, D.NAME + D.OPEN)), (0, plain, plain)]
+        readings = [
+            (2, t, t.replace(D.OPEN, D.NAME)),
+            (2, without(t, D.OPEN), without(t, D.OPEN)),
+            (1, without(t, D.NAME + D.OPEN), without(t, D.NAME + D.OPEN)),
+            (0, plain, plain),
+        ]
         strong, places, windows = set(), set(), {}
         for i, (kind, words, shape) in enumerate(readings):
             words, shape = split(words), split(bare(shape))
@@ -400,10 +479,30 @@ def test_leaks_brute(docs, rows, spark):
     again = []
     for k, text in items:
         changed = re.sub(r"\d+", lambda m: str(int(m[0]) + 7), text)
-        again += [(10_000 + 4 * k, f"Well, {changed} So it is."), (10_001 + 4 * k, text.lower()), (10_002 + 4 * k, re.sub(r"\d+", lambda m: str(rng.integers(1, 99)), text)), (10_003 + 4 * k, " ".join(text.split()[: len(text.split()) // 2]))]
-    mixed = [*rows, *again, (20_000, None), (20_001, ""), *[(30_000 + i, t) for i, t in enumerate([NAMED.replace("Rome", "Bonn"), NAMED.replace("Anna", "Carla"), "Tom drove 12 km in 2 hours"])]]
+        again += [
+            (10_000 + 4 * k, f"Well, {changed} So it is."),
+            (10_001 + 4 * k, text.lower()),
+            (10_002 + 4 * k, re.sub(r"\d+", lambda m: str(rng.integers(1, 99)), text)),
+            (10_003 + 4 * k, " ".join(text.split()[: len(text.split()) // 2])),
+        ]
+    mixed = [
+        *rows,
+        *again,
+        (20_000, None),
+        (20_001, ""),
+        *[
+            (30_000 + i, t)
+            for i, t in enumerate([NAMED.replace("Rome", "Bonn"), NAMED.replace("Anna", "Carla"), "Tom drove 12 km in 2 hours"])
+        ],
+    ]
     asked = [*items, (900, NAMED), (901, "Tom drove 12 km in 2 hours, 30 km in 5 hours."), (902, "Yes")]
-    found = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(mixed, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")).collect()}
+    found = {
+        (r["doc_id"], r["item_id"])
+        for r in leaks(
+            spark.createDataFrame(mixed, "doc_id long, text string"),
+            spark.createDataFrame(asked, "item_id long, text string"),
+        ).collect()
+    }
     assert found == brute_leaks(mixed, asked) and len(found) > 40
 
 
@@ -424,7 +523,12 @@ def test_templates(spark):
     assert got[0, 0]["n_changed"] == 3 and got[0, 0]["coverage"] == 1 and got[2, 0]["n_changed"] == 0
 
 
-DENSE = ["Tom drove 12 km in 2 hours, 30 km in 5 hours and 45 km in 9 hours.", "Compute 12 + 30 - 7 + 45 - 9 + 22.", "Compute 7 + 8.", "Yes"]
+DENSE = [
+    "Tom drove 12 km in 2 hours, 30 km in 5 hours and 45 km in 9 hours.",
+    "Compute 12 + 30 - 7 + 45 - 9 + 22.",
+    "Compute 7 + 8.",
+    "Yes",
+]
 
 
 @pytest.mark.parametrize("most", [0, 32 << 20])
@@ -443,8 +547,19 @@ NAMED = "Last summer Anna and Peter took the night train from Paris to Rome and
 def test_names_anywhere(spark, most):
     """A word is read alike wherever it stands and however it is written."""
     city, opens = "What is the capital city of France?", "Mary has a dog and a cat at home. Mary likes the dog more than the cat."
-    texts = [(f"Question: {city}", 0), (f"So {city}", 0), ("question: what is the capital city of Spain", 0), (city.lower(), 0), (city.upper(), 0)]
-    texts += [(NAMED.replace(" Paris", "\nParis").replace(" Rome", "\n Rome"), 1), (NAMED.lower(), 1), (NAMED.upper(), 1), ("Well, " + NAMED.replace("Paris", "Berlin").replace("Anna", "Olga"), 1)]
+    texts = [
+        (f"Question: {city}", 0),
+        (f"So {city}", 0),
+        ("question: what is the capital city of Spain", 0),
+        (city.lower(), 0),
+        (city.upper(), 0),
+    ]
+    texts += [
+        (NAMED.replace(" Paris", "\nParis").replace(" Rome", "\n Rome"), 1),
+        (NAMED.lower(), 1),
+        (NAMED.upper(), 1),
+        ("Well, " + NAMED.replace("Paris", "Berlin").replace("Anna", "Olga"), 1),
+    ]
     texts += [(opens.replace("Mary", "Alice"), 2), (opens.lower(), 2), (opens.replace("Mary likes", "Clearly she likes"), None)]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     items = spark.createDataFrame(list(enumerate([city, NAMED, opens])), "item_id long, text string")
@@ -479,7 +594,10 @@ def test_mixture(docs, spark, odd, none):
         want = brute_targets(sizes)
         for r in got:
             assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]]) and 0 <= r["copies"] <= 2
-        assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r["doc_id"], len(re.findall("[^\x20\x09-\x0d]+", r["text"] or ""))) for r in df.collect())
+        assert Counter((r["doc_id"], r["size"]) for r in got) == Counter(
+            (r["doc_id"], len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")))
+            for r in df.collect()
+        )
         rate = {s: want[s] / n if n else 0 for s, n in sizes.items()}
         draw = lambda r: int(hashlib.md5(f"7:{'null' if r['doc_id'] is None else r['doc_id']}:{r['text'] or ''}".encode()).hexdigest()[:8], 16) / 2**32
         copies = Counter((r["doc_id"], int(rate[r["source"]] + 1 - draw(r))) for r in df.collect())
@@ -504,7 +622,10 @@ def test_many_sources(spark):
 
 def test_mixture_of_rows_without_ids(spark):
     """Rows of one doc_id or none are drawn each for itself."""
-    df = spark.createDataFrame([(None if i % 2 else 7, f"a few words {i}", "s" if i % 4 < 2 else "t") for i in range(4000)], "doc_id long, text string, source string")
+    df = spark.createDataFrame(
+        [(None if i % 2 else 7, f"a few words {i}", "s" if i % 4 < 2 else "t") for i in range(4000)],
+        "doc_id long, text string, source string",
+    )
     got = rates(df).groupBy("source").agg({"copies": "sum", "target": "max"}).collect()
     assert all(abs(4 * r["sum(copies)"] - r["max(target)"]) < 0.05 * r["max(target)"] for r in got)
 
@@ -578,7 +699,19 @@ def test_near_odd(odd, none):
 def test_near_rows(spark):
     """Repeated and null identifiers link nothing by themselves, and one row of each component stays."""
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
-    rows = [(1, a, 0), (1, b, 1), (1, b, 2), (2, a, 3), (None, b + " x", 4), (None, a, 5), (None, "c d e f", 6), (None, "c d e f", 7), (3, None, 8), (3, None, 9), (None, "", 10)]
+    rows = [
+        (1, a, 0),
+        (1, b, 1),
+        (1, b, 2),
+        (2, a, 3),
+        (None, b + " x", 4),
+        (None, a, 5),
+        (None, "c d e f", 6),
+        (None, "c d e f", 7),
+        (3, None, 8),
+        (3, None, 9),
+        (None, "", 10),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
     got = near_dedup(docs, threshold=0.8, n=5).collect()
     assert sum(r["stays"] for r in got) == 6
@@ -665,7 +798,10 @@ def test_quality(spark, odd, none):
 def test_quality_held_out(spark):
     """Half of the labels hidden: good rows that no model has seen stay, whatever their length, and bad ones go."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    kept = {r["id"]: (r["kept"], r["n"]) for r in resample(docs, labels.filter("doc_id % 2 = 0")).selectExpr("id", "kept", "size(split(row.text, ' ')) AS n").collect()}
+    kept = {
+        r["id"]: (r["kept"], r["n"])
+        for r in resample(docs, labels.filter("doc_id % 2 = 0")).selectExpr("id", "kept", "size(split(row.text, ' ')) AS n").collect()
+    }
     hidden = labels.filter("doc_id % 2 = 1")
     good = [kept[r["doc_id"]] for r in hidden.filter("quality = 1 and toxic = 0").collect()]
     bad = [kept[r["doc_id"]][0] for r in hidden.filter("quality = 0").collect()]
@@ -690,7 +826,10 @@ def test_quality_brute(spark, docs):
     two = functools.cache(lambda a, b: gram_hashes(np.array([a, b], np.uint64), 2)[0])
     grams = {}
     for r in given:
-        hashes = [one(t) for t in token.findall((r["text"] or "").lower().encode() if (r["text"] or "").isascii() else low(r["text"]).encode())]
+        hashes = [
+            one(t)
+            for t in token.findall((r["text"] or "").lower().encode() if (r["text"] or "").isascii() else low(r["text"]).encode())
+        ]
         pairs = [two(a, b) for a, b in zip(hashes, hashes[1:], strict=False)]
         grams[r["doc_id"]] = Counter(int(h) >> (64 - BITS) for h in [*hashes, *pairs])
     raw, of = Counter(), [Counter() for _ in range(FOLDS)]
@@ -706,7 +845,10 @@ def test_quality_brute(spark, docs):
     held = [i for i in good if i in many and many[i]]
     centre = sum(weight[i] for i in held) / sum(many[i] for i in held)
     spread = np.mean([(weight[i] - centre * many[i]) ** 2 / many[i] for i in held]) ** 0.5
-    key = {r["doc_id"]: (weight[r["doc_id"]] - centre * many[r["doc_id"]]) / (spread * max(many[r["doc_id"]], 1) ** 0.5) + r["noise"] for r in given}
+    key = {
+        r["doc_id"]: (weight[r["doc_id"]] - centre * many[r["doc_id"]]) / (spread * max(many[r["doc_id"]], 1) ** 0.5) + r["noise"]
+        for r in given
+    }
     got = {r["id"]: r for r in sample(docs, labels).collect()}
     for i in weight:
         assert got[i]["n_grams"] == many[i] and got[i]["log_weight"] == pytest.approx(weight[i], abs=1e-6) and got[i]["key"] == pytest.approx(key[i], abs=1e-6)
@@ -749,7 +891,32 @@ def test_sql(spark, name):
     assert Counter(tuple(r[c] for c in order) for r in got.collect()) == Counter(want.select(*order).fetchall())
 
 
-NAMES = ["copy", "leaking", "a b", "a.b", "__of", "__row", "size", "target", "row", "id", "hash", "rid", "named", "hashed", "rows", "source_size", "copies", "u", "fold", "kept", "key", "digest", "salt", "a`b"]
+NAMES = [
+    "copy",
+    "leaking",
+    "a b",
+    "a.b",
+    "__of",
+    "__row",
+    "size",
+    "target",
+    "row",
+    "id",
+    "hash",
+    "rid",
+    "named",
+    "hashed",
+    "rows",
+    "source_size",
+    "copies",
+    "u",
+    "fold",
+    "kept",
+    "key",
+    "digest",
+    "salt",
+    "a`b",
+]
 
 
 def test_stages_with_any_columns(spark):
