@@ -11,7 +11,23 @@ from pyspark.sql import SparkSession
 from tessera import queries as Q
 from tessera.session import Session
 
-HEADLINES = ("pricing", "filter_in_between", "arith_projection", "join_multi", "join_left", "group_agg", "count_distinct", "having_alias_order", "topk", "union_distinct", "in_subquery", "scalar_subquery", "rank_window", "cte_rank_top1", "dml_update")
+HEADLINES = (
+    "pricing",
+    "filter_in_between",
+    "arith_projection",
+    "join_multi",
+    "join_left",
+    "group_agg",
+    "count_distinct",
+    "having_alias_order",
+    "topk",
+    "union_distinct",
+    "in_subquery",
+    "scalar_subquery",
+    "rank_window",
+    "cte_rank_top1",
+    "dml_update",
+)
 
 
 def workloads(spark: SparkSession) -> dict[str, float]:
@@ -27,7 +43,9 @@ def workloads(spark: SparkSession) -> dict[str, float]:
                 _ = r.rows
         took[name] = round(time.perf_counter() - began, 4)
 
-    s.execute("CREATE DATABASE d; USE d; CREATE TABLE p (Id INT PRIMARY KEY, A VARCHAR, B VARCHAR); CREATE TABLE e (Id INT, N VARCHAR, D INT, S FLOAT); CREATE TABLE u (Id INT PRIMARY KEY, Val INT, Str VARCHAR)")
+    s.execute(
+        "CREATE DATABASE d; USE d; CREATE TABLE p (Id INT PRIMARY KEY, A VARCHAR, B VARCHAR); CREATE TABLE e (Id INT, N VARCHAR, D INT, S FLOAT); CREATE TABLE u (Id INT PRIMARY KEY, Val INT, Str VARCHAR)",
+    )
     timed("insert_2000_single_rows", *[f"INSERT INTO p VALUES ({i}, 'a{i}', 'b{i}')" for i in range(2000)])
     timed("insert_8000_rows", "INSERT INTO p VALUES " + ", ".join(f"({i}, 'a{i}', 'b{i}')" for i in range(2000, 10_000)))
     timed("select_all_10000", "SELECT * FROM p")
@@ -41,7 +59,10 @@ def workloads(spark: SparkSession) -> dict[str, float]:
 
 def main() -> None:
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "4")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bench-")).config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config(
+        "spark.sql.warehouse.dir",
+        tempfile.mkdtemp(prefix="bench-"),
+    ).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     for name in HEADLINES:
@@ -53,7 +74,17 @@ def main() -> None:
         took[name] = round(statistics.median(runs[1:]), 4)
     took |= workloads(spark)
     spark.stop()
-    print(json.dumps({"metric": "total of the headline queries' median seconds", "value": round(sum(took[k] for k in HEADLINES), 4), "unit": "sec", "queries": took, "sf": os.path.basename(sf.rstrip("/"))}))
+    print(
+        json.dumps(
+            {
+                "metric": "total of the headline queries' median seconds",
+                "value": round(sum(took[k] for k in HEADLINES), 4),
+                "unit": "sec",
+                "queries": took,
+                "sf": os.path.basename(sf.rstrip("/")),
+            },
+        ),
+    )
 
 
 if __name__ == "__main__":

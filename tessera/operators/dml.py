@@ -63,7 +63,12 @@ class Work:
             self.catalog.storage.remove(path)
 
     def children(self, parent: TableState) -> list[tuple[TableState, N.Field]]:
-        return [(t, f) for t in self.database().values() for f in t.fields if f.references and f.references[0].lower() == parent.name.lower()]
+        return [
+            (t, f)
+            for t in self.database().values()
+            for f in t.fields
+            if f.references and f.references[0].lower() == parent.name.lower()
+        ]
 
 
 def date_of(text: str) -> datetime.date:
@@ -138,16 +143,36 @@ def insert(work: Work, s: N.Statement) -> list[str]:
     messages, good = [], []
     for n, row in enumerate(s.rows, 1):
         try:
-            good.append((n, tuple(converted(constant(row[place[f.name.lower()]]) if f.name.lower() in place else f.default, f) for f in state.fields)))
+            good.append(
+                (
+                    n,
+                    tuple(
+                        converted(constant(row[place[f.name.lower()]]) if f.name.lower() in place else f.default, f)
+                        for f in state.fields
+                    ),
+                ),
+            )
         except (ValueError, OverflowError):
             messages.append(f"Type of argument doesn't match with column type in row {n}!")
     at = {f.name: i for i, f in enumerate(state.fields)}
-    unique = ([("Primary key", state.keys)] if state.keys else []) + [("Unique key", [f.name]) for f in state.fields if f.unique and not f.primary]
-    taken = {tuple(names): held(work, state, names, {k for k in (tuple(r[at[c]] for c in names) for _, r in good) if None not in k}) for _, names in unique}
+    unique = ([("Primary key", state.keys)] if state.keys else []) + [
+        ("Unique key", [f.name])
+        for f in state.fields
+        if f.unique and not f.primary
+    ]
+    taken = {
+        tuple(names): held(work, state, names, {k for k in (tuple(r[at[c]] for c in names) for _, r in good) if None not in k})
+        for _, names in unique
+    }
     parents = {}
     for f in state.fields:
         if f.references:
-            parents[f.name] = held(work, work.table(f.references[0]), [f.references[1]], {(r[at[f.name]],) for _, r in good if r[at[f.name]] is not None})
+            parents[f.name] = held(
+                work,
+                work.table(f.references[0]),
+                [f.references[1]],
+                {(r[at[f.name]],) for _, r in good if r[at[f.name]] is not None},
+            )
     rows = []
     for n, row in good:
         problem = None
@@ -159,7 +184,10 @@ def insert(work: Work, s: N.Statement) -> list[str]:
                 problem = f"{what} violation in row {n}!"
         for f in state.fields:
             value = row[at[f.name]]
-            own = f.references and f.references[0].lower() == state.name.lower() and any(r[at[state.field(f.references[1]).name]] == value for r in [*rows, row])
+            own = f.references and f.references[0].lower() == state.name.lower() and any(
+                r[at[state.field(f.references[1]).name]] == value
+                for r in [*rows, row]
+            )
             if f.references and value is not None and (value,) not in parents[f.name] and not own:
                 problem = problem or f"Foreign key violation in row {n}!"
         if problem:
@@ -216,7 +244,10 @@ def update(work: Work, s: N.Statement) -> list[str]:
     failed = F.lit(False)
     for _, lost in sets.values():
         failed = failed | lost
-    out = [F.when(F.col(HIT), sets[f.name][0]).otherwise(F.col(f"`{inside[f.name]}`")).alias(f.name) if f.name in sets else F.col(f"`{inside[f.name]}`").alias(f.name) for f in state.fields]
+    out = [
+        F.when(F.col(HIT), sets[f.name][0]).otherwise(F.col(f"`{inside[f.name]}`")).alias(f.name) if f.name in sets else F.col(f"`{inside[f.name]}`").alias(f.name)
+        for f in state.fields
+    ]
     fewer = work.catalog.recent(state)
     marked = name(fewer).withColumn("\x00hit", hit)
     recent = marked.select(*out, "`\x00hit`", (F.col(HIT) & failed).alias("\x00failed")).collect() if state.recent else []
@@ -266,13 +297,21 @@ def check_update(work: Work, before: TableState, after: TableState, names: set[s
     for child, f in work.children(before):
         column = before.field(f.references[1]).name
         if column in names:
-            gone = work.read(before).select(F.col(f"`{column}`").alias("k")).distinct().join(new.select(F.col(f"`{column}`").alias("k")), "k", "left_anti")
+            gone = work.read(before).select(F.col(f"`{column}`").alias("k")).distinct().join(
+                new.select(F.col(f"`{column}`").alias("k")),
+                "k",
+                "left_anti",
+            )
             child_rows = work.read(after if child.name == before.name else child)
             if not child_rows.select(F.col(f"`{f.name}`").alias("k")).join(gone, "k", "left_semi").isEmpty():
                 raise Violation(f"Foreign key violation: Cannot update {before.name}.{column}, it is referenced by {child.name}.")
 
 
-def taken_out(work: Work, state: TableState, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[TableState, DataFrame, int]:
+def taken_out(
+    work: Work,
+    state: TableState,
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+) -> tuple[TableState, DataFrame, int]:
     """state without the rows that split puts first, those rows and how many; only files that hold one are written again."""
     fields = [F.col(f"`{f.name}`") for f in state.fields]
     doomed, rest = split(work.catalog.recent(state))
@@ -313,7 +352,10 @@ def remove(work: Work, before: TableState, after: TableState, doomed: DataFrame)
 
     def holding(column: str, key: str) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
         keys = doomed.select(F.col(f"`{key}`").alias(column)).dropna().distinct()
-        return lambda df: tuple(df.join(keys, column, how).select(*[F.col(f"`{c}`") for c in df.columns]) for how in ("left_semi", "left_anti"))
+        return lambda df: tuple(
+            df.join(keys, column, how).select(*[F.col(f"`{c}`") for c in df.columns])
+            for how in ("left_semi", "left_anti")
+        )
 
     for f in [f for t, f in work.children(before) if t.name == before.name]:
         while True:

@@ -99,7 +99,14 @@ class Expressions:
                 return (left & right if op == "AND" else left | right), BOOLEAN
             case N.Binary(op, a, b) if op in ("=", "!=", "<", "<=", ">", ">="):
                 left, right = self.pair(a, b)
-                return {"=": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op], BOOLEAN
+                return {
+                    "=": left == right,
+                    "!=": left != right,
+                    "<": left < right,
+                    "<=": left <= right,
+                    ">": left > right,
+                    ">=": left >= right,
+                }[op], BOOLEAN
             case N.Binary(op, a, b):
                 (left, lk), (right, rk) = self(a), self(b)
                 if op == "+" and STRING in (lk, rk):
@@ -173,7 +180,11 @@ class Expressions:
     def fit(self, of, lit: N.Lit):
         kind = self(of)[1]
         if kind == DATE and isinstance(lit.value, str):
-            return F.coalesce(F.try_to_date(F.lit(lit.value), "yyyy-MM-dd"), F.try_to_date(F.lit(lit.value), "MM/dd/yyyy"), F.lit(lit.value).try_cast("timestamp").cast("date"))
+            return F.coalesce(
+                F.try_to_date(F.lit(lit.value), "yyyy-MM-dd"),
+                F.try_to_date(F.lit(lit.value), "MM/dd/yyyy"),
+                F.lit(lit.value).try_cast("timestamp").cast("date"),
+            )
         if kind == NUMBER and isinstance(lit.value, str):
             try:
                 return float(lit.value)
@@ -249,7 +260,13 @@ class Planner:
         aliases = {i.alias.lower(): i.expr for i in items if i.alias}
         order = [(aliases.get(str(e).lower(), e) if isinstance(e, N.Col) else e, d) for e, d in q.order]
         having = self.by_alias(q.having, aliases, scope)
-        calls = dict.fromkeys(c for e in [*[i.expr for i in items], having, *[e for e, _ in order]] if e is not None for c in N.every(e, N.Call) if c.name in AGGREGATES)
+        calls = dict.fromkeys(
+            c
+            for e in [*[i.expr for i in items], having, *[e for e, _ in order]]
+            if e is not None
+            for c in N.every(e, N.Call)
+            if c.name in AGGREGATES
+        )
         if calls or q.group:
             df, expr = self.grouped(df, scope, ctes, q.group, list(calls), [*[i.expr for i in items], having, *[e for e, _ in order]])
         if having is not None:
@@ -315,7 +332,9 @@ class Planner:
         for item in items:
             if isinstance(item.expr, N.Rank):
                 r = item.expr
-                over = Window.partitionBy(*[expr(c)[0] for c in r.partition]).orderBy(expr(r.order)[0].desc() if r.descending else expr(r.order)[0].asc())
+                over = Window.partitionBy(*[expr(c)[0] for c in r.partition]).orderBy(
+                    expr(r.order)[0].desc() if r.descending else expr(r.order)[0].asc(),
+                )
                 column = F.rank().over(over).cast("bigint")
             else:
                 column = expr(item.expr)[0]
@@ -330,7 +349,16 @@ class Planner:
         for i, (e, descending) in enumerate(order):
             if isinstance(e, N.Lit):
                 raise BindingError("ORDER BY needs a column or an expression, not a constant")
-            at = next((k for k, item in enumerate(items) if item.expr == e or (isinstance(e, N.Col) and isinstance(item.expr, N.Col) and expr.scope.match(e) and expr.scope.match(e) == expr.scope.match(item.expr))), None)
+            at = next(
+                (
+                    k
+                    for k, item in enumerate(items)
+                    if item.expr == e or (
+                        isinstance(e, N.Col) and isinstance(item.expr, N.Col) and expr.scope.match(e) and expr.scope.match(e) == expr.scope.match(item.expr)
+                    )
+                ),
+                None,
+            )
             if at is None:
                 if q.distinct:
                     raise BindingError("with DISTINCT, ORDER BY must name items of the SELECT list")

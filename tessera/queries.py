@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 from tessera.session import Session
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = (
+    "region",
+    "nation",
+    "customer",
+    "supplier",
+    "part",
+    "orders",
+    "lineitem",
+    "events",
+    "documents",
+    "embeddings",
+    "pages",
+    "benchmark",
+    "labels",
+    "conversations",
+)
 PRICING = "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS sum_qty, AVG(l_extendedprice) AS avg_price FROM lineitem GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus"
 
 #: key: the query, or the query in the dialect and in the SQL of the oracle where they differ
@@ -38,19 +53,40 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "group_agg": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(l_tax) AS n_tax, SUM(l_quantity) AS sum_qty, MIN(l_shipdate) AS first_ship, MAX(l_discount) AS most FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING COUNT(*) > 1",
     "group_only": "SELECT p_brand FROM part GROUP BY p_brand",
     "global_agg_empty": "SELECT COUNT(*) AS n, MAX(p_size) AS most FROM part WHERE p_size > 100000",
-    "sum_int": ("SELECT p_brand, SUM(p_size) AS s FROM part GROUP BY p_brand", "SELECT p_brand, SUM(CAST(p_size AS DOUBLE)) AS s FROM part GROUP BY p_brand"),
-    "sum_expr": ("SELECT l_returnflag, SUM(l_quantity * l_linenumber) AS rev FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, SUM(l_quantity * l_linenumber) AS rev FROM lineitem GROUP BY l_returnflag"),
+    "sum_int": (
+        "SELECT p_brand, SUM(p_size) AS s FROM part GROUP BY p_brand",
+        "SELECT p_brand, SUM(CAST(p_size AS DOUBLE)) AS s FROM part GROUP BY p_brand",
+    ),
+    "sum_expr": (
+        "SELECT l_returnflag, SUM(l_quantity * l_linenumber) AS rev FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, SUM(l_quantity * l_linenumber) AS rev FROM lineitem GROUP BY l_returnflag",
+    ),
     "agg_arithmetic": "SELECT p_brand, MAX(p_size) - MIN(p_size) AS spread FROM part GROUP BY p_brand",
     "having_alias_order": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 ORDER BY n DESC, o_custkey LIMIT 20",
     "having_hidden_agg": "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12",
-    "having_row_filter": ("SELECT n_nationkey FROM nation HAVING n_nationkey > 20", "SELECT n_nationkey FROM nation WHERE n_nationkey > 20"),
+    "having_row_filter": (
+        "SELECT n_nationkey FROM nation HAVING n_nationkey > 20",
+        "SELECT n_nationkey FROM nation WHERE n_nationkey > 20",
+    ),
     "count_distinct": "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus",
-    "date_filter": ("SELECT o_orderkey FROM orders WHERE o_orderdate >= '1998-01-01'", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01'"),
+    "date_filter": (
+        "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1998-01-01'",
+        "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01'",
+    ),
     "string_concat": ("SELECT s_suppkey, s_name + '-x' AS t FROM supplier", "SELECT s_suppkey, s_name || '-x' AS t FROM supplier"),
-    "string_functions": ("SELECT UPPER(n_name) AS u, LOWER(n_name) AS l, LEN(n_name) AS n FROM nation", "SELECT upper(n_name) AS u, lower(n_name) AS l, length(n_name)::INT AS n FROM nation"),
-    "safe_divide": ("SELECT l_orderkey, l_linenumber, l_quantity / l_discount AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, l_quantity / NULLIF(l_discount, 0) AS d FROM lineitem"),
+    "string_functions": (
+        "SELECT UPPER(n_name) AS u, LOWER(n_name) AS l, LEN(n_name) AS n FROM nation",
+        "SELECT upper(n_name) AS u, lower(n_name) AS l, length(n_name)::INT AS n FROM nation",
+    ),
+    "safe_divide": (
+        "SELECT l_orderkey, l_linenumber, l_quantity / l_discount AS d FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, l_quantity / NULLIF(l_discount, 0) AS d FROM lineitem",
+    ),
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5",
-    "offset_then_limit": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 5 LIMIT 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5"),
+    "offset_then_limit": (
+        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 5 LIMIT 10",
+        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5",
+    ),
     "order_hidden": "SELECT n_name FROM nation ORDER BY n_regionkey DESC, n_nationkey LIMIT 7",
     "union_distinct": "SELECT n_nationkey AS k FROM nation UNION SELECT s_nationkey FROM supplier",
     "union_all_mixed": "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region UNION SELECT r_regionkey FROM region",
@@ -65,10 +101,16 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "cte_rank_top1": "WITH ranked AS (SELECT s_nationkey, s_name, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS rk FROM supplier) SELECT s_nationkey, s_name FROM ranked WHERE rk = 1",
     "cte_chain": "WITH a AS (SELECT n_nationkey, n_regionkey FROM nation), b AS (SELECT n_regionkey, COUNT(*) AS n FROM a GROUP BY n_regionkey) SELECT r.r_name AS r_name, b.n AS n FROM b JOIN region r ON b.n_regionkey = r.r_regionkey",
     "no_from": ("SELECT 1 + 2 AS three, 'a' + 'b' AS ab", "SELECT 3 AS three, 'ab' AS ab"),
-    "rank_distinct_cut": ("SELECT DISTINCT s_nationkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_nationkey) AS r FROM supplier ORDER BY s_nationkey DESC OFFSET 2 LIMIT 5", "SELECT DISTINCT s_nationkey, 1::BIGINT AS r FROM supplier ORDER BY s_nationkey DESC LIMIT 5 OFFSET 2"),
+    "rank_distinct_cut": (
+        "SELECT DISTINCT s_nationkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_nationkey) AS r FROM supplier ORDER BY s_nationkey DESC OFFSET 2 LIMIT 5",
+        "SELECT DISTINCT s_nationkey, 1::BIGINT AS r FROM supplier ORDER BY s_nationkey DESC LIMIT 5 OFFSET 2",
+    ),
     "rank_after_filter": "SELECT s_suppkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS r FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 12",
     "order_of_application": "SELECT p_brand, COUNT(*) AS n FROM part WHERE p_size > 10 GROUP BY p_brand HAVING COUNT(*) > 5 ORDER BY n DESC, p_brand LIMIT 7 OFFSET 3",
-    "having_alias_everywhere": ("SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand HAVING n IN (70, 75, 80, 85) OR n BETWEEN 60 AND 69 OR p_brand LIKE '%2'", "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand HAVING COUNT(*) IN (70, 75, 80, 85) OR COUNT(*) BETWEEN 60 AND 69 OR p_brand LIKE '%2'"),
+    "having_alias_everywhere": (
+        "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand HAVING n IN (70, 75, 80, 85) OR n BETWEEN 60 AND 69 OR p_brand LIKE '%2'",
+        "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand HAVING COUNT(*) IN (70, 75, 80, 85) OR COUNT(*) BETWEEN 60 AND 69 OR p_brand LIKE '%2'",
+    ),
     "comparison_as_value": "SELECT p_partkey, p_size > 25 AS big FROM part",
     "truth_of_numbers": ("SELECT p_partkey FROM part WHERE p_size - 10", "SELECT p_partkey FROM part WHERE p_size - 10 <> 0"),
     "minus": "SELECT p_partkey, p_size - 1 AS less, p_retailprice - p_size AS rest FROM part",
@@ -78,19 +120,67 @@ QUERIES: dict[str, str | tuple[str, str]] = {
 PART = "CREATE TABLE t (p_partkey BIGINT PRIMARY KEY, p_brand VARCHAR(20), p_size INT DEFAULT 7)"
 #: key: statements after a copy of part was stored as table t, the query, the oracle's SQL
 CHANGES = {
-    "dml_update": ("UPDATE t SET p_size = p_size + 100 WHERE p_size > 25", "SELECT p_partkey, p_size FROM t", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 100 ELSE p_size END AS p_size FROM part"),
-    "dml_delete": ("DELETE FROM t WHERE p_size IN (SELECT p_size FROM t WHERE p_partkey < 20)", "SELECT p_partkey FROM t", "SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_partkey < 20)"),
-    "dml_insert_default": ("INSERT INTO t (p_partkey, p_brand) VALUES (-1, 'new'), (-2, 'new')", "SELECT p_partkey, p_size FROM t", "SELECT p_partkey, p_size FROM part UNION ALL VALUES (-1::BIGINT, 7::INTEGER), (-2::BIGINT, 7::INTEGER)"),
-    "dml_transaction": ("BEGIN; DELETE FROM t WHERE p_size > 10; INSERT INTO t VALUES (-1, 'x', 1); ROLLBACK; BEGIN; DELETE FROM t WHERE p_size <= 10; COMMIT", "SELECT p_partkey FROM t", "SELECT p_partkey FROM part WHERE p_size > 10"),
-    "alter_add_column": ("ALTER TABLE t ADD COLUMN flag INT DEFAULT 3", "SELECT p_partkey, flag FROM t", "SELECT p_partkey, 3 AS flag FROM part"),
+    "dml_update": (
+        "UPDATE t SET p_size = p_size + 100 WHERE p_size > 25",
+        "SELECT p_partkey, p_size FROM t",
+        "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size + 100 ELSE p_size END AS p_size FROM part",
+    ),
+    "dml_delete": (
+        "DELETE FROM t WHERE p_size IN (SELECT p_size FROM t WHERE p_partkey < 20)",
+        "SELECT p_partkey FROM t",
+        "SELECT p_partkey FROM part WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_partkey < 20)",
+    ),
+    "dml_insert_default": (
+        "INSERT INTO t (p_partkey, p_brand) VALUES (-1, 'new'), (-2, 'new')",
+        "SELECT p_partkey, p_size FROM t",
+        "SELECT p_partkey, p_size FROM part UNION ALL VALUES (-1::BIGINT, 7::INTEGER), (-2::BIGINT, 7::INTEGER)",
+    ),
+    "dml_transaction": (
+        "BEGIN; DELETE FROM t WHERE p_size > 10; INSERT INTO t VALUES (-1, 'x', 1); ROLLBACK; BEGIN; DELETE FROM t WHERE p_size <= 10; COMMIT",
+        "SELECT p_partkey FROM t",
+        "SELECT p_partkey FROM part WHERE p_size > 10",
+    ),
+    "alter_add_column": (
+        "ALTER TABLE t ADD COLUMN flag INT DEFAULT 3",
+        "SELECT p_partkey, flag FROM t",
+        "SELECT p_partkey, 3 AS flag FROM part",
+    ),
     "alter_drop_column": ("ALTER TABLE t DROP COLUMN p_brand; VACUUM t", "SELECT * FROM t", "SELECT p_partkey, p_size FROM part"),
-    "alter_modify_column": ("ALTER TABLE t MODIFY COLUMN p_size VARCHAR(1)", "SELECT p_partkey, p_size FROM t", "SELECT p_partkey, substr(p_size::VARCHAR, 1, 1) AS p_size FROM part"),
-    "dml_rejected_rows": ("INSERT INTO t VALUES (1, 'twice', 1), (-5, 'new', 2), (-5, 'again', 3), (NULL, 'none', 4), ('x', 'text', 5), (-6, 'half', 2.5)", "SELECT p_partkey, p_size FROM t", "SELECT p_partkey, p_size FROM part UNION ALL VALUES (-5::BIGINT, 2::INTEGER)"),
-    "dml_foreign_keys": ("CREATE TABLE c (Id INT PRIMARY KEY, P BIGINT REFERENCES t(p_partkey), U VARCHAR UNIQUE); INSERT INTO c VALUES (1, 1, 'a'), (2, -9, 'b'), (3, NULL, 'c'), (4, 2, 'a'), (5, 2, NULL)", "SELECT Id AS id, P AS p FROM c", "SELECT * FROM (VALUES (1::INTEGER, 1::BIGINT), (3, NULL), (5, 2)) x(id, p)"),
-    "dml_cascade": ("CREATE TABLE c (Id INT PRIMARY KEY, P BIGINT REFERENCES t(p_partkey) ON DELETE CASCADE); INSERT INTO c VALUES (1, 1), (2, 2), (3, NULL); DELETE FROM t WHERE p_partkey = 1", "SELECT p_partkey AS k FROM t UNION ALL SELECT Id FROM c", "SELECT p_partkey AS k FROM part WHERE p_partkey <> 1 UNION ALL VALUES (2), (3)"),
-    "drop_and_create": ("DROP TABLE t; CREATE TABLE t (a INT); INSERT INTO t VALUES (1), (2)", "SELECT a FROM t", "SELECT * FROM (VALUES (1::INTEGER), (2)) x(a)"),
-    "drop_index": ("CREATE INDEX i ON t(p_brand); DROP INDEX i ON t; ALTER TABLE t DROP COLUMN p_brand", "SELECT * FROM t", "SELECT p_partkey, p_size FROM part"),
-    "index_lookup": ("CREATE INDEX by_brand ON t(p_brand)", "SELECT p_partkey FROM t WHERE p_brand = 'Brand#13'", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#13'"),
+    "alter_modify_column": (
+        "ALTER TABLE t MODIFY COLUMN p_size VARCHAR(1)",
+        "SELECT p_partkey, p_size FROM t",
+        "SELECT p_partkey, substr(p_size::VARCHAR, 1, 1) AS p_size FROM part",
+    ),
+    "dml_rejected_rows": (
+        "INSERT INTO t VALUES (1, 'twice', 1), (-5, 'new', 2), (-5, 'again', 3), (NULL, 'none', 4), ('x', 'text', 5), (-6, 'half', 2.5)",
+        "SELECT p_partkey, p_size FROM t",
+        "SELECT p_partkey, p_size FROM part UNION ALL VALUES (-5::BIGINT, 2::INTEGER)",
+    ),
+    "dml_foreign_keys": (
+        "CREATE TABLE c (Id INT PRIMARY KEY, P BIGINT REFERENCES t(p_partkey), U VARCHAR UNIQUE); INSERT INTO c VALUES (1, 1, 'a'), (2, -9, 'b'), (3, NULL, 'c'), (4, 2, 'a'), (5, 2, NULL)",
+        "SELECT Id AS id, P AS p FROM c",
+        "SELECT * FROM (VALUES (1::INTEGER, 1::BIGINT), (3, NULL), (5, 2)) x(id, p)",
+    ),
+    "dml_cascade": (
+        "CREATE TABLE c (Id INT PRIMARY KEY, P BIGINT REFERENCES t(p_partkey) ON DELETE CASCADE); INSERT INTO c VALUES (1, 1), (2, 2), (3, NULL); DELETE FROM t WHERE p_partkey = 1",
+        "SELECT p_partkey AS k FROM t UNION ALL SELECT Id FROM c",
+        "SELECT p_partkey AS k FROM part WHERE p_partkey <> 1 UNION ALL VALUES (2), (3)",
+    ),
+    "drop_and_create": (
+        "DROP TABLE t; CREATE TABLE t (a INT); INSERT INTO t VALUES (1), (2)",
+        "SELECT a FROM t",
+        "SELECT * FROM (VALUES (1::INTEGER), (2)) x(a)",
+    ),
+    "drop_index": (
+        "CREATE INDEX i ON t(p_brand); DROP INDEX i ON t; ALTER TABLE t DROP COLUMN p_brand",
+        "SELECT * FROM t",
+        "SELECT p_partkey, p_size FROM part",
+    ),
+    "index_lookup": (
+        "CREATE INDEX by_brand ON t(p_brand)",
+        "SELECT p_partkey FROM t WHERE p_brand = 'Brand#13'",
+        "SELECT p_partkey FROM part WHERE p_brand = 'Brand#13'",
+    ),
 }
 
 

@@ -67,13 +67,25 @@ def test_entry(spark):
 
 def test_insert(db):
     ok(db, "CREATE TABLE p (Id INT PRIMARY KEY, Name VARCHAR(3), Price FLOAT, Day DATE, Ok BIT DEFAULT true, N INT DEFAULT 5)")
-    assert ok(db, "INSERT INTO p (Id, Name, Price, Day) VALUES (1, 'it''s', 1.5, '2024-02-03'), (2, 'b', 0.1, '02/04/2024')").messages == ["Rows affected: 2"]
-    assert rows(db, "SELECT Id, Name, Day, Ok, N FROM p ORDER BY Id") == [(1, "it'", datetime.date(2024, 2, 3), True, 5), (2, "b", datetime.date(2024, 2, 4), True, 5)]
+    assert ok(
+        db,
+        "INSERT INTO p (Id, Name, Price, Day) VALUES (1, 'it''s', 1.5, '2024-02-03'), (2, 'b', 0.1, '02/04/2024')",
+    ).messages == ["Rows affected: 2"]
+    assert rows(db, "SELECT Id, Name, Day, Ok, N FROM p ORDER BY Id") == [
+        (1, "it'", datetime.date(2024, 2, 3), True, 5),
+        (2, "b", datetime.date(2024, 2, 4), True, 5),
+    ]
     r = ok(db, "INSERT INTO p (Id, N) VALUES (1, 1), (3, NULL), (3, 2), (NULL, 1), ('x', 1)")
     assert r.messages[-1] == "Rows affected: 1" and sum("Primary key violation" in m for m in r.messages) == 2
-    assert any("Primary key cannot be null" in m for m in r.messages) and any("doesn't match with column type in row 5" in m for m in r.messages)
+    assert any("Primary key cannot be null" in m for m in r.messages) and any(
+        "doesn't match with column type in row 5" in m
+        for m in r.messages
+    )
     assert rows(db, "SELECT N FROM p WHERE Id = 3") == [(None,)]
-    assert rows(db, "SELECT Id FROM p WHERE Day = '2024-02-04'") == [(2,)] and rows(db, "SELECT Id FROM p WHERE Ok = true AND Name != 'b'") == [(1,)]
+    assert rows(db, "SELECT Id FROM p WHERE Day = '2024-02-04'") == [(2,)] and rows(
+        db,
+        "SELECT Id FROM p WHERE Ok = true AND Name != 'b'",
+    ) == [(1,)]
     said(db, "INSERT INTO p (Id, N) VALUES (9)", "number of values", True)
 
 
@@ -82,7 +94,10 @@ def test_composite_and_foreign_keys(db):
     ok(db, "INSERT INTO e VALUES (1, 1, 'a'), (1, 2, 'b'), (2, 1, 'c')")
     said(db, "INSERT INTO e VALUES (1, 2, 'z')", "Primary key violation", False)
     assert rows(db, "SELECT G FROM e WHERE S = 1 ORDER BY C") == [("a",), ("b",)]
-    ok(db, "CREATE TABLE dep (Id INT PRIMARY KEY); CREATE TABLE emp (Id INT PRIMARY KEY, D INT REFERENCES dep(Id), E VARCHAR UNIQUE); INSERT INTO dep VALUES (1), (2)")
+    ok(
+        db,
+        "CREATE TABLE dep (Id INT PRIMARY KEY); CREATE TABLE emp (Id INT PRIMARY KEY, D INT REFERENCES dep(Id), E VARCHAR UNIQUE); INSERT INTO dep VALUES (1), (2)",
+    )
     said(db, "INSERT INTO emp VALUES (1, 9, 'a')", "Foreign key violation", False)
     ok(db, "INSERT INTO emp VALUES (1, 1, 'a'), (2, NULL, NULL), (3, NULL, NULL)")
     said(db, "INSERT INTO emp VALUES (4, 1, 'a')", "Unique key violation", False)
@@ -95,11 +110,17 @@ def test_composite_and_foreign_keys(db):
 
 
 def test_cascade(db):
-    ok(db, "CREATE TABLE a (Id INT PRIMARY KEY); CREATE TABLE b (Id INT PRIMARY KEY, A INT REFERENCES a(Id) ON DELETE CASCADE); CREATE TABLE c (Id INT PRIMARY KEY, B INT, FOREIGN KEY (B) REFERENCES b(Id) ON DELETE CASCADE)")
+    ok(
+        db,
+        "CREATE TABLE a (Id INT PRIMARY KEY); CREATE TABLE b (Id INT PRIMARY KEY, A INT REFERENCES a(Id) ON DELETE CASCADE); CREATE TABLE c (Id INT PRIMARY KEY, B INT, FOREIGN KEY (B) REFERENCES b(Id) ON DELETE CASCADE)",
+    )
     ok(db, "INSERT INTO a VALUES (1), (2); INSERT INTO b VALUES (10, 1), (20, 2); INSERT INTO c VALUES (100, 10), (200, 20), (300, NULL)")
     assert ok(db, "DELETE FROM a WHERE Id = 1").messages == ["Rows affected: 1"]
     assert rows(db, "SELECT Id FROM b") == [(20,)] and sorted(rows(db, "SELECT Id FROM c")) == [(200,), (300,)]
-    ok(db, "CREATE TABLE n (Id INT PRIMARY KEY, Up INT REFERENCES n(Id) ON DELETE CASCADE); INSERT INTO n VALUES (1, NULL), (2, 1), (3, 2), (4, NULL); DELETE FROM n WHERE Id = 1")
+    ok(
+        db,
+        "CREATE TABLE n (Id INT PRIMARY KEY, Up INT REFERENCES n(Id) ON DELETE CASCADE); INSERT INTO n VALUES (1, NULL), (2, 1), (3, 2), (4, NULL); DELETE FROM n WHERE Id = 1",
+    )
     assert rows(db, "SELECT Id FROM n") == [(4,)]
 
 
@@ -125,7 +146,10 @@ def test_null_semantics(db):
 
 
 def test_names_and_errors(db):
-    ok(db, "CREATE TABLE Dep (DepId INT, Name VARCHAR); CREATE TABLE Emp (EmpId INT, Name VARCHAR, DepId INT); INSERT INTO Dep VALUES (1, 'x'); INSERT INTO Emp VALUES (1, 'Ann', 1), (2, 'Bob', 3)")
+    ok(
+        db,
+        "CREATE TABLE Dep (DepId INT, Name VARCHAR); CREATE TABLE Emp (EmpId INT, Name VARCHAR, DepId INT); INSERT INTO Dep VALUES (1, 'x'); INSERT INTO Emp VALUES (1, 'Ann', 1), (2, 'Bob', 3)",
+    )
     r = ok(db, "SELECT Emp.Name, Dep.Name FROM Emp JOIN Dep ON Emp.DepId = Dep.DepId")
     assert r.rows == [{"Emp.Name": "Ann", "Dep.Name": "x"}] and r.messages == ["Rows selected: 1"]
     assert db.sql("SELECT COUNT(*), MAX(DepId) FROM Emp").columns == ["COUNT(*)", "MAX(DepId)"]
@@ -134,7 +158,12 @@ def test_names_and_errors(db):
     said(db, "SELECT Emp.Name FROM Emp JOIN Dep ON Emp.Nope = Dep.DepId", "Binding Error", True)
     said(db, "SELECT Nope FROM Emp", "Invalid column name: Nope", True)
     said(db, "SELECT SUM(Name) FROM Emp", "numeric", True)
-    said(db, "SELECT Name FROM Emp WHERE EXISTS (SELECT DepId FROM Dep WHERE Dep.DepId = Emp.DepId)", "Correlated subqueries are not supported yet", True)
+    said(
+        db,
+        "SELECT Name FROM Emp WHERE EXISTS (SELECT DepId FROM Dep WHERE Dep.DepId = Emp.DepId)",
+        "Correlated subqueries are not supported yet",
+        True,
+    )
     said(db, "SELECT Name FROM Emp WHERE EmpId IN (SELECT DepId, Name FROM Dep)", "exactly one column", True)
     said(db, "SELECT Name FROM Emp WHERE EmpId = (SELECT EmpId FROM Emp)", "more than one row", True)
     said(db, "SELECT RANK() FROM Emp", "Function 'RANK' is not supported yet", True)
@@ -244,5 +273,7 @@ def test_dbapi(spark):
 
 def test_pushdown(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    plan = Q.session(spark, SF).sql("SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 AND l_shipdate >= '1998-01-01'")._jdf.queryExecution().executedPlan().toString()
+    plan = Q.session(spark, SF).sql(
+        "SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 AND l_shipdate >= '1998-01-01'",
+    )._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,49" in plan and "GreaterThanOrEqual(l_shipdate" in plan and "l_extendedprice" not in plan

@@ -28,7 +28,14 @@ def rows(s, sql):
 def db(spark, tmp_path):
     s = Session(spark, str(tmp_path))
     ok(s, "CREATE DATABASE d; USE d; CREATE TABLE t (Id INT PRIMARY KEY, N INT, D DATE)")
-    s.load("t", spark.range(4000).repartitionByRange(4, "id").select(F.col("id").cast("int").alias("Id"), (F.col("id") % 10).cast("int").alias("N"), F.lit(datetime.date(2024, 1, 2)).alias("D")))
+    s.load(
+        "t",
+        spark.range(4000).repartitionByRange(4, "id").select(
+            F.col("id").cast("int").alias("Id"),
+            (F.col("id") % 10).cast("int").alias("N"),
+            F.lit(datetime.date(2024, 1, 2)).alias("D"),
+        ),
+    )
     return s
 
 
@@ -41,9 +48,15 @@ def test_only_files_with_hits_are_written_again(db, tmp_path):
     assert len(before) == 4
     assert ok(db, "UPDATE t SET N = 99 WHERE Id = 5").messages == ["Rows affected: 1"]
     assert len([p for p, _ in db.catalog.databases["d"]["t"].parts if p.endswith(".parquet")]) == 3
-    assert rows(db, "SELECT N FROM t WHERE Id = 5") == [(99,)] and rows(db, "SELECT COUNT(*) AS n, SUM(N) AS s FROM t") == [(4000, 18000 - 5 + 99)]
+    assert rows(db, "SELECT N FROM t WHERE Id = 5") == [(99,)] and rows(
+        db,
+        "SELECT COUNT(*) AS n, SUM(N) AS s FROM t",
+    ) == [(4000, 18000 - 5 + 99)]
     held = files(tmp_path)
-    assert ok(db, "UPDATE t SET N = 1 WHERE Id = -7").messages == ["Rows affected: 0"] and ok(db, "DELETE FROM t WHERE N = 1000").messages == ["Rows affected: 0"]
+    assert ok(
+        db,
+        "UPDATE t SET N = 1 WHERE Id = -7",
+    ).messages == ["Rows affected: 0"] and ok(db, "DELETE FROM t WHERE N = 1000").messages == ["Rows affected: 0"]
     assert files(tmp_path) == held
     ok(db, "INSERT INTO t VALUES (9000, 1, NULL)")
     assert ok(db, "DELETE FROM t WHERE Id < 2000").messages == ["Rows affected: 2000"]
@@ -55,9 +68,15 @@ def test_only_files_with_hits_are_written_again(db, tmp_path):
 
 def test_columns_come_and_go_without_rewriting(db, tmp_path):
     before = files(tmp_path)
-    ok(db, "ALTER TABLE t ADD COLUMN E VARCHAR(5) DEFAULT 'x'; INSERT INTO t (Id, E) VALUES (5000, NULL), (5001, 'y'); ALTER TABLE t DROP COLUMN N; ALTER TABLE t ADD N VARCHAR")
+    ok(
+        db,
+        "ALTER TABLE t ADD COLUMN E VARCHAR(5) DEFAULT 'x'; INSERT INTO t (Id, E) VALUES (5000, NULL), (5001, 'y'); ALTER TABLE t DROP COLUMN N; ALTER TABLE t ADD N VARCHAR",
+    )
     assert files(tmp_path) == before
-    assert rows(db, "SELECT Id, E, N FROM t WHERE Id = 7 OR Id >= 5000 ORDER BY Id") == [(7, "x", None), (5000, None, None), (5001, "y", None)]
+    assert rows(
+        db,
+        "SELECT Id, E, N FROM t WHERE Id = 7 OR Id >= 5000 ORDER BY Id",
+    ) == [(7, "x", None), (5000, None, None), (5001, "y", None)]
     ok(db, "UPDATE t SET N = 'new' WHERE Id = 7; DELETE FROM t WHERE E = 'y'")
     again = Session(db.spark, str(tmp_path))
     again.execute("USE d")
@@ -82,7 +101,10 @@ def test_update_takes_what_insert_takes(db):
     for sql in ("UPDATE t SET N = 2.7", "UPDATE t SET N = '2.7'", "UPDATE t SET N = 'x' WHERE Id = 1", "UPDATE t SET D = 'never'"):
         assert any("doesn't match" in m for m in db.execute(sql)[0].messages), sql
     ok(db, "UPDATE t SET D = '02/04/2024', N = 2.0 WHERE Id = 3; UPDATE t SET N = '12' WHERE Id = 4")
-    assert rows(db, "SELECT N, D FROM t WHERE Id = 3") == [(2, datetime.date(2024, 2, 4))] and rows(db, "SELECT N FROM t WHERE Id = 4") == [(12,)]
+    assert rows(
+        db,
+        "SELECT N, D FROM t WHERE Id = 3",
+    ) == [(2, datetime.date(2024, 2, 4))] and rows(db, "SELECT N FROM t WHERE Id = 4") == [(12,)]
 
 
 def test_given_up_work_leaves_no_files(db, tmp_path):
@@ -98,7 +120,10 @@ def test_given_up_work_leaves_no_files(db, tmp_path):
 
 
 def test_failed_statement_of_a_transaction_leaves_nothing(db):
-    ok(db, "CREATE TABLE c (Id INT PRIMARY KEY, T INT REFERENCES t(Id)); INSERT INTO c VALUES (1, 5); BEGIN; INSERT INTO t VALUES (-1, 0, NULL)")
+    ok(
+        db,
+        "CREATE TABLE c (Id INT PRIMARY KEY, T INT REFERENCES t(Id)); INSERT INTO c VALUES (1, 5); BEGIN; INSERT INTO t VALUES (-1, 0, NULL)",
+    )
     assert any("Foreign key violation" in m for m in db.execute("DELETE FROM t WHERE Id < 10")[0].messages)
     ok(db, "COMMIT")
     assert rows(db, "SELECT COUNT(*) AS n FROM t") == [(4001,)]
@@ -143,7 +168,10 @@ def test_dialect_edges(db, caplog):
         r = ok(db, "SELECT COUNT(*) AS n FROM t")
         db.execute("SELECT Nope FROM t")
     assert r.messages == ["Rows selected: 1"] and r.rows == [{"n": 4000}] and r.df.is_cached
-    assert any(x.levelname == "WARNING" and "Nope" in x.getMessage() for x in caplog.records) and any("select" in x.getMessage() for x in caplog.records)
+    assert any(
+        x.levelname == "WARNING" and "Nope" in x.getMessage()
+        for x in caplog.records
+    ) and any("select" in x.getMessage() for x in caplog.records)
 
 
 def test_scalar(spark):
