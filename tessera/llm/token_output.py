@@ -186,12 +186,27 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empties the cache: the table of short pieces, the long ones, and the ids and their count by a piece's number."""
-        self.low, self.high = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.uint64)
-        self.number = np.full(1 << TABLE_BITS, -1, np.int32)
+        """Empties the cache: a line of the table for each short piece (its two numbers, its own number and 1), the long
+        pieces, the ids and their count by a piece's number, and which pieces have been met again."""
+        self.table = np.zeros((1 << TABLE_BITS, 4), np.uint64)
         self.long: dict[bytes, int] = {}
         self.ids, self.lengths, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.bytes = 0
+        self.again, self.bytes = np.zeros(0, bool), 0
+
+    def forget_rare(self) -> None:
+        """Leaves the pieces that have been met again."""
+        held, long, lengths = self.table[self.table[:, 2] > 0], self.long, self.lengths
+        keep = np.flatnonzero(self.again)
+        if 2 * len(keep) > CACHED:
+            return self.forget()
+        ids, counts, renamed = self.ids[ragged(self.starts[keep], lengths[keep])], lengths[keep], np.cumsum(self.again) - 1
+        old = held[:, 2].astype(np.int64) - 1
+        held, old = held[self.again[old]], old[self.again[old]]
+        kept = {piece: int(renamed[i]) for piece, i in long.items() if self.again[i]}
+        self.forget()
+        self.ids, self.lengths, self.starts = ids, counts, np.cumsum(counts, dtype=np.int64) - counts
+        self.again, self.long, self.bytes = np.zeros(len(keep), bool), kept, sum(map(len, kept))
+        self.insert(held[:, 0].copy(), held[:, 1].copy(), renamed[old])
 
     def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces that are encoded one by one, and how many each has."""
@@ -230,20 +245,21 @@ class Encoder:
         starts[words], starts[spaces] = np.cumsum(counts_a) - counts_a, len(ids_a) + np.cumsum(counts_b) - counts_b
         self.ids = np.concatenate([self.ids, np.concatenate([ids_a, ids_b])[ragged(starts, counts)]])
         self.lengths = np.concatenate([self.lengths, counts])
+        self.again = np.concatenate([self.again, np.zeros(len(counts), bool)])
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.bytes += int(size.sum())
 
     def probe(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The numbers of short pieces; -1 for those that are not known."""
         slot = self.slot(low, high)
-        found = self.number[slot]
-        same = (self.low[slot] == low) & (self.high[slot] == high)
-        left = np.flatnonzero((found >= 0) & ~same)
+        line = self.table.take(slot, axis=0)
+        found = line[:, 2].view(np.int64) - 1
+        left = np.flatnonzero(((line[:, 0] != low) | (line[:, 1] != high)) & (found >= 0))
         while len(left):
             slot[left] = (slot[left] + 1) & ((1 << TABLE_BITS) - 1)
-            at = slot[left]
-            found[left] = self.number[at]
-            left = left[(found[left] >= 0) & ((self.low[at] != low[left]) | (self.high[at] != high[left]))]
+            line = self.table.take(slot[left], axis=0)
+            found[left] = line[:, 2].view(np.int64) - 1
+            left = left[((line[:, 0] != low[left]) | (line[:, 1] != high[left])) & (line[:, 2] > 0)]
         return found
 
     @staticmethod
@@ -253,16 +269,12 @@ class Encoder:
 
     def insert(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
         """Puts distinct short pieces into the table; of several that meet at a place the last gets it."""
-        slot = self.slot(low, high)
+        slot, lines = self.slot(low, high), np.stack([low, high, number.astype(np.uint64) + np.uint64(1), low * 0], axis=1)
         while len(slot):
-            free = self.number[slot] < 0
-            at = slot[free]
-            self.number[at], self.low[at], self.high[at] = number[free], low[free], high[free]
-            lost = self.number[slot] != number
-            # the table's lines agree with the number that won
-            won = ~lost
-            self.low[slot[won]], self.high[slot[won]] = low[won], high[won]
-            slot, low, high, number = (slot[lost] + 1) & ((1 << TABLE_BITS) - 1), low[lost], high[lost], number[lost]
+            free = np.flatnonzero(self.table[slot, 2] == 0)
+            self.table[slot[free]] = lines[free]
+            lost = self.table[slot, 2] != lines[:, 2]
+            slot, lines = (slot[lost] + 1) & ((1 << TABLE_BITS) - 1), lines[lost]
 
     def numbers(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of each piece, encoding those that are new."""
@@ -277,6 +289,7 @@ class Encoder:
         long = np.flatnonzero(~short)
         found[long] = -1
         new = np.flatnonzero((found < 0) & short)
+        self.again[found[found >= 0]] = True
         if len(new) or len(long):
             known = len(self.lengths)
             order = new[np.lexsort((low[new], high[new]))]
@@ -290,6 +303,8 @@ class Encoder:
                 if piece not in self.long:
                     self.long[piece] = known + len(fresh)
                     fresh.append(i)
+                elif self.long[piece] < known:
+                    self.again[self.long[piece]] = True
                 found[i] = self.long[piece]
             if fresh:
                 self.learn(data, at[fresh], size[fresh])
@@ -306,7 +321,7 @@ class Encoder:
         if not self.by_piece or b"\0" in raw or any(s in raw for s in self.specials):
             return self.whole(data, offsets, end)
         if len(self.lengths) > CACHED or self.bytes > CACHED_BYTES:
-            self.forget()
+            self.forget_rare()
         at = cuts(data, offsets, self.classes)
         piece = self.numbers(data, at, np.diff(at, append=len(data)))
         lengths = self.lengths[piece]
