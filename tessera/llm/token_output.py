@@ -21,6 +21,7 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ LETTERS, NUMBERS, SPACES = r"\p{L}+", r"\p{N}+", r"\p{White_Space}+"
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: The parts of a tokenizer file under which pieces may be encoded one by one.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-JOINED = 400
+FEED = 0x0A
 OTHER, LETTER, NUMBER, SPACE, BLANK = 0, 1, 2, 3, 4
 TABLE_BITS = 20
 CACHED = 400_000
@@ -75,6 +76,13 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def byte_letters() -> np.ndarray:
+    """How a byte-level vocabulary writes each byte: as the character of that number if that is printable, else as the next from 256 on."""
+    plain = np.zeros(256, bool)
+    plain[0x21:0x7F] = plain[0xA1:0xAD] = plain[0xAE:] = True
+    return np.where(plain, np.arange(256), 255 + np.cumsum(~plain)).astype("<u4")
+
+
 @lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
     """The class of each code point; BLANK is the space itself."""
@@ -181,7 +189,7 @@ class Encoder:
             cutter.get(k) == v
             for k, v in BYTE_LEVEL.items()
         ) and not parts["model"].get("dropout")
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1] if self.by_piece else -1
+        self.letters = byte_letters()
         self.classes = character_classes()
         self.forget()
 
@@ -208,42 +216,15 @@ class Encoder:
         self.again, self.long, self.bytes = np.zeros(len(keep), bool), kept, sum(map(len, kept))
         self.insert(held[:, 0].copy(), held[:, 1].copy(), renamed[old])
 
-    def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces that are encoded one by one, and how many each has."""
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.array([i for x in coded for i in x], np.int32), np.array([len(x) for x in coded], np.int32)
-
-    def joined(self, raw: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces that are no white space, one after the other in raw, each with a line feed after it, which is a piece of its own."""
-        ends = np.cumsum(counts)
-        at = [0, *ends[JOINED - 1 :: JOINED].tolist()]
-        at += [len(raw)] * (at[-1] < len(raw))
-        texts = [raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)]
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        flat = np.concatenate([np.array(x.ids, np.int32) for x in coded]) if coded else np.zeros(0, np.int32)
-        feeds = np.flatnonzero(flat == self.feed)
-        if len(feeds) != len(counts):  # the library cuts otherwise than we do
-            return self.each(
-                [raw[i : j - 1].tobytes().decode("utf-8", "replace") for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)],
-            )
-        return flat[flat != self.feed], np.diff(feeds, prepend=-1).astype(np.int32) - 1
-
     def learn(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         """Encodes the pieces at these places, numbered from the end of what is known."""
-        end = data[at + size - 1]  # a piece that ends in white space is nothing else
-        white = (self.classes[np.minimum(end, 0x7F)] >= SPACE) & (end < 0x80)
-        for i in np.flatnonzero(end >= 0x80).tolist():
-            white[i] = data[at[i] : at[i] + size[i]].tobytes().decode("utf-8", "replace").isspace()
-        words, spaces = np.flatnonzero(~white), np.flatnonzero(white)
-        ends = np.cumsum(size[words] + 1)
-        raw = np.full(int(ends[-1]) if len(words) else 0, 0x0A, np.uint8)
-        raw[ragged(ends - size[words] - 1, size[words])] = data[ragged(at[words], size[words])]
-        ids_a, counts_a = self.joined(raw, size[words] + 1)
-        ids_b, counts_b = self.each([data[at[i] : at[i] + size[i]].tobytes().decode("utf-8", "replace") for i in spaces.tolist()])
-        counts, starts = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
-        counts[words], counts[spaces] = counts_a, counts_b
-        starts[words], starts[spaces] = np.cumsum(counts_a) - counts_a, len(ids_a) + np.cumsum(counts_b) - counts_b
-        self.ids = np.concatenate([self.ids, np.concatenate([ids_a, ids_b])[ragged(starts, counts)]])
+        ends = np.cumsum(size + 1)
+        chars = np.full(int(ends[-1]), FEED, "<u4")  # no byte is written as a line feed
+        chars[ragged(ends - size - 1, size)] = self.letters[data[ragged(at, size)]]
+        merge = self.tokenizer.model.tokenize
+        coded = [[x.id for x in merge(piece)] for piece in chars.tobytes().decode("utf-32-le").split("\n")[:-1]]
+        counts = np.fromiter(map(len, coded), np.int32, len(coded))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.int32, int(counts.sum()))])
         self.lengths = np.concatenate([self.lengths, counts])
         self.again = np.concatenate([self.again, np.zeros(len(counts), bool)])
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
