@@ -147,21 +147,21 @@ def parts_observed(keys: np.ndarray, layout: Layout, ends: list[int], done: int)
     of = np.cumsum(opens) - 1  # the context of each group
     firsts = np.flatnonzero(opens)
     segment = np.repeat(np.arange(len(ends), dtype=np.int8), np.diff(ends, prepend=0))[time]
-    count = np.zeros(len(heads), np.int64)
+    kind = np.int32 if n < 1 << 23 else np.int64
+    count = np.zeros(len(heads), kind)
     if done:
-        count += np.bincount(group[segment < done] - 1, minlength=len(heads))
+        count += np.bincount(group[segment < done] - 1, minlength=len(heads)).astype(kind)
     for j in range(done, len(ends)):
         here = np.flatnonzero(segment == j)
         mine = group[here].astype(np.int64) - 1
         if j and len(here):
             total = np.add.reduceat(count, firsts)
-            level = levels(total, np.add.reduceat((count > 0).astype(np.int64), firsts))
-            smaller = np.cumsum(count) - count
-            own = (total << 8 | level)[of][mine]
-            part = ((smaller - smaller[firsts][of]) << 32 | count)[mine]
-            yield time[here], own & 0xFF, part >> 32, part & 0xFFFFFFFF, own >> 8
+            level = levels(total, np.add.reduceat((count > 0).astype(kind), firsts))
+            smaller = np.cumsum(count, dtype=kind) - count
+            own = (total << 8 | level.astype(kind))[of][mine]
+            yield time[here], own & 0xFF, (smaller - smaller[firsts][of])[mine], count[mine], own >> 8
         if j < len(ends) - 1:
-            count += np.bincount(mine, minlength=len(heads))
+            count += np.bincount(mine, minlength=len(heads)).astype(kind)
 
 
 class Order:
