@@ -25,3 +25,14 @@ def running(df: DataFrame, order: list[Column], values: dict[str, Column]) -> Da
     joined = ranged.join(F.broadcast(offsets), F.col("range") == F.col("of"))
     own = [(F.coalesce(F.sum(f"value {n}").over(inside), F.lit(0)) + F.col(f"offset {n}")).alias(n) for n in names]
     return joined.select(*df.columns, *own)
+
+
+def following(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with next: the columns of order in the row after, as one value, in an order that has no ties (nulls first); null in the last."""
+    ranged = settle(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    heads = ranged.groupBy("range").agg(F.min(F.struct(*order)).alias("head"))
+    # one row for each partition
+    later = heads.select(F.col("range").alias("of"), F.lead("head").over(Window.orderBy("range")).alias("head"))
+    inside = F.lead(F.struct(*order)).over(Window.partitionBy("range").orderBy(*order))
+    joined = ranged.join(F.broadcast(later), F.col("range") == F.col("of"))
+    return joined.select(*df.columns, F.coalesce(inside, F.col("head")).alias("next"))

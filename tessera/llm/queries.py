@@ -139,11 +139,12 @@ links AS (
   LEFT JOIN places q ON q.conv_id = p.conv_id AND q.turn = p.turn - 1
 ),
 reached AS (
-  SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM links WHERE parent_turn IS NULL
+  SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth, [turn] AS path FROM links WHERE parent_turn IS NULL
   UNION ALL
-  SELECT l.conv_id, l.turn, r.root_turn, r.depth + 1
+  SELECT l.conv_id, l.turn, r.root_turn, r.depth + 1, list_append(r.path, l.turn)
   FROM links l JOIN reached r ON l.conv_id = r.conv_id AND l.parent_turn = r.turn
 ),
+walked AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS position FROM reached),
 bodies AS (
   SELECT conv_id, turn, role,
          regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')
@@ -152,8 +153,8 @@ bodies AS (
          list_max(list_transform(string_split(text, chr(10)), lambda x: length(regexp_replace(regexp_extract(x, '^[ \t]*((>[ \t]?)*)', 1), '[ \t]', '', 'g'))))::BIGINT AS quote_depth
   FROM conversations
 )
-SELECT b.*, l.parent_turn, l.by_quote, r.root_turn, r.depth, '<|' || b.role || '|>' || chr(10) || b.body AS formatted
-FROM bodies b JOIN links l USING (conv_id, turn) JOIN reached r USING (conv_id, turn)
+SELECT b.*, l.parent_turn, l.by_quote, r.root_turn, r.depth, w.position, '<|' || b.role || '|>' || chr(10) || b.body AS formatted
+FROM bodies b JOIN links l USING (conv_id, turn) JOIN reached r USING (conv_id, turn) JOIN walked w USING (conv_id, turn)
 """
 
 OP7 = r"""

@@ -6,7 +6,9 @@ of a part, are normalised and hashed and joined to the first message of the
 conversation that has the passage or line unquoted; the original of most of a
 message's outermost quoted passages and lines is its parent (on ties the
 latest).  A message without such a quote answers the turn before it.  Roots and
-depths follow by pointer doubling.
+depths follow by pointer doubling, and so does the place of each message in
+reply order: every message stands after the one it answers, before what follows
+that, and answers to one message stand in the order of turns.
 
 Content is normalised to lower case with single spaces, and a passage's lines
 are joined by one, so that a quote may be wrapped anew.  Attribution lines
@@ -28,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.ordering import following
 from tessera.llm.storage import settle
 
 MARKS = r"^[ \t]*((>[ \t]?)*)"
@@ -109,10 +112,28 @@ def roots(links: DataFrame) -> DataFrame:
     return state.drop("there")
 
 
+def reply_order(links: DataFrame) -> DataFrame:
+    """conv_id, turn, position: the place of each turn in its conversation, from 0, when answers stand under what they answer."""
+    ordered = following(links.select("conv_id", "parent_turn", "turn"), ["conv_id", "parent_turn", "turn"])
+    same = (F.col("next.conv_id") == F.col("conv_id")) & F.col("next.parent_turn").eqNullSafe(F.col("parent_turn"))
+    siblings = ordered.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.when(same, F.col("next.turn")).alias("after"))
+    # after a turn and all under it: its next sibling, or what comes after its parent
+    state = settle(siblings.withColumn("there", F.col("after").isNotNull() | F.col("up").isNull()))
+    while not (far := state.filter("not there")).isEmpty():
+        seen = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("after").alias("then"), F.col("there").alias("ends"))
+        moved = far.select("conv_id", "turn", "up").join(seen, ["conv_id", "up"])
+        moved = moved.select("conv_id", "turn", F.col("higher").alias("up"), F.col("then").alias("after"), F.col("ends").alias("there"))
+        state = settle(state.filter("there").unionByName(moved))
+    first = links.filter("parent_turn is not null").groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("child"))
+    steps = state.join(first, ["conv_id", "turn"], "left").select("conv_id", F.coalesce("child", "after").alias("turn"), F.col("turn").alias("parent_turn"))
+    chain = links.select("conv_id", "turn").join(steps.filter("turn is not null"), ["conv_id", "turn"], "left")
+    return roots(chain).select("conv_id", "turn", F.col("depth").alias("position"))
+
+
 def threads(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, n_quoted, quote_depth, parent_turn, by_quote, root_turn, depth, formatted for each message.
+    """conv_id, turn, role, body, n_quoted, quote_depth, parent_turn, by_quote, root_turn, depth, position, formatted for each message.
 
-    In order of (conv_id, root_turn, turn) every message stands after the one it answers.
+    In order of (conv_id, position) answers stand under what they answer; rows of one place have one position.
     """
     plain = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -120,7 +141,8 @@ def threads(messages: DataFrame) -> DataFrame:
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
     )
-    linked = roots(parents(plain)).withColumnsRenamed({"conv_id": "c", "turn": "t"})
+    links = settle(parents(plain))
+    linked = roots(links).join(reply_order(links), ["conv_id", "turn"]).withColumnsRenamed({"conv_id": "c", "turn": "t"})
     every = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[ \t]", ""))
     own = F.filter(every, lambda x: (level(x) == 0) & ~x.rlike(ATTRIBUTION))
@@ -139,5 +161,6 @@ def threads(messages: DataFrame) -> DataFrame:
     return joined.select(
         "conv_id", "turn", "role", "body", "n_quoted", "quote_depth", "parent_turn", F.coalesce("by_quote", F.lit(False)).alias("by_quote"),
         F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("position", F.lit(0)).cast("long").alias("position"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body")).alias("formatted"),
     )

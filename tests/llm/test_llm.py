@@ -362,6 +362,27 @@ def test_threads(spark):
     assert [r["body"] for r in got if r["conv_id"] is None] == ["b"] and [r["body"] for r in got if r["conv_id"] == 4] == ["hi"]
 
 
+def test_reply_order(spark):
+    """Places in a tree walk, for trees of any shape, against recursion."""
+    from tessera.llm.quote_threads import reply_order
+
+    rng = np.random.default_rng(9)
+    shapes = [[None, *[rng.integers(0, i) for i in range(1, 60)]], [None, *range(49)], [None, *[0] * 40], [None if i % 3 == 0 else i - 1 for i in range(30)], [None]]
+    rows = [(c, 10 * i, None if p is None else 10 * int(p), False) for c, shape in enumerate(shapes) for i, p in enumerate(shape)]
+    want = {}
+    for c, shape in enumerate(shapes):
+        under = defaultdict(list)
+        for i, p in enumerate(shape):
+            under[p].append(i)
+        stack, place = under[None][::-1], 0
+        while stack:
+            i = stack.pop()
+            want[c, 10 * i], place = place, place + 1
+            stack += under[i][::-1]
+    got = reply_order(spark.createDataFrame(rows, "conv_id long, turn long, parent_turn long, by_quote boolean")).collect()
+    assert {(r["conv_id"], r["turn"]): r["position"] for r in got} == want and len(got) == len(rows)
+
+
 def test_threads_passages(spark):
     """A quote that was wrapped anew is found as a passage, and a part of one by its lines."""
     talk = [
