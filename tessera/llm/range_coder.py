@@ -36,6 +36,7 @@ ORDER0_BITS = 20
 LANES = 4096
 STEPS = 256
 TAIL = 4
+PART = 1 << 20
 SLOT_BITS = 17
 WEIGHT0 = 4
 KINDS = 5
@@ -402,3 +403,20 @@ def decode(block: bytes) -> np.ndarray:
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("a block of coded ids doesn't match its checksum")
     return ids
+
+
+def pack(ids: np.ndarray, alphabet: int, most: int = PART) -> bytes:
+    """Any number of ids as blocks of at most so many, one after the other: their number, their lengths, the blocks."""
+    parts = [encode(ids[i : i + most], alphabet) for i in range(0, max(len(ids), 1), most)]
+    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The ids of packed blocks; raises ValueError if they are damaged."""
+    count = struct.unpack_from("<I", data)[0] if len(data) >= 4 else 0
+    if not count or len(data) < 4 * (count + 1):
+        raise ValueError("not blocks of coded ids")
+    at = np.cumsum([4 * (count + 1), *struct.unpack_from(f"<{count}I", data, 4)]).tolist()
+    if at[-1] != len(data):
+        raise ValueError("blocks of coded ids are cut off")
+    return np.concatenate([decode(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])

@@ -11,7 +11,8 @@ in any order and on any executor; where a block starts follows from the counts.
 Defined results: a null or empty text is just the end id; a null doc_id comes
 first; rows of equal doc_id stand together in the order of a hash of their
 text, and repeated rows are repeated.  A document longer than a block is a block
-of its own.  Other columns are not read.  An empty table gives no rows.
+of its own, and its ids are coded in parts that are reset and checked like blocks,
+so that memory doesn't grow with it.  Other columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.range_coder import decode, encode
+from tessera.llm.range_coder import pack, unpack
 from tessera.llm.storage import give_back, shared_folder, small_batches
 from tessera.llm.textops import buffers, chunks, ragged
 
@@ -43,6 +44,7 @@ ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: The parts of a tokenizer file under which pieces may be encoded one by one.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 FEED = 0x0A
+PIECES = 1 << 18
 OTHER, LETTER, NUMBER, SPACE, BLANK = 0, 1, 2, 3, 4
 TABLE_BITS = 20
 CACHED = 400_000
@@ -258,9 +260,8 @@ class Encoder:
             slot, lines = (slot[lost] + 1) & ((1 << TABLE_BITS) - 1), lines[lost]
 
     def numbers(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The number of each piece, encoding those that are new."""
-        padded = np.append(data, np.zeros(16, np.uint8))
-        eights = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+        """The number of each piece, encoding those that are new; 16 more bytes stand after the last."""
+        eights = np.ndarray((len(data) - 8,), "<u8", data, strides=(1,))
         keep = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
         short = size <= SHORT
         length = np.minimum(size, SHORT)
@@ -301,18 +302,22 @@ class Encoder:
         raw = data.tobytes()
         if not self.by_piece or b"\0" in raw or any(s in raw for s in self.specials):
             return self.whole(data, offsets, end)
-        if len(self.lengths) > CACHED or self.bytes > CACHED_BYTES:
-            self.forget_rare()
         at = cuts(data, offsets, self.classes)
-        piece = self.numbers(data, at, np.diff(at, append=len(data)))
-        lengths = self.lengths[piece]
-        sums = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        size, padded = np.diff(at, append=len(data)), np.append(data, np.zeros(16, np.uint8))
+        lengths, ids = [], []
+        for low in range(0, len(at), PIECES):
+            if len(self.lengths) > CACHED or self.bytes > CACHED_BYTES:
+                self.forget_rare()
+            piece = self.numbers(padded, at[low : low + PIECES], size[low : low + PIECES])
+            lengths.append(self.lengths[piece])
+            ids.append(self.ids[ragged(self.starts[piece], lengths[-1])])
+        sums = np.concatenate(([0], np.cumsum(np.concatenate(lengths or [at]), dtype=np.int64)))
         counts = np.diff(sums[np.searchsorted(at, offsets)]) + 1
         ends = np.cumsum(counts)
         out = np.full(int(ends[-1]) if len(ends) else 0, end, np.int32)
         inside = np.ones(len(out), bool)
         inside[ends - 1] = False
-        out[inside] = self.ids[ragged(self.starts[piece], lengths)] if len(at) else 0
+        out[inside] = np.concatenate(ids or [at])
         return out, counts
 
 
@@ -336,7 +341,7 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
                 "n_ids": pa.array([len(ids)], pa.int64()),
                 "doc_ids": listed(pa.concat_arrays(names)),
                 "lengths": listed(pa.array(counts, pa.int64())),
-                "coded": pa.array([encode(ids, encoder.alphabet)], pa.binary()),
+                "coded": pa.array([pack(ids, encoder.alphabet)], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(columns)
 
@@ -394,7 +399,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = decode(batch.column("coded")[i].as_py()).astype("<u4")
+                ids = unpack(batch.column("coded")[i].as_py()).astype("<u4")
                 counts = batch.column("lengths")[i].values
                 lengths = counts.to_numpy()
                 ends = np.cumsum(lengths)

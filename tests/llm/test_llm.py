@@ -315,6 +315,17 @@ def test_other_tokenizers_encode_whole_texts():
     assert not encoder.by_piece and ids.tolist() == [*encoder.tokenizer.encode("Hello World  it's", add_special_tokens=False).ids, 0]
 
 
+def test_coder_parts():
+    from tessera.llm.range_coder import pack, unpack
+
+    ids = np.random.default_rng(0).integers(0, 500, 10_001)
+    for n in (0, 1, 999, 1000, 1001, 10_001):
+        assert (unpack(pack(ids[:n], 500, 1000)) == ids[:n]).all()
+    for damaged in (b"", b"abcd", pack(ids, 500, 1000)[:-4]):
+        with pytest.raises(ValueError, match="blocks of coded ids"):
+            unpack(damaged)
+
+
 def test_coder_learns(docs):
     """Counted orders 1 and 2 take far less than the entropy of order 0."""
     encoder = Encoder(byte_bpe_50k())
