@@ -112,11 +112,13 @@ class Layout:
 
     def slot(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The order-2 context of two ids, hashed."""
-        x = (before * 0x2545F491 + last).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (x >> np.uint64(64 - self.slot_bits)).view(np.int64)
+        x = (np.asarray(before, np.int64) * 0x2545F491 + last).view(np.uint64)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x >>= np.uint64(64 - self.slot_bits)
+        return x.view(np.int64)
 
     def key(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return (context << self.bits | ids).astype(self.kind)
+        return (np.asarray(context, np.int64) << self.bits | ids).astype(self.kind)
 
 
 def observed(keys: np.ndarray, layout: Layout, ends: list[int]):
@@ -242,7 +244,7 @@ def intervals(ids: np.ndarray, last: np.ndarray, before: np.ndarray, alphabet: i
     learned segment by segment, as the decoder learns them.
     """
     n, layout = len(ids), Layout(alphabet, len(ids))
-    start, width, used = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    start, width, used = (np.zeros(n, np.int32) for _ in range(3))  # all below SPACE
     shares = Shares()
     for at, level, first, many, size in observed(layout.key(layout.slot(last, before), ids), layout, ends):
         unit = shares.unit(level, size, SPACE)
@@ -250,7 +252,7 @@ def intervals(ids: np.ndarray, last: np.ndarray, before: np.ndarray, alphabet: i
         shares.learn(level, (many * unit) > 0)
     left = np.flatnonzero(width == 0)
     x, base = ids[left], used[left]
-    part, wide = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    part, wide = np.zeros(len(left), np.int32), np.zeros(len(left), np.int32)
     shares, ends = Shares(), np.searchsorted(left, ends).tolist()
     for at, level, first, many, size in observed(layout.key(last[left], x), layout, ends):
         unit = shares.unit(level, size, SPACE - base[at])
@@ -266,12 +268,12 @@ def intervals(ids: np.ndarray, last: np.ndarray, before: np.ndarray, alphabet: i
         part[at] += base[at]
         rest.learn(y)
     start[left], width[left] = part, wide
-    return start.view(np.uint64), width.view(np.uint64)
+    return start, width
 
 
 def encode(ids: np.ndarray, alphabet: int) -> bytes:
     """A block of ids (0 to alphabet - 1) as bytes."""
-    ids = np.ascontiguousarray(ids, np.int64)
+    ids = np.asarray(ids)
     n = len(ids)
     check = zlib.crc32(ids.astype("<u4").tobytes())
     present = np.bincount(ids, minlength=alphabet) > 0
@@ -279,8 +281,8 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     if not n:
         return MAGIC + struct.pack("<IIIII", n, check, alphabet, len(used), 0) + used
     lanes, steps, tail = shape(n)
-    ids = (np.cumsum(present) - 1)[ids]
-    grid = np.zeros((steps + 2, lanes), np.int64)  # two steps of nothing before the first
+    ids = (np.cumsum(present, dtype=np.int32) - 1)[ids]
+    grid = np.zeros((steps + 2, lanes), np.int32)  # two steps of nothing before the first
     grid[2:, :tail] = ids[: tail * steps].reshape(tail, steps).T
     grid[2:-1, tail:] = ids[tail * steps :].reshape(lanes - tail, steps - 1).T
     ends = [min(n, b * lanes) for _, b in segments(steps)]
@@ -291,8 +293,8 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     for at in range(0, n, lanes):
         m = min(lanes, n - at)
         unit = size[:m] >> np.uint64(TOTAL_BITS)
-        low[:m] += unit * start[at : at + m]
-        size[:m] = unit * width[at : at + m]
+        low[:m] += unit * start[at : at + m].astype(np.uint64)
+        size[:m] = unit * width[at : at + m].astype(np.uint64)
         ready = narrowed(low[:m], size[:m])
         moved.append(ready)
         out.append(low[ready] >> HALF)
@@ -327,7 +329,7 @@ def decode(block: bytes) -> np.ndarray:
         names = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(block[HEAD:at]), np.uint8), count=alphabet))
     except (zlib.error, ValueError) as e:
         raise ValueError("a block of coded ids doesn't match its checksum") from e
-    ids = np.zeros(n, np.int64)
+    ids = np.zeros(n, np.int32)
     if n:
         lanes, steps, tail = shape(n)
         given, full = np.zeros(count, np.uint64), np.ones(count, bool)
@@ -342,7 +344,7 @@ def decode(block: bytes) -> np.ndarray:
         if count < 2 * lanes or not len(names):
             raise ValueError("a block of coded ids doesn't match its checksum")
         given[full] = np.frombuffer(block, "<u4", offset=at)
-        grid = np.zeros((steps, lanes), np.int64)
+        grid = np.zeros((steps, lanes), np.int32)
         layout = Layout(len(names), n)
         two, one, zero = Order(1 << layout.slot_bits, layout), Order(len(names), layout), Rest(len(names))
         low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -390,16 +392,18 @@ def decode(block: bytes) -> np.ndarray:
                 low[ready] <<= HALF
                 size[ready] <<= HALF
                 grid[step, :m] = x
-                seen.append((x, a.copy(), slot, level2, hit2, level1, hit1))
+                narrow = (v.astype(np.int32) for v in (x, a, slot, level2, level1))
+                seen.append((*narrow, hit2, hit1))
                 before[:m] = a
                 last[:m] = x
-            x, a, slot, level2, hit2, level1, hit1 = map(np.concatenate, zip(*seen, strict=True))
+            x, a, slot, level2, level1, hit2, hit1 = map(np.concatenate, zip(*seen, strict=True))
+            seen.clear()
             two.learn(layout.key(slot, x), level2, hit2)
             left = np.flatnonzero(~hit2)
             x = x[left]
             one.learn(layout.key(a[left], x), level1, hit1)
             zero.learn(x[~hit1])
-        ids = names[np.concatenate([grid[:, :tail].T.ravel(), grid[:-1, tail:].T.ravel()])]
+        ids = names.astype(np.int32)[np.concatenate([grid[:, :tail].T.ravel(), grid[:-1, tail:].T.ravel()])]
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("a block of coded ids doesn't match its checksum")
     return ids

@@ -65,16 +65,21 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: workers live on after a task, and what they hold counts for the executor."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+def trim() -> None:
+    """Returns what the C library holds of freed memory to the system."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not the GNU C library
         pass
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after a task, and what they hold counts for the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and cuts its lineage there.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.range_coder import pack, unpack
-from tessera.llm.storage import give_back, shared_folder, small_batches
+from tessera.llm.storage import give_back, shared_folder, small_batches, trim
 from tessera.llm.textops import buffers, chunks, ragged
 
 BLOCK_IDS = 1 << 20
@@ -335,6 +335,7 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
 
         def block():
             ids, counts = np.concatenate(held), np.concatenate(lengths)
+            held.clear()
             columns = {
                 "shard": pa.array([shard], pa.int32()),
                 "block": pa.array([number], pa.int32()),
@@ -343,6 +344,7 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
                 "lengths": listed(pa.array(counts, pa.int64())),
                 "coded": pa.array([pack(ids, encoder.alphabet)], pa.binary()),
             }
+            trim()  # of what coding a block has taken
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
@@ -417,6 +419,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 if with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
+                trim()
         give_back()
 
     written = spark.read.parquet(path)
