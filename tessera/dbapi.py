@@ -48,7 +48,7 @@ class Cursor:
         self.iterator = iter(())
         if self.at >= len(self.results):
             return False
-        self.iterator = (tuple(r) for r in self.current.df.toLocalIterator())
+        self.iterator = self.current.tuples()
         return True
 
     @property

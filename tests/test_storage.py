@@ -167,13 +167,19 @@ def test_dialect_edges(db, caplog):
     with caplog.at_level(logging.INFO, logger="tessera"):
         r = ok(db, "SELECT COUNT(*) AS n FROM t")
         db.execute("SELECT Nope FROM t")
-    assert r.messages == ["Rows selected: 1"] and r.rows == [{"n": 4000}] and r.df.is_cached
+    assert r.messages == ["Rows selected: 1"] and r.rows == [{"n": 4000}] and len(r.kept) == 1
     assert any(
         x.levelname == "WARNING" and "Nope" in x.getMessage()
         for x in caplog.records
     ) and any("select" in x.getMessage() for x in caplog.records)
 
 
+def test_long_results_stay_lazy(db):
+    db.load("t", db.spark.range(100_000, 107_000).selectExpr("cast(id as int) AS Id", "1 AS N", "date'2024-01-01' AS D"))
+    r = ok(db, "SELECT Id FROM t")
+    assert r.messages == ["Rows selected: 11000"] and r.kept is None and len(r.rows) == 11_000
+
+
 def test_scalar(spark):
     with connect(spark) as c:
         cur = c.cursor()
