@@ -12,9 +12,10 @@ def anew(least: DataFrame) -> DataFrame:
     """node, m: the key is computed again, so that the join deals these rows out by themselves.
 
     Joined as they come from their sum, they would hold a hub's links to the
-    partition of that sum; so adaptive execution can split a hub.
+    partition of that sum; so adaptive execution can split a hub.  (A sum with 0
+    would be simplified away.)
     """
-    return least.select((F.col("a") + F.lit(0)).alias("node"), "m")
+    return least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("node"), "m")
 
 
 def stars(links: DataFrame) -> DataFrame:
