@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from tessera.llm.storage import settle
 
 
-def anew(least: DataFrame) -> DataFrame:
-    """node, m: the key is computed again, so that the join deals these rows out by themselves.
-
-    Joined as they come from their sum, they would hold a hub's links to the
-    partition of that sum; so adaptive execution can split a hub.  (A sum with 0
-    would be simplified away.)
-    """
-    return least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("node"), "m")
-
-
 def stars(links: DataFrame) -> DataFrame:
     """id, component for every id of links (a, b); component is the smallest id that can be reached.
 
@@ -29,12 +19,12 @@ def stars(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(anew(least), F.col("a") == F.col("node")).filter("b > a").select(
+        large = both.join(least, "a").filter("b > a").select(
             F.col("b").alias("a"),
             F.col("m").alias("b"),
         ).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(anew(least), F.col("a") == F.col("node"))
+        joined = large.join(least, "a")
         small = joined.filter("b <> m").select(
             F.col("b").alias("a"),
             F.col("m").alias("b"),
