@@ -11,8 +11,8 @@ order 1 the same share of what is left, and order 0 the rest.  Lower orders
 count only ids that the higher ones did not hold, so that they describe what
 is left to them.
 
-All arithmetic is on integers, so that the decoder repeats the encoder's steps
-exactly.  Blocks share nothing: model and coder start anew in each, and each
+All arithmetic is on integers (quotients of those below 2^52 are cut from floating
+point, which is exact), so that the decoder repeats the encoder's steps exactly.  Blocks share nothing: model and coder start anew in each, and each
 names the ids that it uses and has a checksum of all its ids.
 
 A block is: MAGIC; the number of ids, their CRC-32, the size of the alphabet,
@@ -29,7 +29,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TCM2"
+MAGIC = b"TCM3"
 HEAD = 24
 TOTAL_BITS = 28
 ORDER0_BITS = 20
@@ -37,6 +37,10 @@ LANES = 4096
 STEPS = 256
 TAIL = 4
 PART = 1 << 20
+#: So many ids fit in a block: three numbers of this size go into one of the decoder's rows.
+MOST = (1 << 21) - 1
+PAD = 16
+SLICE = 1 << 15
 SLOT_BITS = 17
 WEIGHT0 = 4
 KINDS = 5
@@ -57,6 +61,11 @@ def differs(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b for numbers from 0 to 2^52, b not 0."""
+    return (a / b).astype(np.int64)
+
+
 def levels(size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """The level of confidence of contexts by their observations and how many different ones."""
     level = CLASS[np.minimum(size, len(CLASS) - 1)]
@@ -70,18 +79,17 @@ class Shares:
     """How much of the code space contexts of each level get, from how often they have held the id that came."""
 
     def __init__(self):
-        self.held, self.asked = np.zeros(len(PRIOR), np.int64), np.zeros(len(PRIOR), np.int64)
+        self.seen = np.zeros((len(PRIOR), 2), np.int64)  # not held, held
         self.learn(np.zeros(0, np.int64), np.zeros(0, bool))
 
     def learn(self, level: np.ndarray, hit: np.ndarray) -> None:
-        self.asked += np.bincount(level, minlength=len(PRIOR))
-        self.held += np.bincount(level[hit], minlength=len(PRIOR))
-        self.share = LIMIT * (64 * self.held + 4 * PRIOR) // (64 * self.asked + 256)
+        self.seen += np.bincount(level << 1 | hit, minlength=2 * len(PRIOR)).reshape(-1, 2)
+        self.share = LIMIT * (64 * self.seen[:, 1] + 4 * PRIOR) // (64 * self.seen.sum(axis=1) + 256)
         self.share[:KINDS] = 0  # nothing observed
 
-    def unit(self, level: np.ndarray, size: np.ndarray, space) -> np.ndarray:
-        """The code space of one observation in contexts of so many."""
-        return (self.share[level] * space >> TOTAL_BITS) // np.maximum(size, 1)
+    def rates(self, level: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What one observation has of the code space in contexts of so many, in parts of SPACE."""
+        return quotient(self.share[level], np.maximum(size, 1))
 
 
 class Rest:
@@ -100,6 +108,10 @@ class Rest:
         np.cumsum(weights, out=self.edges[1:])
         self.edges = (self.edges << ORDER0_BITS) // total
 
+    def places(self) -> np.ndarray:
+        """The id at each place of this order's space."""
+        return np.repeat(np.arange(len(self.counts), dtype=np.int32), np.diff(self.edges))
+
 
 class Layout:
     """How contexts and ids are numbered in a block of n ids that uses so many different ones."""
@@ -108,6 +120,7 @@ class Layout:
         self.alphabet, self.bits = alphabet, max(1, (alphabet - 1).bit_length())
         width = 32 if self.bits <= 16 else 64
         self.kind = np.uint32 if width == 32 else np.uint64
+        self.width = n.bit_length()
         self.slot_bits = min(SLOT_BITS, max(8, n.bit_length() - 2), width - self.bits)
 
     def slot(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -118,23 +131,24 @@ class Layout:
         return x.view(np.int64)
 
     def key(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return (np.asarray(context, np.int64) << self.bits | ids).astype(self.kind)
+        return np.asarray(context).astype(self.kind) << self.kind(self.bits) | np.asarray(ids).astype(self.kind)
 
 
-def observed(keys: np.ndarray, layout: Layout, ends: list[int]):
+def observed(keys: np.ndarray, layout: Layout, ends: list[int], shares: Shares):
     """`parts_observed`, with the first, short segments looked at in a block of their own."""
     early = sum(end <= len(keys) // 16 for end in ends)
     if early > 1:
-        yield from parts_observed(keys[: ends[early - 1]], layout, ends[:early], 0)
-    yield from parts_observed(keys, layout, ends, early if early > 1 else 0)
+        yield from parts_observed(keys[: ends[early - 1]], layout, ends[:early], 0, shares)
+    yield from parts_observed(keys, layout, ends, early if early > 1 else 0, shares)
 
 
-def parts_observed(keys: np.ndarray, layout: Layout, ends: list[int], done: int):
+def parts_observed(keys: np.ndarray, layout: Layout, ends: list[int], done: int, shares: Shares):
     """Segment by segment (they end at ends) where its keys (context and id) stand, and of the keys in segments before:
 
     the level of each key's context, how many of the context have smaller ids,
-    how many are the same key, and how many are of the context.  All from one
-    sort; in a segment, keys come in their own order.
+    how many are the same key, how many are of the context, and the rate of the
+    context by what shares has learned until the segment.  All from one sort; in a
+    segment, keys come in their own order, SLICE at a time.
     """
     n = len(keys)
     if layout.kind is np.uint32:
@@ -144,72 +158,71 @@ def parts_observed(keys: np.ndarray, layout: Layout, ends: list[int], done: int)
         time = np.argsort(keys, kind="stable")
         keys = keys[time]
     fresh = differs(keys)
-    group = np.cumsum(fresh, dtype=np.int32)
+    group = np.cumsum(fresh, dtype=np.int32) - 1
     heads = np.flatnonzero(fresh)
     opens = differs(keys[heads] >> layout.kind(layout.bits))
-    of = np.cumsum(opens) - 1  # the context of each group
-    firsts = np.flatnonzero(opens)
+    of = np.cumsum(opens, dtype=np.int32) - 1  # the context of each group
+    firsts = np.append(np.flatnonzero(opens), len(heads))
     segment = np.repeat(np.arange(len(ends), dtype=np.int8), np.diff(ends, prepend=0))[time]
-    kind = np.int32 if n < 1 << 23 else np.int64
-    count = np.zeros(len(heads), kind)
-    if done:
-        count += np.bincount(group[segment < done] - 1, minlength=len(heads)).astype(kind)
-    for j in range(done, len(ends)):
+    oldest, heads = segment[heads], np.append(heads, n)
+    earlier, kinds = np.zeros(n + 1, np.int32), np.zeros(len(heads), np.int32)
+    for j in range(max(done, 1), len(ends)):
+        # how many of the segments before stand before each place; keys are in the order of time
+        np.cumsum(segment < j, out=earlier[1:])
+        np.cumsum(oldest < j, out=kinds[1:])
+        smaller = earlier[heads]
+        before = smaller[firsts]
+        total = np.diff(before)
+        level = levels(total, np.diff(kinds[firsts]))
+        packed = total.astype(np.int64) << 36 | shares.rates(level, total) << 8 | level
         here = np.flatnonzero(segment == j)
-        mine = group[here].astype(np.int64) - 1
-        if j and len(here):
-            total = np.add.reduceat(count, firsts)
-            level = levels(total, np.add.reduceat((count > 0).astype(kind), firsts))
-            smaller = np.cumsum(count, dtype=kind) - count
-            own = (total << 8 | level.astype(kind))[of][mine]
-            yield time[here], own & 0xFF, (smaller - smaller[firsts][of])[mine], count[mine], own >> 8
-        if j < len(ends) - 1:
-            count += np.bincount(mine, minlength=len(heads)).astype(kind)
+        for i in range(0, len(here), SLICE):
+            some = here[i : i + SLICE]
+            mine = group[some].astype(np.int64)
+            context = of[mine].astype(np.int64)
+            less, all_of = smaller[mine], packed[context]
+            yield time[some], all_of & 0xFF, less - before[context], earlier[some] - less, all_of >> 36, all_of >> 8 & (SPACE - 1)
 
 
 class Order:
-    """What has followed each context, for the decoder: sorted observations (context and id in one number)."""
+    """What has followed each context, for the decoder: a row for each observation, sorted by context and id.
+
+    A row has the first observation of the same, how many there are, and the id.
+    """
 
     def __init__(self, contexts: int, layout: Layout):
         self.layout, self.shares = layout, Shares()
-        self.bits, self.mask = layout.kind(layout.bits), layout.kind((1 << layout.bits) - 1)
         self.keys = np.zeros(0, layout.kind)
-        self.sizes, self.kinds = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
-        self.level, self.packed = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
-
-    def learn(self, keys: np.ndarray, level: np.ndarray, hit: np.ndarray) -> None:
-        """Takes in a segment: observations, and which contexts were asked and held the id."""
-        cut_off = len(self.keys) and self.sizes.max() > int(self.shares.share[KINDS:].min()) >> 4
-        self.shares.learn(level, hit)
-        more = np.bincount(keys >> self.bits, minlength=len(self.sizes))
-        self.sizes += more
-        new = np.sort(keys[~hit])
-        new = new[differs(new)]
-        if cut_off:  # some ids may have been observed in a context with too small a share to code them
-            new = new[self.keys[np.minimum(np.searchsorted(self.keys, new), len(self.keys) - 1)] != new]
-        self.kinds += np.bincount(new >> self.bits, minlength=len(self.sizes))
-        self.keys = np.sort(np.concatenate([self.keys, keys]))
-        fresh = differs(self.keys)
-        self.starts = np.append(np.flatnonzero(fresh), len(self.keys))
-        self.run = np.cumsum(fresh, dtype=np.int32)
-        rows = np.flatnonzero(more)
-        self.level[rows] = levels(self.sizes[rows], self.kinds[rows])
-        # one number for each context, so that one look-up gives all
-        self.packed = (np.cumsum(self.sizes) - self.sizes) << 36 | self.sizes << 8 | self.level
-
-    def weigh(self, context: np.ndarray, space) -> tuple[np.ndarray, ...]:
-        """Of each context: its level, first observation, number of observations, and the code space of one."""
-        packed = self.packed[context]
-        level, size = packed & 0xFF, packed >> 8 & 0xFFFFFFF
-        return level, packed >> 36, size, self.shares.unit(level, size, space)
-
-    def at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids at these observations, the first of their observations and how many there are."""
-        if not len(place):
-            return (np.zeros(0, np.int64),) * 3
-        run = self.run[place].astype(np.int64)
-        start = self.starts[run - 1]
-        return self.keys[place] & self.mask, start, self.starts[run] - start
+        self.sizes, self.level = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
+        self.starts, self.packed = np.zeros(contexts, np.int64), np.zeros(contexts, np.int64)
+        self.rows = np.zeros(0, np.int64)
+
+    def learn(self, context: np.ndarray, ids: np.ndarray, hit: np.ndarray) -> None:
+        """Takes in a segment: contexts, the ids that came, and whether the contexts held them."""
+        self.shares.learn(self.level[context], hit)
+        self.sizes += np.bincount(context, minlength=len(self.sizes))
+        self.keys = np.sort(np.concatenate([self.keys, self.layout.key(context, ids)]))
+        heads = np.flatnonzero(differs(self.keys))
+        different, times = self.keys[heads].astype(np.int64), np.diff(heads, append=len(self.keys))
+        kinds = np.bincount(different >> self.layout.bits, minlength=len(self.sizes))
+        self.level = levels(self.sizes, kinds)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # one number for each context, so that one look-up gives both
+        self.packed = self.sizes << TOTAL_BITS | self.shares.rates(self.level, self.sizes)
+        low = different & ((1 << self.layout.bits) - 1)
+        self.rows = np.repeat((heads << self.layout.width | times) << self.layout.bits | low, times)
+
+    def weigh(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context the number of observations and the rate of one."""
+        packed = self.packed.take(context)
+        return packed >> TOTAL_BITS, packed & (SPACE - 1)
+
+    def at(self, context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at these observations of contexts, how many have smaller ids and how many are the same."""
+        start, layout = self.starts.take(context), self.layout
+        row = self.rows.take(start + place)
+        many = row >> layout.bits
+        return row & ((1 << layout.bits) - 1), (many >> layout.width) - start, many & ((1 << layout.width) - 1)
 
 
 def shape(n: int) -> tuple[int, int, int]:
@@ -232,7 +245,7 @@ def narrowed(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which lanes have a settled upper half; cuts intervals that are small but not settled."""
     settled = (low ^ (low + size)) <= WORD
     small = size <= WORD
-    cut = small & ~settled
+    cut = np.flatnonzero(small > settled)
     size[cut] = (~low[cut] + np.uint64(1)) & WORD
     return np.flatnonzero(settled | small)
 
@@ -244,20 +257,24 @@ def intervals(ids: np.ndarray, last: np.ndarray, before: np.ndarray, alphabet: i
     learned segment by segment, as the decoder learns them.
     """
     n, layout = len(ids), Layout(alphabet, len(ids))
-    start, width, used = (np.zeros(n, np.int32) for _ in range(3))  # all below SPACE
+    packed = np.zeros(n, np.int64)  # width, and start or what higher orders have used, all below SPACE
     shares = Shares()
-    for at, level, first, many, size in observed(layout.key(layout.slot(last, before), ids), layout, ends):
-        unit = shares.unit(level, size, SPACE)
-        start[at], width[at], used[at] = first * unit, many * unit, size * unit
-        shares.learn(level, (many * unit) > 0)
+    for at, level, first, many, size, unit in observed(layout.key(layout.slot(last, before), ids), layout, ends, shares):
+        wide = many * unit
+        hit = wide > 0
+        packed[at] = wide << TOTAL_BITS | np.where(hit, first, size) * unit
+        shares.learn(level, hit)
+    width = (packed >> TOTAL_BITS).astype(np.int32)
+    start = (packed & (SPACE - 1)).astype(np.int32)
     left = np.flatnonzero(width == 0)
-    x, base = ids[left], used[left]
-    part, wide = np.zeros(len(left), np.int32), np.zeros(len(left), np.int32)
+    x, base = ids[left], start[left].astype(np.int64)
+    part, wide = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
     shares, ends = Shares(), np.searchsorted(left, ends).tolist()
-    for at, level, first, many, size in observed(layout.key(last[left], x), layout, ends):
-        unit = shares.unit(level, size, SPACE - base[at])
-        part[at], wide[at] = base[at] + first * unit, many * unit
-        base[at] += size * unit
+    for at, level, first, many, size, rate in observed(layout.key(last[left], x), layout, ends, shares):
+        used = base[at]
+        unit = rate * (SPACE - used) >> TOTAL_BITS
+        part[at], wide[at] = used + first * unit, many * unit
+        base[at] = used + size * unit
         shares.learn(level, (many * unit) > 0)
     rest = Rest(alphabet)
     for a, b in zip([0, *ends[:-1]], ends, strict=True):
@@ -275,6 +292,8 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     """A block of ids (0 to alphabet - 1) as bytes."""
     ids = np.asarray(ids)
     n = len(ids)
+    if n > MOST:
+        raise ValueError(f"a block of coded ids holds at most {MOST}")
     check = zlib.crc32(ids.astype("<u4").tobytes())
     present = np.bincount(ids, minlength=alphabet) > 0
     used = zlib.compress(np.packbits(present).tobytes())
@@ -298,8 +317,8 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
         ready = narrowed(low[:m], size[:m])
         moved.append(ready)
         out.append(low[ready] >> HALF)
-        low[ready] <<= HALF
-        size[ready] <<= HALF
+        low[ready] = low.take(ready) << HALF
+        size[ready] = size.take(ready) << HALF
     lane, word = np.concatenate(moved), np.concatenate(out)
     # a lane's words: those it moved out, the one that ends it, and none more; each is read two moves ahead
     counts = np.bincount(lane, minlength=lanes)
@@ -322,6 +341,8 @@ def decode(block: bytes) -> np.ndarray:
     if block[:4] != MAGIC or len(block) < HEAD:
         raise ValueError("not a block of coded ids")
     n, check, alphabet, length, count = struct.unpack("<IIIII", block[4:HEAD])
+    if n > MOST:
+        raise ValueError("a block of coded ids doesn't match its checksum")
     at = HEAD + length
     if len(block) < at:
         raise ValueError("a block of coded ids is cut off")
@@ -344,66 +365,75 @@ def decode(block: bytes) -> np.ndarray:
         if count < 2 * lanes or not len(names):
             raise ValueError("a block of coded ids doesn't match its checksum")
         given[full] = np.frombuffer(block, "<u4", offset=at)
-        grid = np.zeros((steps, lanes), np.int32)
+        # two steps of nothing before the first; rows of the length of a power of 2 would share few lines of a cache
+        grid, order = np.zeros((steps + 2, lanes + PAD), np.int32), np.zeros((steps, lanes), np.uint8)
         layout = Layout(len(names), n)
         two, one, zero = Order(1 << layout.slot_bits, layout), Order(len(names), layout), Rest(len(names))
         low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         code, read = (given[:lanes] << HALF) | given[lanes : 2 * lanes], 2 * lanes
         last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         for first, end in segments(steps):
-            seen = []
+            places = zero.places()
             for step in range(first, end):
                 m = lanes if step < steps - 1 else tail
-                a = last[:m]
-                slot = layout.slot(a, before[:m])
-                level2, begin, many, unit2 = two.weigh(slot, SPACE)
-                coder = size[:m] >> np.uint64(TOTAL_BITS)
-                value = np.minimum((code[:m] - low[:m]) // np.maximum(coder, np.uint64(1)), np.uint64(SPACE - 1)).astype(np.int64)
-                space2 = many * unit2
-                hit2 = value < space2
+                if m < lanes:
+                    low, size, code, last, before = low[:m], size[:m], code[:m], last[:m], before[:m]
+                slot = layout.slot(last, before)
+                many, unit = two.weigh(slot)
+                coder = size >> np.uint64(TOTAL_BITS)
+                with np.errstate(divide="ignore"):  # only in damaged blocks
+                    value = ((code - low) // coder).view(np.int64)
+                used = many * unit
+                held = value < used
                 x, start, width = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m, np.int64)
-                at = np.flatnonzero(hit2)
-                x[at], here, times = two.at(begin[at] + value[at] // unit2[at])
-                start[at], width[at] = (here - begin[at]) * unit2[at], times * unit2[at]
-                left = np.flatnonzero(~hit2)
-                used = space2[left]
-                level1, begin, many, unit1 = one.weigh(a[left], SPACE - used)
-                rest, space1 = value[left] - used, many * unit1
-                hit1 = rest < space1
-                at = np.flatnonzero(hit1)
-                to = left[at]
-                x[to], here, times = one.at(begin[at] + rest[at] // unit1[at])
-                start[to], width[to] = used[at] + (here - begin[at]) * unit1[at], times * unit1[at]
-                at = np.flatnonzero(~hit1)
-                to, base = left[at], (used + space1)[at]
-                space0 = SPACE - base
-                edge = (((rest - space1)[at] + 1 << ORDER0_BITS) - 1) // space0
-                found = np.searchsorted(zero.edges, edge, "right") - 1
+                at = np.flatnonzero(held)
+                if len(at):
+                    unit = unit.take(at)
+                    x[at], smaller, same = two.at(slot.take(at), quotient(value.take(at), unit))
+                    start[at], width[at] = smaller * unit, same * unit
+                    order[step, at] = 2
+                left = np.flatnonzero(~held)
+                base, context = used.take(left), last.take(left)
+                rest, space = value.take(left) - base, SPACE - base
+                many, unit = one.weigh(context)
+                unit *= space
+                unit >>= TOTAL_BITS
+                used = many * unit
+                held = rest < used
+                at = np.flatnonzero(held)
+                if len(at):
+                    to, unit = left.take(at), unit.take(at)
+                    x[to], smaller, same = one.at(context.take(at), quotient(rest.take(at), unit))
+                    start[to], width[to] = base.take(at) + smaller * unit, same * unit
+                    order[step, to] = 1
+                at = np.flatnonzero(~held)
+                to, used = left.take(at), used.take(at)
+                space, rest, base = space.take(at) - used, rest.take(at) - used, base.take(at) + used
+                # beyond the last place only in damaged blocks
+                found = places.take(quotient((rest + 1 << ORDER0_BITS) - 1, space), mode="clip")
                 x[to] = found
-                start[to] = base + (zero.edges[found] * space0 >> ORDER0_BITS)
-                width[to] = base + (zero.edges[found + 1] * space0 >> ORDER0_BITS) - start[to]
-                low[:m] += coder * start.astype(np.uint64)
-                size[:m] = coder * width.astype(np.uint64)
-                ready = narrowed(low[:m], size[:m])
+                begin = zero.edges[found] * space >> ORDER0_BITS
+                start[to], width[to] = base + begin, (zero.edges[found + 1] * space >> ORDER0_BITS) - begin
+                low += coder * start.view(np.uint64)
+                np.multiply(coder, width.view(np.uint64), out=size)
+                ready = narrowed(low, size)
                 if read + len(ready) > count:
                     raise ValueError("a block of coded ids doesn't match its checksum")
-                code[ready] = (code[ready] << HALF) | given[read : read + len(ready)]
+                code[ready] = (code.take(ready) << HALF) | given[read : read + len(ready)]
                 read += len(ready)
-                low[ready] <<= HALF
-                size[ready] <<= HALF
-                grid[step, :m] = x
-                narrow = (v.astype(np.int32) for v in (x, a, slot, level2, level1))
-                seen.append((*narrow, hit2, hit1))
-                before[:m] = a
-                last[:m] = x
-            x, a, slot, level2, level1, hit2, hit1 = map(np.concatenate, zip(*seen, strict=True))
-            seen.clear()
-            two.learn(layout.key(slot, x), level2, hit2)
-            left = np.flatnonzero(~hit2)
-            x = x[left]
-            one.learn(layout.key(a[left], x), level1, hit1)
-            zero.learn(x[~hit1])
-        ids = names.astype(np.int32)[np.concatenate([grid[:, :tail].T.ravel(), grid[:-1, tail:].T.ravel()])]
+                low[ready] = low.take(ready) << HALF
+                size[ready] = size.take(ready) << HALF
+                grid[step + 2, :m] = x
+                before, last = last, x
+            if end < steps:  # nothing learns from the last segment
+                x, last1, last2 = (grid[first + i : end + i, :lanes].ravel() for i in (2, 1, 0))
+                by = order[first:end].ravel()
+                two.learn(layout.slot(last1, last2), x, by == 2)
+                left = np.flatnonzero(by != 2)
+                x, by = x[left], by[left]
+                one.learn(last1[left].astype(np.int64), x, by == 1)
+                zero.learn(x[by == 0])
+        ids = names.astype(np.int32)[np.concatenate([grid[2:, :tail].T.ravel(), grid[2:-1, tail:lanes].T.ravel()])]
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("a block of coded ids doesn't match its checksum")
     return ids

@@ -132,9 +132,10 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of each run, one run after the other."""
-    total = int(counts.sum())
     ends = np.cumsum(counts)
-    return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+    out = np.repeat(starts - (ends - counts), counts)
+    out += np.arange(len(out))
+    return out
 
 
 def squeezed(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,6 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.range_coder import pack, unpack
-from tessera.llm.storage import give_back, shared_folder, small_batches, trim
+from tessera.llm.storage import USUAL, give_back, keep_freed, shared_folder, small_batches
 from tessera.llm.textops import buffers, chunks, ragged
 
 BLOCK_IDS = 1 << 20
@@ -46,8 +45,8 @@ BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 FEED = 0x0A
 PIECES = 1 << 18
 OTHER, LETTER, NUMBER, SPACE, BLANK = 0, 1, 2, 3, 4
-TABLE_BITS = 20
-CACHED = 400_000
+TABLE_BITS = 21
+CACHED = 1_000_000
 CACHED_BYTES = 1 << 24
 SHORT = 15
 
@@ -101,7 +100,7 @@ def character_classes() -> np.ndarray:
 
 def byte_classes(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """The class of each byte's character, and which bytes continue one (None if no byte does)."""
-    kinds = classes[:256][data]
+    kinds = np.frombuffer(bytearray(data).translate(classes[:256].tobytes()), np.uint8)
     high = np.flatnonzero(data >= 0x80)
     if not len(high):
         return kinds, None
@@ -136,7 +135,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarr
     kinds, inner = byte_classes(data, classes)
     blank = kinds == BLANK
     white = kinds >= SPACE
-    kinds[blank] = SPACE
+    np.minimum(kinds, SPACE, out=kinds)
     start = np.ones(n + 1, bool)
     np.not_equal(kinds[1:], kinds[:-1], out=start[1:-1])
     edge = np.zeros(n + 1, bool)
@@ -170,6 +169,15 @@ def cuts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarr
     return np.flatnonzero(start[:-1])
 
 
+def roomy(held: np.ndarray, n: int, need: int) -> np.ndarray:
+    """An array that starts with n values of held and has room for so many."""
+    if need <= len(held):
+        return held
+    out = np.zeros(2 * need, held.dtype)
+    out[:n] = held[:n]
+    return out
+
+
 class Encoder:
     """Encodes texts by the tokenizers library, each distinct piece of text once.
 
@@ -196,27 +204,47 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empties the cache: a line of the table for each short piece (its two numbers, its own number and 1), the long
-        pieces, the ids and their count by a piece's number, and which pieces have been met again."""
-        self.table = np.zeros((1 << TABLE_BITS, 4), np.uint64)
+        """Empties the cache: a table of the short pieces' own numbers and 1, their two numbers, the long pieces, the ids,
+        a piece's first id and number of ids (in one number), and which pieces have been met again.
+
+        All arrays but the table have room for more than the known pieces and their ids.
+        """
+        self.table = np.zeros(1 << TABLE_BITS, np.int32)
+        self.low, self.high = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
         self.long: dict[bytes, int] = {}
-        self.ids, self.lengths, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.again, self.bytes = np.zeros(0, bool), 0
+        self.ids, self.spans = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.again, self.bytes, self.known, self.held = np.zeros(0, bool), 0, 0, 0
 
     def forget_rare(self) -> None:
         """Leaves the pieces that have been met again."""
-        held, long, lengths = self.table[self.table[:, 2] > 0], self.long, self.lengths
-        keep = np.flatnonzero(self.again)
+        long, again = self.long, self.again[: self.known]
+        keep = np.flatnonzero(again)
         if 2 * len(keep) > CACHED:
             return self.forget()
-        ids, counts, renamed = self.ids[ragged(self.starts[keep], lengths[keep])], lengths[keep], np.cumsum(self.again) - 1
-        old = held[:, 2].astype(np.int64) - 1
-        held, old = held[self.again[old]], old[self.again[old]]
-        kept = {piece: int(renamed[i]) for piece, i in long.items() if self.again[i]}
+        (ids, counts), renamed = self.ids_of(keep), np.cumsum(again) - 1
+        short = np.flatnonzero(roomy(self.high, len(self.high), self.known)[keep])
+        low, high = self.low[keep[short]], self.high[keep[short]]
+        kept = {piece: int(renamed[i]) for piece, i in long.items() if again[i]}
         self.forget()
-        self.ids, self.lengths, self.starts = ids, counts, np.cumsum(counts, dtype=np.int64) - counts
-        self.again, self.long, self.bytes = np.zeros(len(keep), bool), kept, sum(map(len, kept))
-        self.insert(held[:, 0].copy(), held[:, 1].copy(), renamed[old])
+        self.add(ids, counts)
+        self.long, self.bytes = kept, sum(map(len, kept))
+        self.insert(low, high, short)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Takes in the ids of pieces, numbered from the end of what is known."""
+        known, held = self.known + len(counts), self.held + len(ids)
+        self.ids = roomy(self.ids, self.held, held)
+        self.spans, self.again = roomy(self.spans, self.known, known), roomy(self.again, self.known, known)
+        self.ids[self.held : held] = ids
+        self.spans[self.known : known] = self.held + np.cumsum(counts) - counts << 32 | counts
+        self.again[self.known : known] = False
+        self.known, self.held = known, held
+
+    def ids_of(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces, one after the other, and how many each has."""
+        spans = self.spans.take(pieces)
+        counts = spans & 0xFFFFFFFF
+        return self.ids.take(ragged(spans >> 32, counts)), counts
 
     def learn(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         """Encodes the pieces at these places, numbered from the end of what is known."""
@@ -224,25 +252,23 @@ class Encoder:
         chars = np.full(int(ends[-1]), FEED, "<u4")  # no byte is written as a line feed
         chars[ragged(ends - size - 1, size)] = self.letters[data[ragged(at, size)]]
         merge = self.tokenizer.model.tokenize
-        coded = [[x.id for x in merge(piece)] for piece in chars.tobytes().decode("utf-32-le").split("\n")[:-1]]
-        counts = np.fromiter(map(len, coded), np.int32, len(coded))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.int32, int(counts.sum()))])
-        self.lengths = np.concatenate([self.lengths, counts])
-        self.again = np.concatenate([self.again, np.zeros(len(counts), bool)])
-        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        ids, counts = [], []
+        for piece in chars.tobytes().decode("utf-32-le").split("\n")[:-1]:
+            tokens = merge(piece)
+            counts.append(len(tokens))
+            ids += [x.id for x in tokens]
+        self.add(np.array(ids, np.int32), np.array(counts, np.int64))
         self.bytes += int(size.sum())
 
     def probe(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The numbers of short pieces; -1 for those that are not known."""
         slot = self.slot(low, high)
-        line = self.table.take(slot, axis=0)
-        found = line[:, 2].view(np.int64) - 1
-        left = np.flatnonzero(((line[:, 0] != low) | (line[:, 1] != high)) & (found >= 0))
+        found = self.table.take(slot).astype(np.int64) - 1
+        left = np.flatnonzero(((self.low.take(found) != low) | (self.high.take(found) != high)) & (found >= 0))
         while len(left):
             slot[left] = (slot[left] + 1) & ((1 << TABLE_BITS) - 1)
-            line = self.table.take(slot[left], axis=0)
-            found[left] = line[:, 2].view(np.int64) - 1
-            left = left[((line[:, 0] != low[left]) | (line[:, 1] != high[left])) & (line[:, 2] > 0)]
+            found[left] = number = self.table.take(slot[left]).astype(np.int64) - 1
+            left = left[((self.low.take(number) != low[left]) | (self.high.take(number) != high[left])) & (number >= 0)]
         return found
 
     @staticmethod
@@ -252,28 +278,37 @@ class Encoder:
 
     def insert(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
         """Puts distinct short pieces into the table; of several that meet at a place the last gets it."""
-        slot, lines = self.slot(low, high), np.stack([low, high, number.astype(np.uint64) + np.uint64(1), low * 0], axis=1)
+        if not len(number):
+            return
+        need = int(number.max()) + 1
+        self.low, self.high = roomy(self.low, len(self.low), need), roomy(self.high, len(self.high), need)
+        self.low[number], self.high[number] = low, high
+        slot, number = self.slot(low, high), number.astype(np.int32) + 1
         while len(slot):
-            free = np.flatnonzero(self.table[slot, 2] == 0)
-            self.table[slot[free]] = lines[free]
-            lost = self.table[slot, 2] != lines[:, 2]
-            slot, lines = (slot[lost] + 1) & ((1 << TABLE_BITS) - 1), lines[lost]
+            free = np.flatnonzero(self.table[slot] == 0)
+            self.table[slot[free]] = number[free]
+            lost = self.table[slot] != number
+            slot, number = (slot[lost] + 1) & ((1 << TABLE_BITS) - 1), number[lost]
 
     def numbers(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of each piece, encoding those that are new; 16 more bytes stand after the last."""
         eights = np.ndarray((len(data) - 8,), "<u8", data, strides=(1,))
         keep = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
-        short = size <= SHORT
         length = np.minimum(size, SHORT)
-        low = eights[at] & keep[length]
-        high = (eights[at + 8] & keep[np.maximum(length - 8, 0)]) | length.astype(np.uint64) << np.uint64(56)
+        low = eights[at] & keep.take(length)
+        high = eights[at + 8] & np.append(keep[:1].repeat(8), keep[:8]).take(length)
+        high |= (np.arange(SHORT + 1, dtype=np.uint64) << np.uint64(56)).take(length)
         found = self.probe(low, high)
-        long = np.flatnonzero(~short)
+        long = np.flatnonzero(size > SHORT)
         found[long] = -1
-        new = np.flatnonzero((found < 0) & short)
-        self.again[found[found >= 0]] = True
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self.again[np.delete(found, new)] = True
+            new = new[size[new] <= SHORT]
+        else:
+            self.again[found] = True
         if len(new) or len(long):
-            known = len(self.lengths)
+            known = self.known
             order = new[np.lexsort((low[new], high[new]))]
             first = np.ones(len(order), bool)
             first[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
@@ -306,11 +341,12 @@ class Encoder:
         size, padded = np.diff(at, append=len(data)), np.append(data, np.zeros(16, np.uint8))
         lengths, ids = [], []
         for low in range(0, len(at), PIECES):
-            if len(self.lengths) > CACHED or self.bytes > CACHED_BYTES:
+            if self.known > CACHED or self.bytes > CACHED_BYTES:
                 self.forget_rare()
             piece = self.numbers(padded, at[low : low + PIECES], size[low : low + PIECES])
-            lengths.append(self.lengths[piece])
-            ids.append(self.ids[ragged(self.starts[piece], lengths[-1])])
+            some, counts = self.ids_of(piece)
+            ids.append(some)
+            lengths.append(counts)
         sums = np.concatenate(([0], np.cumsum(np.concatenate(lengths or [at]), dtype=np.int64)))
         counts = np.diff(sums[np.searchsorted(at, offsets)]) + 1
         ends = np.cumsum(counts)
@@ -330,22 +366,21 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
     """The blocks of docs (doc_id, text), in the columns of BLOCKS."""
 
     def run(batches):
+        keep_freed()
         encoder, shard, number = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         held, lengths, names, total = [], [], [], 0
 
         def block():
             ids, counts = np.concatenate(held), np.concatenate(lengths)
             held.clear()
-            columns = {
+            return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()),
                 "block": pa.array([number], pa.int32()),
                 "n_ids": pa.array([len(ids)], pa.int64()),
                 "doc_ids": listed(pa.concat_arrays(names)),
                 "lengths": listed(pa.array(counts, pa.int64())),
                 "coded": pa.array([pack(ids, encoder.alphabet)], pa.binary()),
-            }
-            trim()  # of what coding a block has taken
-            return pa.RecordBatch.from_pydict(columns)
+            })
 
         for batch in batches:
             for low, _, raw, rows in chunks(*buffers(batch.column(1)), TEXTS_BYTES):
@@ -368,6 +403,7 @@ def blocks(docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, end: int
         if names:
             yield block()
         held.clear()
+        keep_freed(USUAL)
         give_back()
 
     plain = docs.select(
@@ -399,6 +435,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in a written dataset."""
 
     def run(batches):
+        keep_freed()
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = unpack(batch.column("coded")[i].as_py()).astype("<u4")
@@ -419,7 +456,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 if with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
-                trim()
+        keep_freed(USUAL)
         give_back()
 
     written = spark.read.parquet(path)

@@ -260,6 +260,43 @@ def test_coder_damage():
         decode(b"abcd")
 
 
+def test_coder_damage_anywhere():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 20_000), 50256)
+    block = encode(ids, 50257)
+    for at in rng.integers(0, len(block), 300).tolist():
+        damaged = bytearray(block)
+        damaged[at] ^= 1 << int(rng.integers(8))
+        try:  # damage to a bit that says nothing changes no id
+            assert (decode(bytes(damaged)) == ids).all()
+        except ValueError:
+            pass
+    with pytest.raises(ValueError, match="at most"):
+        encode(np.zeros(1 << 21, np.int32), 2)
+
+
+def test_coder_learns_only_what_is_used(monkeypatch):
+    """The decoder sorts no observations after the last segment, which is half of a block."""
+    from tessera.llm import range_coder
+
+    learned, learn = [], range_coder.Order.learn
+    monkeypatch.setattr(range_coder.Order, "learn", lambda self, context, *more: (learned.append(len(context)), learn(self, context, *more)))
+    n = 1 << 17
+    ids = np.minimum(np.random.default_rng(5).zipf(1.3, n), 50256)
+    assert (decode(encode(ids, 50257)) == ids).all()
+    assert learned and sum(learned) <= n
+
+
+def test_quotients_are_exact():
+    from tessera.llm.range_coder import quotient
+
+    rng = np.random.default_rng(6)
+    for bits in (1, 20, 28):
+        b = rng.integers(1, 1 << bits, 20_000, endpoint=True)
+        for a in (rng.integers(0, 1 << 48, 20_000), rng.integers(0, (1 << 48) // b) * b, rng.integers(1, (1 << 48) // b) * b - 1):
+            assert (quotient(a, b) == a // b).all()
+
+
 def check_ids(df, expected):
     from tokenizers import Tokenizer
 
@@ -308,6 +345,31 @@ def test_pieces_are_those_of_the_library():
     check(["a" * 15 + " " + "a" * 16 + " " + "b" * 100, "a\0b", "<|endoftext|> x"])
 
 
+def test_pieces_are_encoded_once(monkeypatch):
+    """Half a million different pieces stay known; beyond the bound those met again do."""
+    from tessera.llm import token_output
+
+    def new(encoder, numbers):
+        before, learned = Encoder.learn, []
+        monkeypatch.setattr(Encoder, "learn", lambda self, data, at, size: (learned.append(len(at)), before(self, data, at, size)))
+        for low in range(0, len(numbers), 50_000):
+            raw = "".join(f" {i}" for i in numbers[low : low + 50_000]).encode()
+            encoder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        monkeypatch.setattr(Encoder, "learn", before)
+        return sum(learned)
+
+    encoder = Encoder(byte_bpe_50k())
+    assert new(encoder, range(500_000)) == 500_000
+    assert new(encoder, range(500_000)) == 0
+    monkeypatch.setattr(token_output, "CACHED", 1000)
+    encoder = Encoder(byte_bpe_50k())
+    assert new(encoder, range(300)) == 300 and new(encoder, range(2000)) == 1700
+    assert new(encoder, range(300)) == 0 and encoder.known == 300
+    raw = b" 7 1999 299 12345678901234567890"
+    want = [*encoder.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, 0]
+    assert encoder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() == want
+
+
 def test_other_tokenizers_encode_whole_texts():
     encoder = Encoder(byte_bpe_50k().replace("byte_bpe_50k", "word_bpe_49k"))
     raw = "Hello World  it's".encode()
