@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,25 @@ def release(spark: SparkSession) -> None:
     """Lets Spark remove the files of shuffles and checkpoints that are out of use, now rather than at some later time."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Lets the driver's JVM return to the system what its C library holds of freed memory; False if this JVM has no such command.
+
+    Compilers and hundreds of threads allocate there, outside of the heap, and
+    without this the library keeps the most that each of them ever had.
+    """
+    jvm = spark.sparkContext._jvm
+    try:
+        kind = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        invoke = next(m for m in kind.getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # before Java 17.0.9, or not the GNU C library
+        return False
+    return True
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import queries as Q
+from tessera.llm.components import stars
 from tessera.llm.decontaminate import clean, leaks
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
@@ -747,6 +748,41 @@ def brute_components(expected, n, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_components_take_few_stages(spark):
+    """Hubs, a path, loops and random links against a plain search; the driver keeps a record of each task of each stage."""
+    rng = np.random.default_rng(4)
+    hubs = [(0, i) for i in range(1, 500)] + [(900, i) for i in range(400, 800)] + [(5, 5)]
+    path = [(i, i + 1) for i in range(40)]
+    some = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))]
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    for links, most in ((hubs, 40), (path, 120), (some, None)):
+        root = {}
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        want = {i: find(i) for a, b in links if a != b for i in (a, b)}
+        before = scheduler.nextStageId()
+        got = stars(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted((r["id"], r["component"]) for r in got) == sorted(want.items())
+        assert most is None or scheduler.nextStageId() - before <= most
+
+
+def test_driver_returns_freed_memory(spark):
+    """Where the JVM has the command, it is carried out; a second call changes nothing."""
+    from tessera.llm.storage import trim_driver
+
+    version = [int(x) for x in spark.sparkContext._jvm.System.getProperty("java.version").split(".")[:3]]
+    if version < [17, 0, 10]:
+        pytest.skip("this JVM has no such command")
+    assert trim_driver(spark) and trim_driver(spark)
+
+
 def test_near(docs, rows):
     for n, percent in ((3, 85), (5, 80)):
         want = brute_components(rows, n, percent)
