@@ -24,7 +24,9 @@ short it is.
 
 The benchmark's windows are broadcast if they take at most BROADCAST bytes,
 which are summed up first; with more, both sides are shuffled by hash, and the
-texts of documents that matched are joined again.
+texts of documents that matched are joined again.  `clean` broadcasts the ids it
+drops up to the same bound, so that whole texts stay in the tasks that read
+them; with more, they are shuffled by doc_id.
 
 Defined results: a null or empty text or item matches nothing; a null doc_id or
 item_id is a value like any other; repeated rows of documents are one document,
@@ -43,6 +45,7 @@ LEAST = 5
 LITERAL = 5
 BROADCAST = 32 << 20
 ROW_BYTES = 200
+ID_BYTES = 100
 
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|oz|ml|l|km/h|mph|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|miles?|feet|ft|inch(?:es)?|met(?:er|re)s?|lit(?:er|re)s?|grams?|kilograms?|dollars?|euros?|cents?|percent|degrees?|%|°C|°F"
@@ -259,8 +262,9 @@ def leaks(
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, most: int = BROADCAST, **settings) -> DataFrame:
     """docs without the documents that hold an item; a null doc_id matches a null doc_id."""
-    bad = leaks(docs, items, **settings).select(F.col("doc_id").alias("leaking")).distinct()
+    bad = settle(leaks(docs, items, most=most, **settings).select(F.col("doc_id").alias("leaking")).distinct())
+    small = bad.count() * ID_BYTES <= most
     own = docs.select(whole_row(docs).alias("row")).withColumn("id", F.col("row.doc_id").cast("long"))
-    return own.join(bad, F.col("id").eqNullSafe(F.col("leaking")), "left_anti").select("row.*")
+    return own.join(F.broadcast(bad) if small else bad, F.col("id").eqNullSafe(F.col("leaking")), "left_anti").select("row.*")

@@ -14,7 +14,10 @@ Defined results: a null text has size 0; a null source is a source of its own;
 rows of equal doc_id (null included) and text share their hash.  Sources of size 0
 have target 0.  Other columns are kept by `mix` and not read.  An empty table
 gives no rows.  The table of sources, one row each, is ordered by ranges, so that
-sources may be as many as hosts.
+sources may be as many as hosts.  It is broadcast if it takes at most BROADCAST
+bytes, which are summed up first, so that documents stay in the tasks that read
+them: brought together by source, they would make as few tasks as there are
+sources, however many documents there are.  With more, they are shuffled by source.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from tessera.llm.ordering import running
 from tessera.llm.storage import settle, whole_row
 
 WEIGHTS = (5, 2, 1)
+BROADCAST = 32 << 20
+ROW_BYTES = 100
 
 
 def size_of(text: Column) -> Column:
@@ -66,11 +71,12 @@ def uniform(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def rated(sized: DataFrame, weights: tuple[int, ...], budget: float, most: int) -> DataFrame:
-    """sized (source, size, u and others) with source_size, target and copies."""
+def rated(sized: DataFrame, weights: tuple[int, ...], budget: float, most: int, held: int) -> DataFrame:
+    """sized (source, size, u and others) with source_size, target and copies; sources are broadcast up to held bytes."""
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
     named = sources.select(F.col("source").alias("of_source"), "source_size", "target")
-    joined = sized.join(named, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    small = (named.agg(F.sum(F.coalesce(F.octet_length("of_source"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0) <= held
+    joined = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return joined.withColumn("copies", (whole + F.when(F.col("u") < rate - whole, 1).otherwise(0)).cast("int")).drop("u")
@@ -93,12 +99,26 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
+def rates(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    budget: float = 1.5,
+    most: int = 2,
+    seed: int = 7,
+    held: int = BROADCAST,
+) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of each row of docs; texts are read once."""
-    return rated(settle(sized(docs, seed).drop("row")), weights, budget, most)
+    return rated(settle(sized(docs, seed).drop("row")), weights, budget, most, held)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    budget: float = 1.5,
+    most: int = 2,
+    seed: int = 7,
+    held: int = BROADCAST,
+) -> DataFrame:
     """The mix itself: the columns of docs, each document as many times as it is taken."""
-    taken = rated(sized(docs, seed), weights, budget, most).select("row", "copies").filter("copies > 0")
+    taken = rated(sized(docs, seed), weights, budget, most, held).select("row", "copies").filter("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

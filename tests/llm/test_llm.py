@@ -662,6 +662,22 @@ def test_names_anywhere(spark, most):
     assert {x for x in got if texts[x[0]][1] is not None} == {(i, k) for i, (_, k) in enumerate(texts) if k is not None}
 
 
+def test_clean_leaves_texts_where_they_are_read(spark):
+    """Texts aren't dealt out anew to drop some; ids that are too many to broadcast give the same."""
+    item = "a long question of nine words that nobody asks here twice in one day"
+    rows = [(None if i % 100 == 3 else i, f"some {i} words" + (f" {item}" if i % 8 == 0 or i == 103 else "")) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were more ids than Spark broadcasts by itself
+    try:
+        got = clean(df, items)
+        assert got.rdd.glom().filter(len).count() == 16
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = Counter((i, t) for i, t in rows if i is not None and i % 8)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, clean(df, items, most=0).collect())) == want
+
+
 # 7 -------------------------------------------------------------------------
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
@@ -725,6 +741,20 @@ def test_mixture_of_rows_without_ids(spark):
     assert all(abs(4 * r["sum(copies)"] - r["max(target)"]) < 0.05 * r["max(target)"] for r in got)
 
 
+def test_mixture_in_as_many_tasks_as_texts_are_read(spark):
+    """Two sources and none don't gather the texts in three tasks; a table of sources that is too large to broadcast gives the same."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(
+        [(i, f"a few words {i}", ("s", "t", None)[i % 3]) for i in range(1600)],
+        "doc_id long, text string, source string",
+    ).repartition(16)
+    got = mix(df)
+    assert got.select(F.spark_partition_id().alias("task")).distinct().count() == 16
+    assert Counter(got.collect()) == Counter(mix(df, held=0).collect()) != Counter()
+    assert Counter(rates(df).collect()) == Counter(rates(df, held=0).collect())
+
+
 # 8 -------------------------------------------------------------------------
 def brute_components(expected, n, percent):
     sets = {}
